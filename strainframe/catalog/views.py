@@ -57,9 +57,9 @@ VIEWS = {
         SELECT maps.*, mean_acc, acc_std, skill_gap, median_acc, p10_acc, p90_acc, score_count
         FROM maps JOIN chart_scores USING (beatmap_id) WHERE score_count >= 30""",
     "predictions": """
-        SELECT beatmap_id, mean_acc AS actual_mean_acc, 0.95::DOUBLE + (length_ms / 1000 - 25) / 1000.0::DOUBLE AS pred_mean_acc,
-               acc_std AS actual_acc_std, 0.02::DOUBLE + (length_ms / 1000 - 25) / 5000.0::DOUBLE AS pred_acc_std,
-               skill_gap AS actual_skill_gap, 0.045::DOUBLE + (length_ms / 1000 - 25) / 2000.0::DOUBLE AS pred_skill_gap
+        SELECT beatmap_id, round(mean_acc, 9) AS actual_mean_acc, 0.95::DOUBLE + (length_ms / 1000 - 25) / 1000.0::DOUBLE AS pred_mean_acc,
+               round(acc_std, 9) AS actual_acc_std, 0.02::DOUBLE + (length_ms / 1000 - 25) / 5000.0::DOUBLE AS pred_acc_std,
+               round(skill_gap, 9) AS actual_skill_gap, 0.045::DOUBLE + (length_ms / 1000 - 25) / 2000.0::DOUBLE AS pred_skill_gap
         FROM chart_labels""",
     "long_predictions": """
         SELECT beatmap_id, 'mean_acc' AS target, actual_mean_acc AS actual, pred_mean_acc AS pred FROM predictions

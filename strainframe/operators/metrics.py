@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strainframe.plans.pairs import concordance, rank_cells, spearman_aggregates
 from strainframe.plans.quantiles import average_ranks, exact_quantiles
+from strainframe.session import cut_lineage
 
 MIN_STD = 1e-6
 
@@ -67,7 +68,8 @@ def regression_report(frame: DataFrame, keys: Sequence[str], baselines: Sequence
     ``baseline`` is reported under the plain names, any other column
     ``<name>_baseline`` under names carrying it.
     """
-    usable = frame.filter("actual is not null and pred is not null")
+    # Read three times below: errors, ranks and pair counts.
+    usable = cut_lineage(frame.filter("actual is not null and pred is not null"))
     actual, pred = F.col("actual"), F.col("pred")
     columns = [
         F.count(F.lit(1)).alias("count"),

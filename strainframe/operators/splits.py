@@ -86,7 +86,7 @@ def _row_folds(rows: DataFrame, folds: int, seed: int, identity: str) -> DataFra
 
 def fold_rounds(rows: DataFrame, folds: int) -> DataFrame:
     """One copy of the rows per round: ``round`` and whether the row trains in it."""
-    rounds = F.explode(F.sequence(F.lit(1), F.lit(folds))).cast("long")
+    rounds = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(folds).cast("long")))
     return rows.withColumn("round", rounds).withColumn("is_train", F.col("fold") != F.col("round"))
 
 

@@ -89,6 +89,15 @@ class OrderedRuns:
     def rows(self) -> DataFrame:
         return self.frame.drop(RUN)
 
+    def attach(self, dimension: DataFrame) -> OrderedRuns:
+        """Inner join with one row per key, keeping a long key spread over its runs.
+
+        The dimension is first widened to the (key, run) pairs that exist, so the
+        join is on (key, run), which the rows are already partitioned by.
+        """
+        places = self.base.select(*self.keys, RUN).distinct()
+        return self._replace(self.frame.join(places.join(dimension, self.keys), [*self.keys, RUN]))
+
     def running(
         self,
         columns: Mapping[str, tuple[str, Column]],
