@@ -36,26 +36,26 @@ def long_predictions(spark, folder):
 
 @query(
     "q_predictions_long",
-    """SELECT beatmap_id, target, round(actual, 8) AS actual, round(pred, 8) AS pred, round(pred - actual, 8) AS error
+    """SELECT beatmap_id, target, round(actual, 10) AS actual, round(pred, 10) AS pred, round(pred - actual, 10) AS error
        FROM long_predictions""",
 )
 def q_predictions_long(spark, folder):
     rows = long_predictions(spark, folder).withColumn("error", F.col("pred") - F.col("actual"))
-    return rounded(rows, "actual", "pred", "error", digits=8)
+    return rounded(rows, "actual", "pred", "error", digits=10)
 
 
 @query(
     "q_predictions_wide",
     "SELECT beatmap_id, "
     + ", ".join(
-        f"round(actual_{t}, 8) AS actual_{t}, round(pred_{t}, 8) AS pred_{t}, round(pred_{t} - actual_{t}, 8) AS error_{t}"
+        f"round(actual_{t}, 10) AS actual_{t}, round(pred_{t}, 10) AS pred_{t}, round(pred_{t} - actual_{t}, 10) AS error_{t}"
         for t in TARGETS
     )
     + " FROM predictions",
 )
 def q_predictions_wide(spark, folder):
     wide = metrics.wide_predictions(long_predictions(spark, folder), TARGETS)
-    return rounded(wide, *[name for name in wide.columns if name != "beatmap_id"], digits=8)
+    return rounded(wide, *[name for name in wide.columns if name != "beatmap_id"], digits=10)
 
 
 @query(
@@ -317,7 +317,7 @@ CV_VIEWS = {
                regr_intercept(actual, difficulty_rating) AS icept, avg(actual) AS baseline
         FROM rounds WHERE is_train GROUP BY round, target""",
     "oof": """
-        SELECT beatmap_id, fold, target, round(actual, 9) AS actual, round(icept + slope * difficulty_rating, 9) AS pred, baseline
+        SELECT beatmap_id, fold, target, round(actual, 9) AS actual, round(icept + slope * difficulty_rating, 7) AS pred, baseline
         FROM rounds JOIN round_fits USING (round, target) WHERE NOT is_train""",
 }
 
@@ -342,7 +342,7 @@ def linear_oof(rows, folds=5):
     models = fits.join(means, keys)  # folds x targets rows
     held_out = rows.join(F.broadcast(models.withColumnRenamed("round", "fold")), ["fold", "target"])
     pred = F.col("intercept") + F.col("slope") * F.col("difficulty_rating")
-    return held_out.withColumns({"pred": F.round(pred, 9), "actual": F.round("actual", 9)})
+    return held_out.withColumns({"pred": F.round(pred, 7), "actual": F.round("actual", 9)})
 
 
 @query(
@@ -368,14 +368,14 @@ def q_mean_baseline(spark, folder):
 
 @query(
     "q_cv_oof",
-    """SELECT beatmap_id, fold, target, round(actual, 7) AS actual, round(pred, 7) AS pred, round(baseline, 7) AS baseline
+    """SELECT beatmap_id, fold, target, round(actual, 10) AS actual, round(pred, 10) AS pred, round(baseline, 7) AS baseline
        FROM oof""",
     extra=CV_VIEWS,
 )
 def q_cv_oof(spark, folder):
     rows = linear_oof(fold_rows(spark, folder))
     names = ["actual", "pred", "baseline"]
-    return rounded(rows.select("beatmap_id", "fold", "target", *names), *names, digits=7)
+    return rounded(rows.select("beatmap_id", "fold", "target", *names), "baseline", digits=7)
 
 
 FOLD_METRICS = ["mae", "r2", "baseline_mae", "mae_improvement_vs_baseline", "mae_improvement_pct"]

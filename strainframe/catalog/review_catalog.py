@@ -13,7 +13,7 @@ from strainframe.sources import tables
 
 @query(
     "q_predictions_labels",
-    """SELECT beatmap_id, round(actual_mean_acc, 8) AS actual_mean_acc, round(pred_mean_acc, 8) AS pred_mean_acc,
+    """SELECT beatmap_id, round(actual_mean_acc, 10) AS actual_mean_acc, round(pred_mean_acc, 10) AS pred_mean_acc,
               p.title, m.title AS title_label, m.artist FROM (
            SELECT *, 'run ' || CAST(beatmap_id % 3 AS VARCHAR) AS title FROM predictions WHERE beatmap_id % 4 <> 1
            UNION ALL SELECT *, 'extra' FROM (SELECT beatmap_id + 1000000 AS beatmap_id, * EXCLUDE beatmap_id FROM predictions)) p
@@ -27,7 +27,7 @@ def q_predictions_labels(spark, folder):
     unknown = rows.withColumns({"beatmap_id": F.col("beatmap_id") + 1_000_000, "title": F.lit("extra")})
     merged = review.join_labels(named.unionByName(unknown), tables.maps(spark, folder))
     names = ["beatmap_id", "actual_mean_acc", "pred_mean_acc", "title", "title_label", "artist"]
-    return rounded(merged.select(*names), "actual_mean_acc", "pred_mean_acc", digits=8)
+    return rounded(merged.select(*names), "actual_mean_acc", "pred_mean_acc", digits=10)
 
 
 RANKING_SQL = """
@@ -37,9 +37,9 @@ RANKING_SQL = """
 
 @query(
     "q_prediction_rankings",
-    """SELECT ranking_section, rank, beatmap_id, title, artist, mapper, version, round(pred_mean_acc, 8) AS pred_mean_acc,
-              round(actual_mean_acc, 8) AS actual_mean_acc, round(error_mean_acc, 8) AS error_mean_acc,
-              round(abs_error_mean_acc, 8) AS abs_error_mean_acc FROM (
+    """SELECT ranking_section, rank, beatmap_id, title, artist, mapper, version, round(pred_mean_acc, 10) AS pred_mean_acc,
+              round(actual_mean_acc, 10) AS actual_mean_acc, round(error_mean_acc, 10) AS error_mean_acc,
+              round(abs_error_mean_acc, 10) AS abs_error_mean_acc FROM (
          SELECT *, 'predicted_hardest' AS ranking_section, row_number() OVER (ORDER BY pred_mean_acc, beatmap_id) AS rank FROM merged
          UNION ALL
          SELECT *, 'predicted_easiest', row_number() OVER (ORDER BY pred_mean_acc DESC, beatmap_id) FROM merged
@@ -50,7 +50,7 @@ RANKING_SQL = """
 )
 def q_prediction_rankings(spark, folder):
     ranked = review.prediction_rankings(predictions(spark, folder), tables.maps(spark, folder), top_n=20)
-    return rounded(ranked, *[n for n in ranked.columns if n.endswith("mean_acc")], digits=8)
+    return rounded(ranked, *[n for n in ranked.columns if n.endswith("mean_acc")], digits=10)
 
 
 REVIEW_VALUES = [f"{side}_{t}" for t in TARGETS for side in ("observed", "predicted", "error")]
@@ -60,7 +60,7 @@ REVIEW_VALUES = [f"{side}_{t}" for t in TARGETS for side in ("observed", "predic
     "q_human_review",
     "SELECT review_reason, beatmap_id, title, artist, mapper, version, "
     + ", ".join(
-        f"round(actual_{t}, 8) AS observed_{t}, round(pred_{t}, 8) AS predicted_{t}, round(pred_{t} - actual_{t}, 8) AS error_{t}"
+        f"round(actual_{t}, 10) AS observed_{t}, round(pred_{t}, 10) AS predicted_{t}, round(pred_{t} - actual_{t}, 10) AS error_{t}"
         for t in TARGETS
     )
     + """ FROM (
@@ -77,21 +77,21 @@ REVIEW_VALUES = [f"{side}_{t}" for t in TARGETS for side in ("observed", "predic
 )
 def q_human_review(spark, folder):
     rows = review.human_review(predictions(spark, folder), tables.maps(spark, folder), TARGETS)
-    return rounded(rows, *REVIEW_VALUES, digits=8)
+    return rounded(rows, *REVIEW_VALUES, digits=10)
 
 
 PAIR_REVIEW_SQL = """
     SELECT 'pairwise_rank_disagreement' AS review_reason,
            i.beatmap_id AS model_harder_beatmap_id, mi.title AS model_harder_title, mi.artist AS model_harder_artist,
            mi.mapper AS model_harder_mapper, mi.version AS model_harder_version,
-           round(i.pred_mean_acc, 8) AS model_harder_pred_mean_acc, round(i.actual_mean_acc, 8) AS model_harder_observed_mean_acc,
+           round(i.pred_mean_acc, 10) AS model_harder_pred_mean_acc, round(i.actual_mean_acc, 10) AS model_harder_observed_mean_acc,
            j.beatmap_id AS observed_harder_beatmap_id, mj.title AS observed_harder_title, mj.artist AS observed_harder_artist,
            mj.mapper AS observed_harder_mapper, mj.version AS observed_harder_version,
-           round(j.pred_mean_acc, 8) AS observed_harder_pred_mean_acc,
-           round(j.actual_mean_acc, 8) AS observed_harder_observed_mean_acc,
-           round(i.pred_mean_acc - j.pred_mean_acc, 8) AS predicted_acc_gap_model_minus_observed,
-           round(i.actual_mean_acc - j.actual_mean_acc, 8) AS observed_acc_gap_model_minus_observed,
-           round(abs(i.pred_mean_acc - j.pred_mean_acc) + abs(i.actual_mean_acc - j.actual_mean_acc), 8) AS disagreement_strength
+           round(j.pred_mean_acc, 10) AS observed_harder_pred_mean_acc,
+           round(j.actual_mean_acc, 10) AS observed_harder_observed_mean_acc,
+           round(i.pred_mean_acc - j.pred_mean_acc, 10) AS predicted_acc_gap_model_minus_observed,
+           round(i.actual_mean_acc - j.actual_mean_acc, 10) AS observed_acc_gap_model_minus_observed,
+           round(abs(i.pred_mean_acc - j.pred_mean_acc) + abs(i.actual_mean_acc - j.actual_mean_acc), 10) AS disagreement_strength
     FROM predictions i JOIN predictions j ON i.pred_mean_acc < j.pred_mean_acc AND i.actual_mean_acc > j.actual_mean_acc
     JOIN maps mi ON mi.beatmap_id = i.beatmap_id JOIN maps mj ON mj.beatmap_id = j.beatmap_id
     WHERE abs(i.pred_mean_acc - j.pred_mean_acc) >= {p} AND abs(i.actual_mean_acc - j.actual_mean_acc) >= {a}
@@ -102,7 +102,7 @@ PAIR_REVIEW_SQL = """
 def _pair_review(spark, folder, **options):
     rows = review.pairwise_review(predictions(spark, folder), tables.maps(spark, folder), **options)
     numbers = [n for n in rows.columns if n.endswith("mean_acc") or "gap" in n or "strength" in n]
-    return rounded(rows, *numbers, digits=8)
+    return rounded(rows, *numbers, digits=10)
 
 
 @query("q_pair_disagreement", PAIR_REVIEW_SQL.format(p=0, a=0, n=20))
@@ -156,11 +156,11 @@ def _slices(spark, folder):
 
 @query(
     "q_error_slices",
-    "SELECT slice_column, slice_value, count, " + ", ".join(f"round({n}, 8) AS {n}" for n in SLICE_NAMES) + " FROM slices",
+    "SELECT slice_column, slice_value, count, " + ", ".join(f"round({n}, 10) AS {n}" for n in SLICE_NAMES) + " FROM slices",
     extra=SLICE_VIEWS,
 )
 def q_error_slices(spark, folder):
-    return rounded(_slices(spark, folder), *SLICE_NAMES, digits=8)
+    return rounded(_slices(spark, folder), *SLICE_NAMES, digits=10)
 
 
 @query(
@@ -183,13 +183,13 @@ def q_quantile_bins(spark, folder):
 
 @query(
     "q_worst_slices",
-    """SELECT slice_column || ': ' || slice_value AS slice, count, round(mae, 8) AS mae, round(bias, 8) AS bias,
-              round(max_abs_error, 8) AS max_abs_error FROM slices WHERE slice_column <> 'overall'
+    """SELECT slice_column || ': ' || slice_value AS slice, count, round(mae, 10) AS mae, round(bias, 10) AS bias,
+              round(max_abs_error, 10) AS max_abs_error FROM slices WHERE slice_column <> 'overall'
        ORDER BY slices.mae DESC, slices.max_abs_error DESC, slice_column, slice_value LIMIT 5""",
     extra=SLICE_VIEWS,
 )
 def q_worst_slices(spark, folder):
-    return rounded(review.worst_slices(_slices(spark, folder)), "mae", "bias", "max_abs_error", digits=8)
+    return rounded(review.worst_slices(_slices(spark, folder)), "mae", "bias", "max_abs_error", digits=10)
 
 
 # --- judgments --------------------------------------------------------------
@@ -353,13 +353,13 @@ def q_strain_percentile(spark, folder):
 
 @query(
     "q_pair_queue",
-    """SELECT pair_id, status, round(pair_peak, 6) AS pair_peak, row_number() OVER (ORDER BY statuses.pair_peak DESC, pair_id) - 1 AS position
+    """SELECT pair_id, status, round(pair_peak, 8) AS pair_peak, row_number() OVER (ORDER BY statuses.pair_peak DESC, pair_id) - 1 AS position
        FROM statuses WHERE player_stage = 'novice' AND status = 'open'""",
     extra={"statuses": STATUS_SQL},
 )
 def q_pair_queue(spark, folder):
     queue = judgments.pair_queue(tables.pairs(spark, folder), stage="novice", status="open")
-    return rounded(queue.select("pair_id", "status", "pair_peak", "position"), "pair_peak")
+    return rounded(queue.select("pair_id", "status", "pair_peak", "position"), "pair_peak", digits=8)
 
 
 @query(

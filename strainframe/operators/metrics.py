@@ -53,13 +53,13 @@ def r_squared(actual: Column, pred: Column) -> Column:
 
 def pairwise_order_accuracy(frame: DataFrame, keys: Sequence[str], actual: str = "actual", pred: str = "pred") -> DataFrame:
     """Share of comparable pairs put in the same order by both columns."""
-    counts = concordance(rank_cells(frame, keys, actual, pred), keys)
+    counts = concordance(rank_cells(frame, keys, actual, pred))
     share = F.coalesce(F.try_divide(F.col("correct"), F.col("comparable")), F.lit(0.0))
     return counts.withColumn("pairwise_order_accuracy", share)
 
 
 def spearman(frame: DataFrame, keys: Sequence[str], actual: str = "actual", pred: str = "pred") -> DataFrame:
-    return rank_cells(frame, keys, actual, pred).groupBy(*keys).agg(*spearman_aggregates())
+    return rank_cells(frame, keys, actual, pred).frame.groupBy(*keys).agg(*spearman_aggregates())
 
 
 def regression_report(frame: DataFrame, keys: Sequence[str], baselines: Sequence[str] = ()) -> DataFrame:
@@ -78,9 +78,9 @@ def regression_report(frame: DataFrame, keys: Sequence[str], baselines: Sequence
     ]
     columns += [F.avg(F.abs(actual - F.col(name))).alias(f"_mae_{name}") for name in baselines]
     report = usable.groupBy(*keys).agg(*columns)
-    cells = rank_cells(usable, keys, "actual", "pred").drop("_run")
-    ranks = cells.groupBy(*keys).agg(*spearman_aggregates())
-    order = concordance(cells, keys).withColumn(
+    cells = rank_cells(usable, keys, "actual", "pred")
+    ranks = cells.frame.groupBy(*keys).agg(*spearman_aggregates())
+    order = concordance(cells).withColumn(
         "pairwise_order_accuracy", F.coalesce(F.try_divide(F.col("correct"), F.col("comparable")), F.lit(0.0))
     )
     report = report.join(ranks, list(keys)).join(order.drop("correct", "comparable"), list(keys))

@@ -1,10 +1,14 @@
-"""Ordered window work that does not put a whole key into one task.
+"""Ordered window work that does not put an unbounded key into one task.
 
 ``Window.partitionBy(key).orderBy(...)`` sends every row of a key to one task,
-which fails when one key holds a third of the table. Here the rows are range
-partitioned on (key, order) first, so a long key is spread over many sorted
-*runs*. Windows are evaluated per (key, run), and what a run has to know about
-the runs before it travels in a small carry table.
+which fails when one key holds a third of the table. The rows per key are
+counted first (one narrow column, combined before the shuffle). While the
+largest key stays below ``KEY_ROWS`` the plain window is the best plan: one hash
+shuffle on the key, shared by all steps.
+
+Otherwise the rows are range partitioned on (key, order), so a long key is
+spread over many sorted *runs*. Windows are evaluated per (key, run), and what a
+run has to know about the runs before it travels in a small carry table.
 
 Size bound of the carry table: only a key that crosses a run boundary has an
 entry, there are ``runs - 1`` boundaries, so it holds at most one row per run
@@ -27,6 +31,22 @@ from strainframe.session import cut_lineage, shuffle_width
 
 RUN = "_run"
 
+# Most rows a key may have for its window to stay in one task.
+KEY_ROWS = 1_000_000
+
+
+def _largest_key(frame: DataFrame, keys: Sequence[str]) -> int:
+    if not keys:
+        return frame.count()
+    top = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0]
+    return top or 0
+
+
+def keys_fit(frame: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether every key is small enough for a plain window."""
+    limit = int(frame.sparkSession.conf.get("spark.strainframe.keyRows", str(KEY_ROWS)))
+    return _largest_key(frame, keys) <= limit
+
 
 def _matched(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
     """Left join on null-safe equality, dropping the right-hand key copies."""
@@ -42,9 +62,15 @@ class OrderedRuns:
     """A frame sorted by (keys, order) and cut into runs of bounded size."""
 
     def __init__(
-        self, frame: DataFrame, keys: Sequence[str], order: Sequence[str], base: DataFrame | None = None
+        self,
+        frame: DataFrame,
+        keys: Sequence[str],
+        order: Sequence[str],
+        base: DataFrame | None = None,
+        whole: bool = False,
     ):
         self.frame = frame
+        self.whole = whole
         self.keys = list(keys)
         self.order = list(order)
         self.base = frame if base is None else base
@@ -56,14 +82,22 @@ class OrderedRuns:
         keys: Sequence[str],
         order: Sequence[str],
         runs: int | None = None,
+        whole: bool | None = None,
     ) -> OrderedRuns:
-        """``order`` must be unique per key: ties then cannot pile up in one run."""
+        """``order`` must be unique per key: ties then cannot pile up in one run.
+
+        ``runs`` forces the split plan; ``whole`` passes on what ``keys_fit`` said.
+        """
+        if whole is None:
+            whole = runs is None and keys_fit(frame, keys)
+        if whole:
+            return cls(frame, keys, order, whole=True)
         width = runs or shuffle_width(frame.sparkSession)
         placed = frame.repartitionByRange(width, *keys, *order).withColumn(RUN, F.spark_partition_id())
         return cls(cut_lineage(placed.repartition(width, *keys, RUN)), keys, order)
 
     def _replace(self, frame: DataFrame) -> OrderedRuns:
-        return OrderedRuns(frame, self.keys, self.order, self.base)
+        return OrderedRuns(frame, self.keys, self.order, self.base, self.whole)
 
     def _carry_source(self, inputs: Mapping[str, Column], names: Sequence[str]) -> DataFrame:
         """Where carries are read from: the checkpointed rows, if they have the inputs.
@@ -78,10 +112,17 @@ class OrderedRuns:
 
     def settled(self) -> OrderedRuns:
         """Checkpoint the derived columns too, before more steps build on them."""
+        if self.whole:
+            return self
         return OrderedRuns(cut_lineage(self.frame), self.keys, self.order)
 
+    def _span(self, *names: str):
+        """Rows a window may see: the whole key, or the key's share of one run."""
+        columns = list(dict.fromkeys(names)) if self.whole else [*dict.fromkeys(names), RUN]
+        return Window.partitionBy(*(columns or [F.lit(0)]))
+
     def _window(self, within: Sequence[str] = ()):
-        return Window.partitionBy(*self.keys, *within, RUN).orderBy(*self.order)
+        return self._span(*self.keys, *within).orderBy(*self.order)
 
     def with_columns(self, columns: Mapping[str, Column]) -> OrderedRuns:
         return self._replace(self.frame.withColumns(dict(columns)))
@@ -95,6 +136,8 @@ class OrderedRuns:
         The dimension is first widened to the (key, run) pairs that exist, so the
         join is on (key, run), which the rows are already partitioned by.
         """
+        if self.whole:
+            return self._replace(self.frame.join(dimension, self.keys))
         places = self.base.select(*self.keys, RUN).distinct()
         return self._replace(self.frame.join(places.join(dimension, self.keys), [*self.keys, RUN]))
 
@@ -108,6 +151,10 @@ class OrderedRuns:
         """Running sum / min / max / last non-null over all earlier rows of the key."""
         group = [*self.keys, *within]
         local = self._window(within).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        if self.whole:
+            return self.with_columns(
+                {name: _FOLD[kind](value).over(local) for name, (kind, value) in columns.items()}
+            )
         inputs = {f"_in_{name}": value for name, (_, value) in columns.items()}
         frame = self.frame.withColumns(inputs)
         frame = frame.withColumns(
@@ -148,6 +195,10 @@ class OrderedRuns:
         depth = max(offset for _, offset in columns.values())
         sources = sorted({source for source, _ in columns.values()})
         window = self._window(within)
+        if self.whole:
+            return self.with_columns(
+                {alias: F.lag(source, offset).over(window) for alias, (source, offset) in columns.items()}
+            )
         frame = self.frame.withColumn("_pos", F.row_number().over(window))
         wanted = list(dict.fromkeys([*group, RUN, *self.order]))
         extra = {name: F.col(name) for name in sources if name not in wanted}
@@ -190,9 +241,13 @@ class OrderedRuns:
         that a group is contiguous: only groups crossing a run boundary need the
         other runs' shares, again at most one per boundary.
         """
+        local = self._span(*by)
+        if self.whole:
+            return self.with_columns(
+                {name: _FOLD[kind](value).over(local) for name, (kind, value) in columns.items()}
+            )
         inputs = {f"_in_{name}": value for name, (_, value) in columns.items()}
         frame = self.frame.withColumns(inputs)
-        local = Window.partitionBy(*by, RUN)
         frame = frame.withColumns(
             {f"_own_{name}": _FOLD[kind](F.col(f"_in_{name}")).over(local) for name, (kind, _) in columns.items()}
         )

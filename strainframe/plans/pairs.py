@@ -12,17 +12,28 @@ by ``OrderedRuns`` however large a group is.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strainframe.plans.ordered import OrderedRuns
+from strainframe.plans.ordered import OrderedRuns, keys_fit
+from strainframe.session import cut_lineage
 
 DIGIT_BITS = 3
 DIGITS = 1 << DIGIT_BITS
 
 
-def rank_cells(frame: DataFrame, keys: Sequence[str], actual: str, pred: str) -> DataFrame:
+@dataclass(frozen=True)
+class RankCells:
+    """Ranked distinct (actual, pred) values, and whether a key fits one window."""
+
+    frame: DataFrame
+    keys: tuple[str, ...]
+    whole: bool
+
+
+def rank_cells(frame: DataFrame, keys: Sequence[str], actual: str, pred: str) -> RankCells:
     """Distinct (actual, pred) values with copies and both rank positions.
 
     ``a_before`` / ``p_before`` count smaller rows, ``a_ties`` / ``p_ties`` the
@@ -30,15 +41,17 @@ def rank_cells(frame: DataFrame, keys: Sequence[str], actual: str, pred: str) ->
     """
     usable = frame.select(*keys, F.col(actual).cast("double").alias("a"), F.col(pred).cast("double").alias("p"))
     usable = usable.filter("a is not null and p is not null and not isnan(a) and not isnan(p)")
+    whole = keys_fit(usable, keys)
     cells = usable.groupBy(*keys, "a", "p").agg(F.count(F.lit(1)).alias("n"))
     for value, other in (("p", "a"), ("a", "p")):
-        runs = OrderedRuns.build(cells, keys, [value, other]).running({"_upto": ("sum", F.col("n"))})
+        runs = OrderedRuns.build(cells, keys, [value, other], whole=whole).running({"_upto": ("sum", F.col("n"))})
         runs = runs.with_columns({f"{value}_before": F.col("_upto") - F.col("n")})
         if value == "p":
             runs = runs.group_totals(keys, {"total": ("sum", F.col("n"))})
         runs = _shared_rank(runs, keys, value)
         cells = runs.rows().drop("_upto")
-    return cells
+    # Ranks, ties and pair counts all read the cells.
+    return RankCells(cut_lineage(cells), tuple(keys), whole)
 
 
 def _shared_rank(runs: OrderedRuns, keys: Sequence[str], value: str) -> OrderedRuns:
@@ -50,8 +63,9 @@ def _shared_rank(runs: OrderedRuns, keys: Sequence[str], value: str) -> OrderedR
     )
 
 
-def _by_digit(cells: DataFrame, keys: Sequence[str], order: Sequence[str], carried: Sequence[str]) -> OrderedRuns:
+def _by_digit(ranked: RankCells, cells: DataFrame, order: Sequence[str], carried: Sequence[str]) -> OrderedRuns:
     """One row per digit position of ``p_before``, ordered along ``order`` in its group."""
+    keys = ranked.keys
     last_level = F.floor(F.log2(F.greatest(F.col("total"), F.lit(2)).cast("double")) / DIGIT_BITS).cast("int")
     rank = F.col("p_before")
     leveled = cells.withColumn("_level", F.explode(F.sequence(F.lit(0), last_level)))
@@ -63,14 +77,16 @@ def _by_digit(cells: DataFrame, keys: Sequence[str], order: Sequence[str], carri
         F.call_function("shiftright", rank, (shift + DIGIT_BITS).cast("int")).alias("_prefix"),
         F.call_function("shiftright", rank, shift).bitwiseAND(DIGITS - 1).cast("int").alias("_digit"),
     )
-    return OrderedRuns.build(digits, [*keys, "_level", "_prefix"], order)
+    # The largest digit group has one row per cell of its key.
+    return OrderedRuns.build(digits, [*keys, "_level", "_prefix"], order, whole=ranked.whole)
 
 
-def concordance(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+def concordance(ranked: RankCells) -> DataFrame:
     """Per key: comparable pairs (no tie on either side) and those in the same order."""
+    cells, keys = ranked.frame, ranked.keys
     # Rows with an equal actual come in falling rank, so they never count each other.
     ordered = cells.withColumn("_fall", -F.col("p_before"))
-    runs = _by_digit(ordered, keys, ["a", "_fall"], ["n"])
+    runs = _by_digit(ranked, ordered, ["a", "_fall"], ["n"])
     seen = {
         f"_s{digit}": ("sum", F.when(F.col("_digit") == digit, F.col("n")).otherwise(0)) for digit in range(DIGITS - 1)
     }
@@ -131,7 +147,7 @@ def strongest_inversions(
     ).filter(F.abs(F.col(pred)) < float("inf"))
     cells = rank_cells(scored, [], actual, pred)
     surplus = F.col("a") - F.col("p")
-    runs = _by_digit(cells, [], ["a", "p_before"], ["p"])
+    runs = _by_digit(cells, cells.frame, ["a", "p_before"], ["p"])
     lowest = {f"_m{digit}": ("min", F.when(F.col("_digit") == digit, surplus)) for digit in range(1, DIGITS)}
     runs = runs.running(lowest, inclusive=False)
     partner = F.least(
