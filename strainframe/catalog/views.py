@@ -91,7 +91,8 @@ VIEWS = {
                     ELSE CAST(round(o_totalprice / 100000, 2) AS VARCHAR) END AS confidence
         FROM orders""",
     "history": """
-        SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, event_id,
+        SELECT 'Brand#' || CAST(user_id % 25 + 1 AS VARCHAR) AS run,
+               row_number() OVER (PARTITION BY user_id % 25 ORDER BY ts, event_id) AS epoch, event_id,
                value / 100 * (0.8::DOUBLE + (event_id % 5) / 10.0::DOUBLE) AS train_loss,
                CASE WHEN event_id % 29 <> 0 THEN value / 100 END AS val_loss,
                CASE WHEN event_id % 7 <> 0 THEN value / 100 * 0.5::DOUBLE + (event_id % 3) / 1000.0::DOUBLE END AS val_mean_mae,

@@ -105,7 +105,7 @@ def history(spark: SparkSession, folder: str) -> DataFrame:
     val_loss = F.col("value") / 100
     key = F.col("event_id")
     return table(spark, folder, "events").select(
-        F.col("user_id").alias("run"),
+        F.concat(F.lit("Brand#"), (F.col("user_id") % 25 + 1).cast("string")).alias("run"),
         F.expr("unix_micros(cast(ts as timestamp))").alias("logged_at"),
         key.alias("event_id"),
         (val_loss * (F.lit(0.8) + (key % 5) / F.lit(10.0))).alias("train_loss"),
