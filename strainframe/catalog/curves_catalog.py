@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strainframe.catalog import registry
 from strainframe.catalog.registry import query
 from strainframe.operators import curves, judgments, pairgen, ranker, stages
+from strainframe.session import cut_lineage
 from strainframe.sources import tables
 
 
@@ -163,8 +164,8 @@ def q_top_segments(spark, folder):
     extra=CURVE_VIEWS,
 )
 def q_top_curves(spark, folder):
-    curve = _curve(spark, folder)
-    rows = curves.top_curves(curve, _summary(spark, folder, curve))
+    curve, summary = _sides(spark, folder)
+    rows = curves.top_curves(curve, summary)
     return rounded(rows.select("beatmap_id", "window_index", "feel_strain"), "feel_strain")
 
 
@@ -188,7 +189,7 @@ PAIR_VIEWS = {
 
 
 def _sides(spark, folder):
-    curve = _curve(spark, folder)
+    curve = cut_lineage(_curve(spark, folder))
     return curve, _summary(spark, folder, curve)
 
 
@@ -199,7 +200,7 @@ def _sides(spark, folder):
     extra=PAIR_VIEWS,
 )
 def q_map_pairs(spark, folder):
-    rows = pairgen.map_pairs(_summary(spark, folder), 80)
+    rows = pairgen.map_pairs(cut_lineage(_summary(spark, folder)), 80)
     side = lambda s: [F.col(f"{s}.beatmap_id").alias(f"{s}_id"), F.col(f"{s}.peak_strain").alias(f"{s}_peak"), F.col(f"{s}.dominant_skill").alias(f"{s}_skill")]
     return rounded(rows.select("number", *side("left"), *side("right")), "left_peak", "right_peak")
 
@@ -211,7 +212,7 @@ def q_map_pairs(spark, folder):
     extra=PAIR_VIEWS,
 )
 def q_segment_pairs(spark, folder):
-    rows = pairgen.segment_pairs(_curve(spark, folder), tables.maps(spark, folder), 80)
+    rows = pairgen.segment_pairs(cut_lineage(_curve(spark, folder)), tables.maps(spark, folder), 80)
     side = lambda s: [F.col(f"{s}.beatmap_id").alias(f"{s}_id"), F.col(f"{s}.start_sec").alias(f"{s}_start"), F.col(f"{s}.peak_strain").alias(f"{s}_peak")]
     return rounded(rows.select("number", *side("left"), *side("right")), "left_peak", "right_peak")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strainframe.catalog.registry import query, rounded
 from strainframe.operators import labels, metrics, splits
+from strainframe.session import cut_lineage
 from strainframe.sources import tables
 
 TARGETS = ["mean_acc", "acc_std", "skill_gap"]
@@ -15,6 +16,11 @@ def chart_labels(spark, folder):
     return labels.score_labels(tables.scores(spark, folder), tables.maps(spark, folder))
 
 
+def stored_labels(spark, folder):
+    """The label table written once, for queries that read it several times."""
+    return cut_lineage(chart_labels(spark, folder))
+
+
 def predictions(spark, folder):
     """Wide predictions, stored with nine decimals: labels against a rule on the chart length."""
     rows = chart_labels(spark, folder)
@@ -30,8 +36,13 @@ def predictions(spark, folder):
     )
 
 
+def stored_predictions(spark, folder):
+    """The prediction table written once, for reports that read it several times."""
+    return cut_lineage(predictions(spark, folder))
+
+
 def long_predictions(spark, folder):
-    return metrics.long_predictions(predictions(spark, folder), TARGETS)
+    return metrics.long_predictions(stored_predictions(spark, folder), TARGETS)
 
 
 @query(
@@ -40,7 +51,7 @@ def long_predictions(spark, folder):
        FROM long_predictions""",
 )
 def q_predictions_long(spark, folder):
-    rows = long_predictions(spark, folder).withColumn("error", F.col("pred") - F.col("actual"))
+    rows = metrics.long_predictions(predictions(spark, folder), TARGETS).withColumn("error", F.col("pred") - F.col("actual"))
     return rounded(rows, "actual", "pred", "error", digits=10)
 
 
@@ -54,7 +65,7 @@ def q_predictions_long(spark, folder):
     + " FROM predictions",
 )
 def q_predictions_wide(spark, folder):
-    wide = metrics.wide_predictions(long_predictions(spark, folder), TARGETS)
+    wide = metrics.wide_predictions(metrics.long_predictions(predictions(spark, folder), TARGETS), TARGETS)
     return rounded(wide, *[name for name in wide.columns if name != "beatmap_id"], digits=10)
 
 
@@ -264,7 +275,7 @@ SPLIT_VIEWS = {
 
 
 def grouped_charts(spark, folder):
-    rows = chart_labels(spark, folder)
+    rows = stored_labels(spark, folder)
     group = (
         F.when(F.col("beatmap_id") % 19 == 0, "")
         .when(F.col("beatmap_id") % 23 == 0, None)
@@ -297,7 +308,7 @@ def q_group_split(spark, folder):
                     count(*) OVER () AS size FROM chart_labels)""",
 )
 def q_row_split(spark, folder):
-    return splits.split_by_row(chart_labels(spark, folder).select("beatmap_id"), seed=7)
+    return splits.split_by_row(stored_labels(spark, folder).select("beatmap_id"), seed=7)
 
 
 @query("q_cv_folds", "SELECT beatmap_id, split_group, fold FROM folds", extra=SPLIT_VIEWS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strainframe.catalog.metrics_catalog import TARGETS, chart_labels, predictions
+from strainframe.catalog.metrics_catalog import TARGETS, predictions, stored_labels, stored_predictions
 from strainframe.catalog.registry import query, rounded
 from strainframe.functions import choices
 from strainframe.operators import judgments, review
@@ -49,7 +49,7 @@ RANKING_SQL = """
     extra={"merged": RANKING_SQL},
 )
 def q_prediction_rankings(spark, folder):
-    ranked = review.prediction_rankings(predictions(spark, folder), tables.maps(spark, folder), top_n=20)
+    ranked = review.prediction_rankings(stored_predictions(spark, folder), tables.maps(spark, folder), top_n=20)
     return rounded(ranked, *[n for n in ranked.columns if n.endswith("mean_acc")], digits=10)
 
 
@@ -76,7 +76,7 @@ REVIEW_VALUES = [f"{side}_{t}" for t in TARGETS for side in ("observed", "predic
        JOIN maps USING (beatmap_id) WHERE rn <= 10""",
 )
 def q_human_review(spark, folder):
-    rows = review.human_review(predictions(spark, folder), tables.maps(spark, folder), TARGETS)
+    rows = review.human_review(stored_predictions(spark, folder), tables.maps(spark, folder), TARGETS)
     return rounded(rows, *REVIEW_VALUES, digits=10)
 
 
@@ -100,7 +100,7 @@ PAIR_REVIEW_SQL = """
 
 
 def _pair_review(spark, folder, **options):
-    rows = review.pairwise_review(predictions(spark, folder), tables.maps(spark, folder), **options)
+    rows = review.pairwise_review(stored_predictions(spark, folder), tables.maps(spark, folder), **options)
     numbers = [n for n in rows.columns if n.endswith("mean_acc") or "gap" in n or "strength" in n]
     return rounded(rows, *numbers, digits=10)
 
@@ -151,7 +151,7 @@ SLICED = ("score_count", "num_notes", "length_ms", "bpm", "overall_difficulty")
 
 
 def _slices(spark, folder):
-    return review.error_slices(predictions(spark, folder), chart_labels(spark, folder), slice_columns=SLICED)
+    return review.error_slices(stored_predictions(spark, folder), stored_labels(spark, folder), slice_columns=SLICED)
 
 
 @query(
@@ -169,7 +169,7 @@ def q_error_slices(spark, folder):
     extra=SLICE_VIEWS,
 )
 def q_quantile_bins(spark, folder):
-    rows = chart_labels(spark, folder)
+    rows = stored_labels(spark, folder)
     entries = [
         F.struct(F.lit(n).alias("slice_column"), F.col(n).cast("double").alias("value"))
         for n in ("score_count", "length_ms", "bpm", "overall_difficulty")

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from strainframe.catalog.metrics_catalog import chart_labels
 from strainframe.catalog.registry import query, rounded
 from strainframe.operators import audit, labels, sequences
+from strainframe.session import cut_lineage, shuffle_width
 from strainframe.sources import chart_text, landed_json, tables
 
 
 def chart_texts(spark, folder):
     """One text per part: header lines from its metadata, p_size + 5 hit objects from arithmetic."""
-    rows = tables.maps(spark, folder).filter(F.col("beatmap_id") % 29 != 28)
+    rows = tables.maps(spark, folder).filter(F.col("beatmap_id") % 29 != 28).repartition(shuffle_width(spark), "beatmap_id")
     key = F.col("beatmap_id")
     hit = lambda i: F.concat_ws(
         ",",
@@ -108,7 +109,8 @@ def q_parse_hitobjects(spark, folder):
     extra=TEXT_VIEWS,
 )
 def q_parsed_charts(spark, folder):
-    notes = sequences.parsed_notes(chart_text.hit_objects(chart_line_rows(spark, folder)))
+    # The parsed notes are stored once, then sized and sorted.
+    notes = sequences.parsed_notes(cut_lineage(chart_text.hit_objects(chart_line_rows(spark, folder))))
     return notes.select("beatmap_id", "note_index", "time_ms", "col", "is_ln", "ln_length_ms", "chord_size")
 
 
@@ -118,7 +120,7 @@ META_SQL = ", ".join(f"round({n}, 9) AS {n}" for n in META)
 
 @query("q_chart_metadata", f"SELECT beatmap_id, {META_SQL} FROM chart_meta", extra=TEXT_VIEWS)
 def q_chart_metadata(spark, folder):
-    return rounded(chart_text.chart_metadata(chart_line_rows(spark, folder)).select("beatmap_id", *META), *META, digits=9)
+    return rounded(chart_text.chart_metadata(chart_texts(spark, folder)).select("beatmap_id", *META), *META, digits=9)
 
 
 @query(
@@ -127,7 +129,7 @@ def q_chart_metadata(spark, folder):
     extra=TEXT_VIEWS,
 )
 def q_enrich_metadata(spark, folder):
-    metadata = chart_text.chart_metadata(chart_line_rows(spark, folder))
+    metadata = chart_text.chart_metadata(chart_texts(spark, folder))
     rows = audit.enriched(tables.maps(spark, folder), metadata)
     return rounded(rows.select("beatmap_id", "title", "bpm", *META), *META, digits=9)
 
@@ -341,7 +343,7 @@ INTEGRITY = [
     extra=AUDIT_VIEWS,
 )
 def q_source_integrity(spark, folder):
-    metadata = chart_text.chart_metadata(chart_line_rows(spark, folder))
+    metadata = chart_text.chart_metadata(chart_texts(spark, folder))
     return audit.source_integrity(audited_labels(spark, folder), metadata).select(*INTEGRITY)
 
 
@@ -351,7 +353,7 @@ def q_source_integrity(spark, folder):
     extra=AUDIT_VIEWS,
 )
 def q_label_chart_mismatch(spark, folder):
-    metadata = chart_text.chart_metadata(chart_line_rows(spark, folder))
+    metadata = chart_text.chart_metadata(chart_texts(spark, folder))
     return audit.mismatch_examples(audited_labels(spark, folder), metadata)
 
 
@@ -389,7 +391,7 @@ def q_label_chart_mismatch(spark, folder):
     },
 )
 def q_quality_warnings(spark, folder):
-    metadata = chart_text.chart_metadata(chart_line_rows(spark, folder))
+    metadata = chart_text.chart_metadata(chart_texts(spark, folder))
     summary = audit.audit_summary(
         audited_labels(spark, folder),
         tables.raw_notes(spark, folder),

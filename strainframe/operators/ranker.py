@@ -26,18 +26,33 @@ PAIR_FEATURES = [
 ]
 
 
-def segment_summary(segments: DataFrame, curve: DataFrame, summary: DataFrame) -> DataFrame:
+def segment_summary(
+    segments: DataFrame, curve: DataFrame, summary: DataFrame, *, window_sec: float = 2.0, step_sec: float = 0.5
+) -> DataFrame:
     """Summary values of each distinct (beatmap_id, start_sec, end_sec).
 
     Windows fully inside the segment replace the chart's strain and pressure
     values; without a segment or without such windows the chart's values stay.
+    A segment names the windows it contains, so only those meet it in the join.
     """
     wanted = segments.select("beatmap_id", "start_sec", "end_sec").distinct()
-    windows = curve.select("beatmap_id", F.col("start_sec").alias("w_start"), F.col("end_sec").alias("w_end"), "feel_strain", *PRESSURES)
+    last = curve.groupBy("beatmap_id").agg(F.max("window_index").alias("last_index"))
+    step = F.lit(float(step_sec))
+    # One index of slack on both sides; the filter below decides exactly.
+    low = F.greatest(F.lit(0).cast("long"), F.ceil(F.col("start_sec") / step) - 1)
+    high = F.least(F.col("last_index"), F.floor((F.col("end_sec") - F.lit(float(window_sec))) / step) + 1)
+    named = (
+        wanted.filter("start_sec is not null and end_sec is not null")
+        .join(last, "beatmap_id")
+        .filter(low <= high)
+        .select("beatmap_id", "start_sec", "end_sec", F.explode(F.sequence(low, high)).alias("window_index"))
+    )
+    windows = curve.select(
+        "beatmap_id", "window_index", F.col("start_sec").alias("w_start"), F.col("end_sec").alias("w_end"), "feel_strain", *PRESSURES
+    )
     inside = (F.col("w_start") >= F.col("start_sec")) & (F.col("w_end") <= F.col("end_sec"))
-    bounded = wanted.filter("start_sec is not null and end_sec is not null")
     stats = (
-        bounded.join(windows, "beatmap_id")
+        named.join(windows, ["beatmap_id", "window_index"])
         .filter(inside)
         .groupBy("beatmap_id", "start_sec", "end_sec")
         .agg(
@@ -106,9 +121,8 @@ def pair_features(judgments: DataFrame, summary: DataFrame, curve: DataFrame, st
             )
         ).alias("s")
     ).select("s.*")
-    facts = segment_summary(stacked, curve, summary)
-    # The stage table is a fixed dimension of a few rows.
-    rows = usable.join(F.broadcast(stages), F.col("player_stage") == F.col("stage_id"))
+    facts = cut_lineage(segment_summary(stacked, curve, summary))  # joined twice
+    rows = usable.join(stages, F.col("player_stage") == F.col("stage_id"))
     rows = _side(_side(rows, facts, "a"), facts, "b")
     kept = ["pair_id", "normalized_harder_choice", "sample_weight"]
     return rows.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strainframe.plans.ordered import OrderedRuns
 from strainframe.plans.pairs import strongest_inversions
+from strainframe.session import cut_lineage
 
 IDENTITY = ["title", "artist", "mapper", "version"]
 # Default slice columns.
@@ -152,7 +153,8 @@ def error_slices(
     merged = join_labels(predictions, labels)
     bounded = lambda name: F.when(F.abs(F.col(name)) < float("inf"), F.col(name))
     merged = merged.withColumns({"actual": bounded(f"actual_{target}"), "pred": bounded(f"pred_{target}")})
-    merged = merged.filter("actual is not null and pred is not null")
+    # Read by the overall row and by the slices.
+    merged = cut_lineage(merged.filter("actual is not null and pred is not null"))
     present = [name for name in slice_columns if name in merged.columns]
     slices = F.explode(
         F.array(*[F.struct(F.lit(n).alias("slice_column"), F.col(n).cast("string").alias("value")) for n in present])

@@ -27,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strainframe.session import cut_lineage, shuffle_width
+from strainframe.session import checkpointed, shuffle_width
 
 RUN = "_run"
 
@@ -48,6 +48,16 @@ def keys_fit(frame: DataFrame, keys: Sequence[str]) -> bool:
     return _largest_key(frame, keys) <= limit
 
 
+def _keys_over_runs(base: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Keys found in more than one run: they end one run and begin another, so at most one per boundary."""
+    if not keys:
+        return None
+    key = F.struct(*keys)
+    edges = base.groupBy(RUN).agg(F.array(F.min(key), F.max(key)).alias("k")).select(RUN, F.explode("k").alias("k"))
+    spread = edges.groupBy("k").agg(F.countDistinct(RUN).alias("n")).filter("n > 1").select("k.*")
+    return base.sparkSession.createDataFrame(spread.collect(), base.select(*keys).schema)
+
+
 def _matched(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
     """Left join on null-safe equality, dropping the right-hand key copies."""
     renamed = right
@@ -68,9 +78,11 @@ class OrderedRuns:
         order: Sequence[str],
         base: DataFrame | None = None,
         whole: bool = False,
+        long_keys: DataFrame | None = None,
     ):
         self.frame = frame
         self.whole = whole
+        self.long_keys = long_keys
         self.keys = list(keys)
         self.order = list(order)
         self.base = frame if base is None else base
@@ -94,27 +106,36 @@ class OrderedRuns:
             return cls(frame, keys, order, whole=True)
         width = runs or shuffle_width(frame.sparkSession)
         placed = frame.repartitionByRange(width, *keys, *order).withColumn(RUN, F.spark_partition_id())
-        return cls(cut_lineage(placed.repartition(width, *keys, RUN)), keys, order)
+        base = checkpointed(placed.repartition(width, *keys, RUN))
+        return cls(base, keys, order, long_keys=_keys_over_runs(base, keys))
 
     def _replace(self, frame: DataFrame) -> OrderedRuns:
-        return OrderedRuns(frame, self.keys, self.order, self.base, self.whole)
+        return OrderedRuns(frame, self.keys, self.order, self.base, self.whole, self.long_keys)
 
     def _carry_source(self, inputs: Mapping[str, Column], names: Sequence[str]) -> DataFrame:
         """Where carries are read from: the checkpointed rows, if they have the inputs.
 
         Reading the derived frame instead would repeat all earlier steps once
-        per chained call.
+        per chained call. Only keys that cross a run boundary have carries.
         """
+        wanted = [*dict.fromkeys([*self.keys, *names]), *[value.alias(name) for name, value in inputs.items()]]
         try:
-            return self.base.select(*names, *[value.alias(name) for name, value in inputs.items()])
+            source = self.base.select(*wanted)
         except AnalysisException:
-            return self.frame.select(*names, *[value.alias(name) for name, value in inputs.items()])
+            source = self.frame.select(*wanted)
+        if self.long_keys is None:
+            return source
+        renamed = self.long_keys.select([F.col(name).alias(f"_k_{name}") for name in self.keys])
+        same = F.lit(True)
+        for name in self.keys:
+            same = same & source[name].eqNullSafe(renamed[f"_k_{name}"])
+        return source.join(F.broadcast(renamed), same, "left_semi")
 
     def settled(self) -> OrderedRuns:
         """Checkpoint the derived columns too, before more steps build on them."""
         if self.whole:
             return self
-        return OrderedRuns(cut_lineage(self.frame), self.keys, self.order)
+        return OrderedRuns(checkpointed(self.frame), self.keys, self.order, long_keys=self.long_keys)
 
     def _span(self, *names: str):
         """Rows a window may see: the whole key, or the key's share of one run."""

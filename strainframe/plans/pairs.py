@@ -173,6 +173,8 @@ def strongest_inversions(
     strict = min_pred_gap <= 0 and min_actual_gap <= 0
     # Twice top_n covers last-digit differences between bound and strength.
     size = max(2 * top_n, 1) if strict else max(block, top_n)
+    if not strict:
+        ranked = cut_lineage(ranked)  # read once per block
     start, found = 0, None
     while True:
         part = ranked.filter((F.col("place") >= start) & (F.col("place") < start + size))

@@ -12,17 +12,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strainframe.plans.ordered import OrderedRuns
+from strainframe.plans.ordered import OrderedRuns, keys_fit
 
 
 def counted_values(frame: DataFrame, keys: Sequence[str], value: str) -> OrderedRuns:
     """Distinct values per key with ``_n`` copies, ``_before`` smaller rows and ``_total`` rows."""
+    usable = frame.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     cells = (
-        frame.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-        .groupBy(*keys, F.col(value).alias("_value"))
+        usable.groupBy(*keys, F.col(value).alias("_value"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    runs = OrderedRuns.build(cells, keys, ["_value"])
+    # Counting rows is cheaper than counting distinct values and bounds them.
+    runs = OrderedRuns.build(cells, keys, ["_value"], whole=keys_fit(usable, keys) or None)
     runs = runs.running({"_upto": ("sum", F.col("_n"))})
     runs = runs.group_totals(keys, {"_total": ("sum", F.col("_n"))})
     return runs.with_columns({"_before": F.col("_upto") - F.col("_n")})
@@ -52,7 +53,10 @@ def rank_slice_mean(first: Column, last: Column) -> Column:
 
 
 def exact_quantiles(frame: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]) -> DataFrame:
-    return counted_values(frame, keys, value).frame.groupBy(*keys).agg(*quantile_columns(quantiles))
+    usable = frame.select(*keys, value).filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    if keys_fit(usable, keys):
+        return usable.groupBy(*keys).agg(*[F.percentile(value, q).alias(name) for name, q in quantiles.items()])
+    return counted_values(usable, keys, value).frame.groupBy(*keys).agg(*quantile_columns(quantiles))
 
 
 def average_ranks(frame: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:

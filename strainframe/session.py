@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,8 @@ def build_session(app: str = "strainframe", cores: int | str = "*", partitions:
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Small local inputs: keep all cores busy instead of merging partitions up to 1 MB.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
@@ -47,7 +50,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages re-read it after an executor is lost."""
+    """Write the rows once to the shared folder and read them back.
+
+    One pass over the input, columnar, and later stages re-read the files after
+    an executor is lost.
+    """
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """Reliable checkpoint, for rows whose partitioning the next steps rely on."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
 

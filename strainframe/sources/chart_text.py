@@ -53,45 +53,55 @@ def chart_lines(charts: DataFrame) -> DataFrame:
     return exploded.filter(kept).select("beatmap_id", order.alias("line_order"), "section", "line")
 
 
-def chart_metadata(lines: DataFrame) -> DataFrame:
-    """Numeric metadata per chart, the last line of a key winning; unusable values are NULL."""
-    parts = F.split("line", ":", 2)
-    pairs = lines.filter(F.col("line").contains(":")).select(
-        "beatmap_id", "line_order", "section",
-        F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value"),
-    )
-    wanted = {
-        name: F.when((F.col("section") == section) & (F.col("key") == key), F.col("line_order"))
-        for name, (section, key) in METADATA_FIELDS.items()
-    }
-    found = F.lit(False)
-    for place in wanted.values():
-        found = found | place.isNotNull()
-    values = pairs.filter(found).groupBy("beatmap_id").agg(
-        *[F.max_by(F.col("value"), place).try_cast("double").alias(name) for name, place in wanted.items()]
+def chart_metadata(charts: DataFrame) -> DataFrame:
+    """Numeric metadata per chart, the last line of a key winning; unusable values are NULL.
+
+    Works inside the row: only the two metadata sections are cut into lines.
+    """
+    text = F.regexp_replace("text", r"^\ufeff", "")
+    title = lambda block: stripped(F.regexp_extract(block, r"^[^\r\n]*", 0))
+    blocks = charts.select("beatmap_id", F.split(text, HEADER_START).alias("blocks"))
+    sections = sorted({section for section, _ in METADATA_FIELDS.values()})
+    usable = lambda line: line.contains(":") & ~line.startswith("//")
+    pair = lambda line: F.struct(
+        stripped(F.split(line, ":", 2)[0]).alias("key"), stripped(F.split(line, ":", 2)[1]).alias("value")
     )
-    every = lines.select("beatmap_id").distinct()
-    return every.join(values.withColumn("keys", F.col("circle_size")), "beatmap_id", "left")
+
+    def pairs_of(section: str) -> Column:
+        own = F.filter("blocks", lambda block: title(block) == f"[{section}]")
+        lines = F.flatten(F.transform(own, lambda block: F.transform(F.split(block, LINE_BREAK), stripped)))
+        return F.transform(F.filter(lines, usable), pair)
+
+    rows = blocks.select("beatmap_id", *[pairs_of(name).alias(name) for name in sections])
+
+    def value_of(section: str, key: str) -> Column:
+        found = F.filter(section, lambda item: item["key"] == key)
+        return F.try_element_at(found, F.lit(-1))["value"].try_cast("double")
+
+    values = rows.select("beatmap_id", *[value_of(*place).alias(name) for name, place in METADATA_FIELDS.items()])
+    return values.withColumn("keys", F.col("circle_size"))
 
 
 def hit_objects(lines: DataFrame, keys: int = 4) -> DataFrame:
     """Raw notes; lines with too few parts or unusable numbers are dropped."""
     parts = lines.filter(F.col("section") == "HitObjects").withColumn("p", F.split("line", ","))
-    whole = F.trim(F.get("p", F.lit(3))).try_cast("long")
-    long_note = whole.bitwiseAND(F.lit(LONG_NOTE_BIT)) != 0
-    end = truncated_int(F.split(F.get("p", F.lit(5)), ":")[0])
-    column = (truncated_int(F.col("p")[0]) * keys / PLAYFIELD_WIDTH).cast("int")
-    notes = parts.filter(F.size("p") >= 5).select(
+    numbers = parts.filter(F.size("p") >= 5).select(
         "beatmap_id",
         F.col("line_order").alias("source_order"),
+        truncated_int(F.col("p")[0]).alias("x"),
         truncated_int(F.col("p")[2]).alias("time_ms"),
+        F.trim(F.col("p")[3]).try_cast("long").alias("kind"),
+        truncated_int(F.substring_index(F.get("p", F.lit(5)), ":", 1)).alias("end_ms"),
+    )
+    usable = numbers.filter("x is not null and time_ms is not null and kind is not null")
+    long_note = F.col("kind").bitwiseAND(F.lit(LONG_NOTE_BIT)) != 0
+    held = F.coalesce(F.greatest(F.lit(0), F.col("end_ms") - F.col("time_ms")), F.lit(0))
+    column = (F.col("x") * keys / PLAYFIELD_WIDTH).cast("int")
+    return usable.select(
+        "beatmap_id",
+        "source_order",
+        "time_ms",
         F.greatest(F.lit(0), F.least(F.lit(keys - 1), column)).alias("col"),
-        F.when(long_note, 1).otherwise(0).alias("is_ln"),
-        whole.alias("kind"),
-        truncated_int(F.col("p")[0]).alias("x"),
-        F.when(long_note, F.coalesce(F.greatest(F.lit(0), end - truncated_int(F.col("p")[2])), F.lit(0)))
-        .otherwise(0)
-        .cast("long")
-        .alias("ln_length_ms"),
+        long_note.cast("int").alias("is_ln"),
+        F.when(long_note, held).otherwise(0).cast("long").alias("ln_length_ms"),
     )
-    return notes.filter("time_ms is not null and kind is not null and x is not null").drop("kind", "x")
