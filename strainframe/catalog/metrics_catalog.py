@@ -82,7 +82,7 @@ def q_target_stats(spark, folder):
 
 @query(
     "q_standardize_targets",
-    """SELECT beatmap_id, target, round((actual - m) / s, 6) AS scaled, round(actual, 6) AS restored
+    """SELECT beatmap_id, target, round((actual - m) / s, 7) AS scaled, round(actual, 10) AS restored
        FROM long_predictions JOIN (
             SELECT target, avg(actual) AS m, CASE WHEN stddev_pop(actual) < 1e-6 THEN 1 ELSE stddev_pop(actual) END AS s
             FROM long_predictions WHERE beatmap_id % 5 <> 0 GROUP BY target) USING (target)""",
@@ -91,7 +91,7 @@ def q_standardize_targets(spark, folder):
     rows = long_predictions(spark, folder)
     stats = metrics.target_stats(rows.filter(F.col("beatmap_id") % 5 != 0))
     scaled = metrics.standardised(rows, stats).select("beatmap_id", "target", "scaled", "restored")
-    return rounded(scaled, "scaled", "restored")
+    return rounded(rounded(scaled, "scaled", digits=7), "restored", digits=10)
 
 
 SUMMARY = [

@@ -153,7 +153,7 @@ def _number(prefix="run"):
 def run_documents(spark, folder):
     """metrics JSON per run and evaluation, built from the report."""
     report = metrics.regression_report(run_predictions(spark, folder), RUN_KEYS, ["baseline", "difficulty_rating_baseline"])
-    report = report.select(*RUN_KEYS, *[F.round(n, 9).alias(n) for n in REPORT])
+    report = report.select(*RUN_KEYS, *REPORT)
     body = F.struct(*[F.col(n) for n in REPORT])
     n = _number()
     info = F.struct(
@@ -206,12 +206,12 @@ METRIC_VIEWS = {
                    rank() OVER (PARTITION BY run, evaluation, target ORDER BY pred) + (count(*) OVER (PARTITION BY run, evaluation, target, pred) - 1) / 2.0::DOUBLE AS rp
             FROM run_rows) GROUP BY run, evaluation, target""",
     "run_metrics": """
-        SELECT run, evaluation, target, round(mae, 9) AS mae, round(r2, 9) AS r2, round(coalesce(spearman, 0), 9) AS spearman,
-               round(coalesce(pairwise, 0), 9) AS pairwise_order_accuracy, round(baseline_mae, 9) AS baseline_mae,
-               round(baseline_mae - mae, 9) AS mae_improvement_vs_baseline, round((baseline_mae - mae) / baseline_mae, 9) AS mae_improvement_pct,
-               round(difficulty_rating_baseline_mae, 9) AS difficulty_rating_baseline_mae,
-               round(difficulty_rating_baseline_mae - mae, 9) AS mae_improvement_vs_difficulty_rating_baseline,
-               round((difficulty_rating_baseline_mae - mae) / difficulty_rating_baseline_mae, 9) AS mae_improvement_pct_vs_difficulty_rating_baseline,
+        SELECT run, evaluation, target, mae, r2, coalesce(spearman, 0) AS spearman,
+               coalesce(pairwise, 0) AS pairwise_order_accuracy, baseline_mae,
+               baseline_mae - mae AS mae_improvement_vs_baseline, (baseline_mae - mae) / baseline_mae AS mae_improvement_pct,
+               difficulty_rating_baseline_mae,
+               difficulty_rating_baseline_mae - mae AS mae_improvement_vs_difficulty_rating_baseline,
+               (difficulty_rating_baseline_mae - mae) / difficulty_rating_baseline_mae AS mae_improvement_pct_vs_difficulty_rating_baseline,
                CAST(regexp_extract(run, '[0-9]+') AS INT) AS n
         FROM run_errors LEFT JOIN run_pairs USING (run, evaluation, target) LEFT JOIN run_ranks USING (run, evaluation, target)""",
     "verdict_values": """
@@ -262,22 +262,22 @@ INFO_SQL = """evaluation, CASE n % 3 WHEN 0 THEN 'tabular_forest' WHEN 1 THEN 'l
 
 @query(
     "q_run_metrics",
-    f"SELECT run, target, {INFO_SQL}, {_sql(REPORT, 9)} FROM run_metrics",
+    f"SELECT run, target, {INFO_SQL}, {_sql(REPORT, 7)} FROM run_metrics",
     extra=METRIC_VIEWS,
 )
 def q_run_metrics(spark, folder):
     names = ["run", "target", "evaluation", "model_name", "seed", "device", "loss", "git_dirty", "epochs_completed"]
-    return rounded(run_metrics(spark, folder).select(*names, *REPORT), *REPORT, digits=9)
+    return rounded(run_metrics(spark, folder).select(*names, *REPORT), *REPORT, digits=7)
 
 
 @query(
     "q_run_compare_sorted",
-    "SELECT evaluation, target, round(mae, 9) AS mae, run FROM run_metrics ORDER BY evaluation, target, run_metrics.mae, run",
+    "SELECT evaluation, target, round(mae, 7) AS mae, run FROM run_metrics ORDER BY evaluation, target, run_metrics.mae, run",
     extra=METRIC_VIEWS,
 )
 def q_run_compare_sorted(spark, folder):
     rows = run_metrics(spark, folder).orderBy("evaluation", "target", "mae", "run")
-    return rounded(rows.select("evaluation", "target", "mae", "run"), "mae", digits=9)
+    return rounded(rows.select("evaluation", "target", "mae", "run"), "mae", digits=7)
 
 
 VERDICT = ["mean_mae", "mean_pairwise_order_accuracy", "mean_spearman", "mean_improvement_pct", "mean_difficulty_rating_improvement_pct"]
