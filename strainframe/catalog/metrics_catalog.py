@@ -21,9 +21,9 @@ def stored_labels(spark, folder):
     return cut_lineage(chart_labels(spark, folder))
 
 
-def predictions(spark, folder):
+def predictions(spark, folder, rows=None):
     """Wide predictions, stored with nine decimals: labels against a rule on the chart length."""
-    rows = chart_labels(spark, folder)
+    rows = chart_labels(spark, folder) if rows is None else rows
     size = F.floor(F.col("length_ms") / 1000) - 25
     return rows.select(
         "beatmap_id",
@@ -37,8 +37,8 @@ def predictions(spark, folder):
 
 
 def stored_predictions(spark, folder):
-    """The prediction table written once, for reports that read it several times."""
-    return cut_lineage(predictions(spark, folder))
+    """Predictions over the stored label table, for reports that read them several times."""
+    return predictions(spark, folder, stored_labels(spark, folder))
 
 
 def long_predictions(spark, folder):

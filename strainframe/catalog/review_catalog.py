@@ -151,7 +151,8 @@ SLICED = ("score_count", "num_notes", "length_ms", "bpm", "overall_difficulty")
 
 
 def _slices(spark, folder):
-    return review.error_slices(stored_predictions(spark, folder), stored_labels(spark, folder), slice_columns=SLICED)
+    rows = stored_labels(spark, folder)
+    return review.error_slices(predictions(spark, folder, rows), rows, slice_columns=SLICED)
 
 
 @query(

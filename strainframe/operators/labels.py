@@ -31,8 +31,6 @@ def accuracy_labels(scores: DataFrame) -> DataFrame:
         rank_slice_mean(total - share_of(total, TOP_SHARE), total).alias("_top"),
         rank_slice_mean(F.lit(0), share_of(total, BOTTOM_SHARE)).alias("_bottom"),
         *quantile_columns({"median_acc": 0.5, "p10_acc": 0.1, "p90_acc": 0.9}),
-        # stddev_pop takes no weights: shift by the smallest value against cancellation
-        F.min("_value").alias("_low"),
         F.sum(F.col("_value") * F.col("_value") * F.col("_n")).alias("_squares"),
     )
     variance = F.greatest(
@@ -65,20 +63,22 @@ def leaderboard(scores: DataFrame, limit: int = SCORE_LIMIT) -> DataFrame:
 
 
 def leaderboard_labels(scores: DataFrame, limit: int = SCORE_LIMIT) -> DataFrame:
-    """Label columns over the leaderboard; a group has at most ``limit`` rows here."""
+    """Label columns over the leaderboard; a group has at most ``limit`` rows here.
+
+    The place already orders the scores, so quantiles are looked up by rank.
+    """
     board = leaderboard(scores, limit).withColumn(
-        "_n", F.count(F.lit(1)).over(Window.partitionBy("beatmap_id"))
+        "_total", F.count(F.lit(1)).over(Window.partitionBy("beatmap_id"))
     )
-    place, size = F.col("place"), F.col("_n")
+    place, size = F.col("place"), F.col("_total")
+    ranked = board.withColumns({"_value": F.col("accuracy"), "_before": size - place, "_upto": size - place + 1})
     top = F.avg(F.when(place <= share_of(size, TOP_SHARE), F.col("accuracy")))
     bottom = F.avg(F.when(place > size - share_of(size, BOTTOM_SHARE), F.col("accuracy")))
-    return board.groupBy("beatmap_id").agg(
+    return ranked.groupBy("beatmap_id").agg(
         F.avg("accuracy").alias("mean_acc"),
         F.stddev_pop("accuracy").alias("acc_std"),
         (top - bottom).alias("skill_gap"),
-        F.percentile("accuracy", 0.5).alias("median_acc"),
-        F.percentile("accuracy", 0.1).alias("p10_acc"),
-        F.percentile("accuracy", 0.9).alias("p90_acc"),
+        *quantile_columns({"median_acc": 0.5, "p10_acc": 0.1, "p90_acc": 0.9}),
         F.count(F.lit(1)).alias("score_count"),
     )
 
@@ -95,7 +95,7 @@ def score_labels(scores: DataFrame, maps: DataFrame, *, min_scores: int = 30, li
 
 def sample_weight(value: Column, *, min_weight: float = 0.25, max_value: float = 100.0) -> Column:
     """clip(value / max_value, min_weight, 1); not a finite number -> min_weight."""
-    number = F.expr("1") if value is None else value.try_cast("double")
+    number = value.try_cast("double")
     finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != F.lit(float("inf")))
     scaled = F.lit(1.0) if max_value <= 0 else F.greatest(F.lit(min_weight), F.least(F.lit(1.0), number / max_value))
     return F.when(finite, scaled).otherwise(F.lit(float(min_weight)))

@@ -20,8 +20,11 @@ DEFAULT_STAGES = [
 
 
 def default_stages(spark: SparkSession) -> DataFrame:
-    schema = "stage_id string, " + ", ".join(f"{name} double" for name in ABILITIES)
-    return spark.createDataFrame(DEFAULT_STAGES, schema)
+    rows = [
+        F.struct(*[F.lit(value).alias(name) for name, value in zip(STAGE_COLUMNS, row, strict=True)])
+        for row in DEFAULT_STAGES
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def stage_violations(stages: DataFrame) -> DataFrame:
@@ -29,20 +32,20 @@ def stage_violations(stages: DataFrame) -> DataFrame:
     missing = [name for name in STAGE_COLUMNS if name not in stages.columns]
     if missing:
         raise ValueError(f"Missing player stage columns: {', '.join(missing)}")
-    blank = F.col("stage_id").isNull() | (F.trim(F.col("stage_id").cast("string")) == "")
-    report = lambda rows, column, problem: rows.select(
-        F.col("stage_id").cast("string").alias("stage_id"), F.lit(column).alias("column"), F.lit(problem).alias("problem")
+    name_of = F.col("stage_id").cast("string")
+    problem = lambda condition, column, text: F.when(
+        condition, F.struct(F.lit(column).alias("column"), F.lit(text).alias("problem"))
     )
-    found = report(stages.filter(blank), "stage_id", "empty")
-    repeated = stages.groupBy("stage_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    found = found.unionByName(report(repeated, "stage_id", "duplicate"))
+    rules = [problem(F.coalesce(F.trim(name_of) == "", F.lit(True)), "stage_id", "empty")]
     for name in ABILITIES:
         number = F.col(name).try_cast("double")
-        unusable = number.isNull() | F.isnan(number)
-        found = found.unionByName(report(stages.filter(unusable), name, "not a number"))
-        outside = ~unusable & ((number < 0.0) | (number > 1.0))
-        found = found.unionByName(report(stages.filter(outside), name, "outside 0..1"))
-    return found
+        usable = number.isNotNull() & ~F.isnan(number)
+        rules.append(problem(~usable, name, "not a number"))
+        rules.append(problem(usable & ((number < 0.0) | (number > 1.0)), name, "outside 0..1"))
+    broken = stages.select(name_of.alias("stage_id"), F.explode(F.array_compact(F.array(*rules))).alias("r"))
+    repeated = stages.groupBy(name_of.alias("stage_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    twice = repeated.select("stage_id", F.lit("stage_id").alias("column"), F.lit("duplicate").alias("problem"))
+    return broken.select("stage_id", "r.*").unionByName(twice)
 
 
 def validated_stages(stages: DataFrame) -> DataFrame:

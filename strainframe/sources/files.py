@@ -17,9 +17,13 @@ HISTORY_COLUMNS = [
 ]
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Header CSV; empty cells are NULL. Without a schema every column is text."""
-    reader = spark.read.option("header", True).option("nullValue", "").option("escape", '"').option("multiLine", True)
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, *, line_breaks: bool = False) -> DataFrame:
+    """Header CSV; empty cells are NULL. Without a schema every column is text.
+
+    ``line_breaks`` allows breaks inside quoted cells; such files cannot be split.
+    """
+    reader = spark.read.option("header", True).option("nullValue", "").option("escape", '"')
+    reader = reader.option("multiLine", line_breaks)
     return reader.schema(schema).csv(path) if schema else reader.csv(path)
 
 
