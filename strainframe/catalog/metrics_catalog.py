@@ -69,28 +69,45 @@ def q_predictions_wide(spark, folder):
     return rounded(wide, *[name for name in wide.columns if name != "beatmap_id"], digits=10)
 
 
+TRAIN_VIEWS = {
+    "row_order": """
+        SELECT beatmap_id, row_number() OVER (ORDER BY md5('7|' || CAST(beatmap_id AS VARCHAR)), beatmap_id) - 1 AS place,
+               count(*) OVER () AS size FROM chart_labels""",
+    "row_split": """
+        SELECT beatmap_id, CASE WHEN place < floor(size * 0.8) THEN 'train' WHEN place < floor(size * 0.9) THEN 'val'
+               ELSE 'test' END AS split FROM row_order""",
+    "train_stats": """
+        SELECT target, avg(actual) AS m, CASE WHEN stddev_pop(actual) < 1e-6 THEN 1 ELSE stddev_pop(actual) END AS s
+        FROM long_predictions JOIN row_split USING (beatmap_id) WHERE split = 'train' GROUP BY target""",
+}
+
+
+def train_rows(spark, folder):
+    """Long predictions, and those of the training rows."""
+    rows = stored_labels(spark, folder)
+    every = metrics.long_predictions(predictions(spark, folder, rows), TARGETS)
+    split = splits.split_by_row(rows.select("beatmap_id"), seed=7)
+    return every, every.join(split.filter("split = 'train'"), "beatmap_id", "left_semi")
+
+
 @query(
     "q_target_stats",
-    """SELECT target, round(avg(actual), 8) AS target_mean,
-              round(CASE WHEN stddev_pop(actual) < 1e-6 THEN 1 ELSE stddev_pop(actual) END, 8) AS target_std
-       FROM long_predictions WHERE beatmap_id % 5 <> 0 GROUP BY target""",
+    "SELECT target, round(m, 8) AS target_mean, round(s, 8) AS target_std FROM train_stats",
+    extra=TRAIN_VIEWS,
 )
 def q_target_stats(spark, folder):
-    train = long_predictions(spark, folder).filter(F.col("beatmap_id") % 5 != 0)
-    return rounded(metrics.target_stats(train), "target_mean", "target_std", digits=8)
+    return rounded(metrics.target_stats(train_rows(spark, folder)[1]), "target_mean", "target_std", digits=8)
 
 
 @query(
     "q_standardize_targets",
     """SELECT beatmap_id, target, round((actual - m) / s, 7) AS scaled, round(actual, 10) AS restored
-       FROM long_predictions JOIN (
-            SELECT target, avg(actual) AS m, CASE WHEN stddev_pop(actual) < 1e-6 THEN 1 ELSE stddev_pop(actual) END AS s
-            FROM long_predictions WHERE beatmap_id % 5 <> 0 GROUP BY target) USING (target)""",
+       FROM long_predictions JOIN train_stats USING (target)""",
+    extra=TRAIN_VIEWS,
 )
 def q_standardize_targets(spark, folder):
-    rows = long_predictions(spark, folder)
-    stats = metrics.target_stats(rows.filter(F.col("beatmap_id") % 5 != 0))
-    scaled = metrics.standardised(rows, stats).select("beatmap_id", "target", "scaled", "restored")
+    every, train = train_rows(spark, folder)
+    scaled = metrics.standardised(every, metrics.target_stats(train)).select("beatmap_id", "target", "scaled", "restored")
     return rounded(rounded(scaled, "scaled", digits=7), "restored", digits=10)
 
 
@@ -300,13 +317,7 @@ def q_group_split(spark, folder):
     return splits.split_by_group(rows, seed=42)
 
 
-@query(
-    "q_row_split",
-    """SELECT beatmap_id, CASE WHEN place < floor(size * 0.8) THEN 'train' WHEN place < floor(size * 0.9) THEN 'val'
-              ELSE 'test' END AS split
-       FROM (SELECT beatmap_id, row_number() OVER (ORDER BY md5('7|' || CAST(beatmap_id AS VARCHAR)), beatmap_id) - 1 AS place,
-                    count(*) OVER () AS size FROM chart_labels)""",
-)
+@query("q_row_split", "SELECT beatmap_id, split FROM row_split", extra=TRAIN_VIEWS)
 def q_row_split(spark, folder):
     return splits.split_by_row(stored_labels(spark, folder).select("beatmap_id"), seed=7)
 
@@ -348,7 +359,7 @@ def linear_oof(rows, folds=5):
     """Out-of-fold predictions of the linear baseline, with the train mean next to them."""
     rounds = splits.fold_rounds(rows, folds)
     keys = ["round", "target"]
-    fits = splits.linear_baseline(rounds, keys, "difficulty_rating", "actual", "is_train")
+    fits = splits.linear_baseline(rounds, keys, "difficulty_rating", "actual", "is_train", together=["round"])
     means = splits.mean_baseline(rounds, keys, "actual", "is_train")
     models = fits.join(means, keys)  # folds x targets rows
     held_out = rows.join(F.broadcast(models.withColumnRenamed("round", "fold")), ["fold", "target"])
@@ -363,7 +374,9 @@ def linear_oof(rows, folds=5):
 )
 def q_linear_baseline(spark, folder):
     rounds = splits.fold_rounds(fold_rows(spark, folder), 5)
-    fits = splits.linear_baseline(rounds, ["round", "target"], "difficulty_rating", "actual", "is_train")
+    fits = splits.linear_baseline(
+        rounds, ["round", "target"], "difficulty_rating", "actual", "is_train", together=["round"]
+    )
     return rounded(rounded(fits, "intercept", digits=7), "slope", digits=9)
 
 

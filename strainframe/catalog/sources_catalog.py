@@ -13,7 +13,7 @@ from strainframe.sources import chart_text, landed_json, tables
 
 def chart_texts(spark, folder):
     """One text per part: header lines from its metadata, p_size + 5 hit objects from arithmetic."""
-    rows = tables.maps(spark, folder).filter(F.col("beatmap_id") % 29 != 28).repartition(shuffle_width(spark), "beatmap_id")
+    rows = tables.maps(spark, folder).repartition(shuffle_width(spark), "beatmap_id")
     key = F.col("beatmap_id")
     hit = lambda i: F.concat_ws(
         ",",
@@ -64,14 +64,14 @@ TEXT_VIEWS = {
         SELECT beatmap_id, i, (beatmap_id * 37 + i * 53) % 512 AS x, (i // 2) * 150 + beatmap_id % 7 AS time_ms,
                CASE WHEN i % 5 = 0 THEN 1 ELSE 0 END AS is_ln,
                CASE WHEN i % 5 = 0 AND i % 13 <> 0 THEN greatest(0, 40 * (i % 9) - 80) ELSE 0 END AS ln_length_ms
-        FROM (SELECT beatmap_id, unnest(range(0, length_ms // 1000 + 5)) AS i FROM maps WHERE beatmap_id % 29 <> 28)""",
+        FROM (SELECT beatmap_id, unnest(range(0, length_ms // 1000 + 5)) AS i FROM maps)""",
     "kept_objects": """
         SELECT *, CAST(greatest(0, least(3, floor(x * 4 / 512.0::DOUBLE))) AS INT) AS col
         FROM objects WHERE i % 7 <> 3 AND i % 11 <> 4""",
     "chart_meta": """
         SELECT beatmap_id, mode::DOUBLE AS mode, keys::DOUBLE AS circle_size, keys::DOUBLE AS keys, hp_drain_rate,
                overall_difficulty + CASE WHEN beatmap_id % 8 = 0 THEN 0.5::DOUBLE ELSE 0 END AS overall_difficulty, approach_rate
-        FROM maps WHERE beatmap_id % 29 <> 28""",
+        FROM maps""",
 }
 
 
@@ -125,12 +125,16 @@ def q_chart_metadata(spark, folder):
 
 @query(
     "q_enrich_metadata",
-    f"SELECT maps.beatmap_id, title, bpm, {META_SQL.replace('round(', 'round(m.')} FROM maps LEFT JOIN chart_meta m USING (beatmap_id)",
+    f"""SELECT every.beatmap_id, title, bpm, {META_SQL.replace('round(', 'round(m.')} FROM (
+            SELECT beatmap_id, title, bpm FROM maps UNION ALL SELECT beatmap_id + 1000000, title, bpm FROM maps) every
+        LEFT JOIN chart_meta m USING (beatmap_id)""",
     extra=TEXT_VIEWS,
 )
 def q_enrich_metadata(spark, folder):
     metadata = chart_text.chart_metadata(chart_texts(spark, folder))
-    rows = audit.enriched(tables.maps(spark, folder), metadata)
+    known = tables.maps(spark, folder)
+    unknown = known.withColumn("beatmap_id", F.col("beatmap_id") + UNKNOWN)
+    rows = audit.enriched(known.unionByName(unknown), metadata)
     return rounded(rows.select("beatmap_id", "title", "bpm", *META), *META, digits=9)
 
 
@@ -244,16 +248,22 @@ def q_scores_json(spark, folder):
 # --- audit ------------------------------------------------------------------
 
 
+UNKNOWN = 1_000_000
+
+
 def audited_labels(spark, folder):
-    """Labels with some rows twice, and some difficulty values off."""
+    """All labels, some of them twice, and some more under ids without notes or chart file."""
     rows = chart_labels(spark, folder)
     again = rows.filter(F.col("beatmap_id") % 50 == 7)
-    return rows.unionByName(again)
+    unknown = rows.filter("mode = 0").withColumn("beatmap_id", F.col("beatmap_id") + UNKNOWN)
+    return rows.unionByName(again).unionByName(unknown)
 
 
 AUDIT_VIEWS = {
     **TEXT_VIEWS,
-    "audited": "SELECT * FROM chart_labels UNION ALL SELECT * FROM chart_labels WHERE beatmap_id % 50 = 7",
+    "audited": """
+        SELECT * FROM chart_labels UNION ALL SELECT * FROM chart_labels WHERE beatmap_id % 50 = 7
+        UNION ALL SELECT beatmap_id + 1000000 AS beatmap_id, * EXCLUDE beatmap_id FROM chart_labels WHERE mode = 0""",
     "lengths": "SELECT user_id AS beatmap_id, count(*) AS note_count FROM events GROUP BY 1",
     "usable_rows": "SELECT * FROM audited JOIN lengths USING (beatmap_id)",
     "compared": """

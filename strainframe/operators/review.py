@@ -44,7 +44,7 @@ def prediction_rankings(predictions: DataFrame, labels: DataFrame, *, target: st
         merged = merged.withColumn(error, F.col(pred) - F.col(actual))
     merged = merged.withColumn(f"abs_{error}", F.abs(F.col(error)))
     sections = {
-        "predicted_hardest": [F.col(pred).asc(), F.col("beatmap_id")],
+        "predicted_hardest": [F.col(pred).asc_nulls_last(), F.col("beatmap_id")],
         "predicted_easiest": [F.col(pred).desc(), F.col("beatmap_id")],
         "largest_abs_error": [F.col(f"abs_{error}").desc(), F.col("beatmap_id")],
     }

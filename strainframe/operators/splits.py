@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strainframe.plans.ordered import OrderedRuns
@@ -90,11 +90,14 @@ def fold_rounds(rows: DataFrame, folds: int) -> DataFrame:
     return rows.withColumn("round", rounds).withColumn("is_train", F.col("fold") != F.col("round"))
 
 
-def linear_baseline(rounds: DataFrame, keys: list[str], x: str, y: str, is_train: str) -> DataFrame:
+def linear_baseline(
+    rounds: DataFrame, keys: list[str], x: str, y: str, is_train: str, *, together: list[str] | None = None
+) -> DataFrame:
     """Per key: intercept and slope of y ~ x on train rows, NULL when no baseline exists.
 
     No baseline: an unusable number anywhere in the columns used, fewer than two
-    train rows, no evaluation row, or x constant.
+    train rows, no evaluation row, or x constant. With ``together``, some of the
+    keys, an unusable number spoils all keys that share them (all targets of a round).
     """
     train = F.col(is_train)
     xv, yv = F.col(x).try_cast("double"), F.col(y).try_cast("double")
@@ -107,6 +110,9 @@ def linear_baseline(rounds: DataFrame, keys: list[str], x: str, y: str, is_train
         F.sum((~train).cast("long")).alias("_eval"),
         F.stddev_pop(F.when(train, xv)).alias("_std"),
     )
+    if together is not None:
+        # One row per round and target here.
+        fits = fits.withColumn("_bad", F.sum("_bad").over(Window.partitionBy(*together)))
     usable = (F.col("_bad") == 0) & (F.col("_train") >= 2) & (F.col("_eval") >= 1) & (F.col("_std") >= 1e-12)
     return fits.select(
         *keys,

@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_folders: list[tempfile.TemporaryDirectory] = []
+
+
 def build_session(app: str = "strainframe", cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """Local session for tests and the bench; a cluster brings its own."""
     spark = (
@@ -46,7 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     if not context.master.startswith("local"):
         raise RuntimeError("Set spark.checkpoint.dir to a folder shared by the whole cluster.")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="strainframe-checkpoint-"))
+    folder = tempfile.TemporaryDirectory(prefix="strainframe-checkpoint-", ignore_cleanup_errors=True)
+    _local_folders.append(folder)  # removed when the process ends
+    context.setCheckpointDir(folder.name)
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
