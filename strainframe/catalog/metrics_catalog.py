@@ -332,7 +332,7 @@ CV_VIEWS = {
     **SPLIT_VIEWS,
     "rounds": """
         SELECT f.beatmap_id, f.fold, r.round, f.fold <> r.round AS is_train, l.difficulty_rating, t.target, t.actual
-        FROM folds f CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS round) r
+        FROM folds f CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]::BIGINT[]) AS round) r
         JOIN chart_labels l USING (beatmap_id) JOIN long_predictions t USING (beatmap_id)""",
     "round_fits": """
         SELECT round, target, regr_slope(actual, difficulty_rating) AS slope,

@@ -92,7 +92,7 @@ SWEEP_VIEWS = {
     "sweep_rounds": """
         SELECT f.beatmap_id, f.fold, r.round, f.fold <> r.round AS is_train, t.target, t.actual, c.col_name,
                CASE c.col_name WHEN 'bpm' THEN l.bpm ELSE l.difficulty_rating END AS x
-        FROM folds f CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS round) r CROSS JOIN (SELECT unnest(['difficulty_rating', 'bpm']) AS col_name) c
+        FROM folds f CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]::BIGINT[]) AS round) r CROSS JOIN (SELECT unnest(['difficulty_rating', 'bpm']) AS col_name) c
         JOIN chart_labels l USING (beatmap_id) JOIN long_predictions t USING (beatmap_id)""",
     "sweep_fits": """
         SELECT col_name, round, target, regr_slope(actual, x) AS slope, regr_intercept(actual, x) AS icept, avg(actual) AS baseline

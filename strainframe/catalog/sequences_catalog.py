@@ -291,7 +291,7 @@ def q_sample_weight(spark, folder):
 @query(
     "q_sample_weight_summary",
     """SELECT count(*) AS sample_weight_count, round(avg(w), 6) AS sample_weight_mean, round(min(w), 6) AS sample_weight_min,
-              round(max(w), 6) AS sample_weight_max, count_if(w < 1) AS sample_weight_downweighted_count,
+              round(max(w), 6) AS sample_weight_max, CAST(count_if(w < 1) AS BIGINT) AS sample_weight_downweighted_count,
               round(avg((w < 1)::INT), 6) AS sample_weight_downweighted_rate
        FROM (SELECT greatest(0.25, least(1.0, score_count / 32.0::DOUBLE)) AS w FROM chart_labels)""",
 )
