@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strainframe.llm import near_dedup
+from strainframe.llm import decontaminate, language_id, near_dedup
 from strainframe.llm.common import table
 
 
+def remainder(divisor: int):
+    """crc32 of the id as text, modulo a number of folds."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False)))
+    content = language_id.learn(documents.filter(~F.col("held_out")))
+    found = language_id.predict(documents.select("doc_id", "held_out", "text"), content)
+    return found.select(
+        "doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_margin").alias("margin"), (~language_id.accepted()).alias("rejected")
+    )
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -16,8 +30,56 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontaminate.mark_hits(documents, table(spark, sf_dir, "benchmark"))
+    return marked.select(
+        "doc_id",
+        F.col("hit_words").alias("n_words"),
+        decontaminate.hit_count().alias("n_hit"),
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+OP7_SQL = r"""
+WITH words AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark),
+items AS (
+    SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win
+    FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM words WHERE len(w) > 0)),
+docs AS (
+    SELECT row_number() OVER () AS rid, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+lengths AS (SELECT DISTINCT n FROM items),
+starts AS (
+    SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+    FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, lengths WHERE len(w) >= n)),
+hits AS (SELECT s.rid, s.n, s.i, x.item_id FROM starts s JOIN items x ON x.win = s.win AND x.n = s.n),
+covered AS (
+    SELECT rid, count(DISTINCT p) AS n_hit
+    FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT rid, i, n FROM hits)) GROUP BY rid),
+named AS (
+    SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+    FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(m.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(m.listed, '')) AS items_sha256,
+       coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
+FROM docs d LEFT JOIN covered c ON c.rid = d.rid LEFT JOIN named m ON m.rid = d.rid
+"""
+
+
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_decontamination": op7_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_decontamination": OP7_SQL,
+}

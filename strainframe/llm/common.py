@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Text bytes that a task turns into Python objects at a time.
 SLICE_BYTES = 8 << 20
@@ -35,3 +36,8 @@ def scan_width(frame: DataFrame) -> int:
     """Partitions for a shuffle of a scanned table: grows with its size, never below the session's setting."""
     setting = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(setting, frame.rdd.getNumPartitions())
+
+
+def with_fields(frame: DataFrame, more: str) -> StructType:
+    """The schema of a frame with further columns, written as DDL."""
+    return StructType(frame.schema.fields + StructType.fromDDL(more).fields)
