@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strainframe.llm import decontaminate, language_id, near_dedup
+from strainframe.llm import decontaminate, language_id, near_dedup, piece_sampling
 from strainframe.llm.common import table
 
+PIECE_MODEL = "piece_bpe_32k.model"
+
 
 def remainder(divisor: int):
     """crc32 of the id as text, modulo a number of folds."""
@@ -23,6 +26,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = piece_sampling.encode(documents, public_tokenizers.path(PIECE_MODEL))
+    decoded = piece_sampling.decode(encoded, public_tokenizers.path(PIECE_MODEL))
+    return decoded.select(
+        "doc_id",
+        F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"),
+        F.xxhash64("pieces").alias("pieces_hash"),
+        F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"),
+    )
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -76,6 +91,7 @@ FROM docs d LEFT JOIN covered c ON c.rid = d.rid LEFT JOIN named m ON m.rid = d.
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op4_piece_sampling": op4_piece_sampling,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_decontamination": op7_decontamination,
 }

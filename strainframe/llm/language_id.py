@@ -29,10 +29,13 @@ DICTIONARY_BYTES = 448 << 10
 #: Languages that may be learned; their dictionaries are broadcast, so this bounds the broadcast to 45 MB.
 MOST_LANGUAGES = 100
 BLOCK_BYTES = 8 << 10
-#: A quick match finder decides clear cases; gaps below CLEAR are measured again with a thorough one.
+#: Shorter texts are repeated up to this size: below it the coder stores them as they are and shows no difference.
+SHORT_BYTES = 160
+#: A quick match finder decides clear cases; gaps below CLEAR, and texts up to BRIEF_BYTES, are measured with a thorough one.
 QUICK = {"strategy": zstandard.STRATEGY_FAST, "hash_log": 18, "chain_log": 18, "search_log": 1}
 THOROUGH = {"strategy": zstandard.STRATEGY_BTLAZY2, "hash_log": 17, "chain_log": 19, "search_log": 3}
 CLEAR = 0.05
+BRIEF_BYTES = 512
 #: Smallest relative gap to the second best language that is not narrow.
 NARROW = 0.01
 #: Bits of evidence that a byte of difference counts for in the score.
@@ -105,8 +108,9 @@ class Classifier:
         if not self.languages or not text or not _LETTER.search(text):
             return UNKNOWN, 0.0, 0.0
         plain = letters(text)
+        plain *= -(-SHORT_BYTES // len(plain))
         blocks = [plain[at : at + BLOCK_BYTES] for at in range(0, len(plain), BLOCK_BYTES)]
-        for coders in (self.quick, self.thorough):
+        for coders in (self.quick, self.thorough) if len(plain) > BRIEF_BYTES else (self.thorough,):
             # Compressed bytes of the whole text under each dictionary.
             sizes = np.array([sum(len(one.compress(block)) for block in blocks) for one in coders], float)
             best = int(sizes.argmin())

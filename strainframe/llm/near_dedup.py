@@ -302,11 +302,15 @@ def near_duplicates(
 
 def first_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The document with the smallest id of every group, all columns kept; rows that repeat an id are one document."""
-    found = cut_lineage(near_duplicates(docs, id_column, text_column).groupBy("id").agg(
-        F.count("*").alias("copies"), F.min(F.when(F.col("id").eqNullSafe(F.col("component")), 0).otherwise(1)).alias("later")))
-    kept = found.filter("later = 0")
-    once = docs.join(kept.filter("copies = 1").select("id"), docs[id_column].eqNullSafe(F.col("id")), "left_semi")
+    own = F.col("id").eqNullSafe(F.col("component"))
+    found = near_duplicates(docs, id_column, text_column).groupBy("id").agg(F.count("*").alias("copies"), F.max(own).alias("own"))
+    kept = cut_lineage(found.filter("own").select(F.col("id").alias("kept id"), "copies"))
+
+    def rows(which: str) -> DataFrame:
+        chosen = kept.filter(which).select("kept id")
+        return docs.join(chosen, docs[id_column].eqNullSafe(chosen["kept id"]), "left_semi")
+
+    once = rows("copies = 1")
     if kept.filter("copies > 1").isEmpty():
         return once
-    repeated = docs.join(kept.filter("copies > 1").select("id"), docs[id_column].eqNullSafe(F.col("id")), "left_semi")
-    return once.unionByName(repeated.dropDuplicates([id_column]))
+    return once.unionByName(rows("copies > 1").dropDuplicates([id_column]))
