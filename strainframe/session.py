@@ -54,17 +54,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder.name)
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The one sub-folder that holds all tables of this application's run."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables-{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the run's folder."""
+    return f"{run_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def remove_run_folder(spark: SparkSession) -> None:
+    """Delete the tables of this run; call it when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Write the rows once to the shared folder and read them back.
 
     One pass over the input, columnar, and later stages re-read the files after
     an executor is lost.
     """
-    spark = frame.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    path = scratch_path(frame.sparkSession)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:
