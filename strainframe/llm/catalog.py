@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strainframe.llm import decontaminate, language_id, near_dedup, piece_sampling
+from strainframe.llm import decontaminate, language_id, near_dedup, piece_sampling, token_files
 from strainframe.llm.common import table
+from strainframe.session import scratch_path
 
+WORD_MODEL = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
@@ -38,6 +40,12 @@ def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark)
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_MODEL))
+    return token_files.read_token_files(spark, path, digest=True)
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -92,6 +100,7 @@ FROM docs d LEFT JOIN covered c ON c.rid = d.rid LEFT JOIN named m ON m.rid = d.
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_piece_sampling": op4_piece_sampling,
+    "op5_token_files": op5_token_files,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_decontamination": op7_decontamination,
 }
