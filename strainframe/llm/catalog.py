@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strainframe.llm import decontaminate, language_id, near_dedup, piece_sampling, token_files
+from strainframe.llm import decontaminate, language_id, near_dedup, piece_sampling, syncmers, token_files
 from strainframe.llm.common import table
 from strainframe.session import scratch_path
 
@@ -28,6 +28,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = piece_sampling.encode(documents, public_tokenizers.path(PIECE_MODEL))
@@ -99,6 +103,7 @@ FROM docs d LEFT JOIN covered c ON c.rid = d.rid LEFT JOIN named m ON m.rid = d.
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_syncmers": op3_syncmers,
     "op4_piece_sampling": op4_piece_sampling,
     "op5_token_files": op5_token_files,
     "op6_near_duplicates": op6_near_duplicates,
