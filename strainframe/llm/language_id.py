@@ -50,21 +50,19 @@ def letters(text: str) -> bytes:
     return (" " + _OTHER.sub(" ", text.lower()).strip() + " ").encode()
 
 
-def sample(labelled: DataFrame, lang_column: str, text_column: str, id_column: str, documents: int, chars: int) -> DataFrame:
-    """(lang, slice): at most ``documents`` slices of ``chars`` characters a language, at places chosen by the row's hash."""
-    rows = labelled.select(F.col(id_column).alias("id"), F.col(lang_column).cast("string").alias("lang"), F.col(text_column).cast("string").alias("text"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-
-    def first(frame, *order):
-        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", *order))
-        return frame.withColumn("place", place).filter(F.col("place") <= documents)
-
-    # The ids are chosen without their texts; the second choice bounds rows that repeat an id.
-    chosen = first(rows).select("id", "lang").distinct()
-    texts = rows.join(F.broadcast(chosen), rows["id"].eqNullSafe(chosen["id"]) & (rows["lang"] == chosen["lang"]), "left_semi")
+def sample(labelled: DataFrame, counts: dict[str, int], documents: int, chars: int) -> DataFrame:
+    """(lang, place, slice): at most ``documents`` slices of ``chars`` characters a language, at places chosen by the row's hash.
+
+    A row is drawn if its hash lies below a share of the hash range that holds about
+    twice as many rows as wanted, so no language is gathered in one task.
+    """
+    limits = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 2.0 * documents / n)))])
+    drawn = labelled.filter(F.pmod(F.xxhash64("id", F.lit("draw")), F.lit(1 << 53)) < limits[F.col("lang")] * float(1 << 53))
     room = F.greatest(F.length("text") - chars + 1, F.lit(1))
-    slices = texts.select("id", "lang", F.substring("text", (F.pmod(F.xxhash64("id", F.lit("slice")), room) + 1).cast("int"), F.lit(chars)).alias("slice"))
-    return first(slices, "slice").select("lang", "place", "slice")
+    start = (F.pmod(F.xxhash64("id", F.lit("slice")), room) + 1).cast("int")
+    slices = drawn.filter("text is not null").select("id", "lang", F.substring("text", start, F.lit(chars)).alias("slice"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "slice"))
+    return slices.withColumn("place", place).filter(F.col("place") <= documents)
 
 
 def learn(
@@ -76,12 +74,16 @@ def learn(
     chars: int = SAMPLE_CHARS,
 ) -> dict[str, bytes]:
     """Dictionary content of every language; rows without a label or text teach nothing."""
-    languages = labelled.select(F.col(lang_column).cast("string").alias("lang")).filter("lang is not null").distinct().limit(MOST_LANGUAGES + 1).count()
-    if languages > MOST_LANGUAGES:
+    names = {id_column: "id", lang_column: "lang", text_column: "text"}
+    rows = labelled.select(*[F.col(old).alias(new) for old, new in names.items()])
+    rows = rows.withColumns({"lang": F.col("lang").cast("string"), "text": F.col("text").cast("string")}).filter("lang is not null")
+    counts = {row["lang"]: row["count"] for row in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages: is {lang_column} a language column?")
-    rows = sample(labelled, lang_column, text_column, id_column, documents, chars).orderBy("lang", "place").collect()
+    if not counts:
+        return {}
     content: dict[str, bytearray] = {}
-    for row in rows:
+    for row in sample(rows, counts, documents, chars).orderBy("lang", "place").collect():
         whole = content.setdefault(row["lang"], bytearray())
         if len(whole) < DICTIONARY_BYTES and _LETTER.search(row["slice"]):
             whole += letters(row["slice"])
