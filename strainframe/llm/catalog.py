@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strainframe.llm import decontaminate, language_id, near_dedup, piece_sampling, syncmers, token_files
+from strainframe.llm import decontaminate, language_id, near_dedup, piece_sampling, preferences, syncmers, token_files, warc_revisits
 from strainframe.llm.common import table
 from strainframe.session import scratch_path
 
@@ -101,6 +101,141 @@ FROM docs d LEFT JOIN covered c ON c.rid = d.rid LEFT JOIN named m ON m.rid = d.
 """
 
 
+def page_captures(pages: DataFrame) -> DataFrame:
+    """Two captures of every page: a full response, and a revisit of another spelling of its URL.
+
+    Revisits carry the right entity tag, a wrong one, a date or nothing; one in
+    seven precedes its response.
+    """
+    number = F.col("page_id")
+    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    day = F.concat(F.lit("day "), (number % 11).cast("string"))
+    response = pages.select(
+        (number * 2).alias("record_id"),
+        "url",
+        (number * 10).alias("ts"),
+        F.lit(200).alias("status"),
+        F.create_map(
+            *map(F.lit, ("Content-Type", "text/html", "Connection", "keep-alive")),
+            F.lit("Content-Length"),
+            F.length("html").cast("string"),
+            F.lit("ETag"),
+            tag,
+            F.lit("Last-Modified"),
+            day,
+        ).alias("headers"),
+        F.col("html").alias("payload"),
+    )
+    always = F.create_map(*map(F.lit, ("Cache-Control", "max-age=60", "Content-Length", "0", "Connection", "close")))
+    validator = (
+        F.when(number % 5 == 0, F.create_map(F.lit("ETag"), F.lit('"other"')))
+        .when(number % 5 == 2, F.create_map(F.lit("Last-Modified"), day))
+        .when(number % 5 != 1, F.create_map(F.lit("ETag"), F.concat(F.lit("W/"), tag)))
+        .otherwise(F.create_map(F.lit("X-Seen"), F.lit("1")))
+    )
+    revisit = pages.select(
+        (number * 2 + 1).alias("record_id"),
+        F.concat("url", F.lit("#later")).alias("url"),
+        (number * 10 + F.when(number % 7 == 0, -5).otherwise((number % 4) * 20000 + 5)).alias("ts"),
+        F.lit(304).alias("status"),
+        F.map_concat(always, validator).alias("headers"),
+        F.lit(None).cast("string").alias("payload"),
+    )
+    return response.unionByName(revisit)
+
+
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_revisits.resolve_revisits(page_captures(table(spark, sf_dir, "pages")))
+    listed = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select(
+        "record_id",
+        "response_id",
+        "outcome",
+        "status",
+        F.array_join(listed, ";").alias("headers"),
+        F.length("payload").cast("long").alias("payload_chars"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+    )
+
+
+OP8_SQL = r"""
+WITH spelt AS (
+    SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^https?://', '', 'i') AS bare FROM pages),
+parts AS (
+    SELECT *, lower(regexp_extract(bare, '^([^/?]*)', 1)) AS host, regexp_extract(regexp_extract(bare, '^([^?]*)', 1), '^[^/]*(.*)$', 1) AS path,
+           list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_source|utm_medium|utm_campaign|utm_term|utm_content|ref|fbclid|gclid)(=|$)'))) AS args
+    FROM spelt),
+keyed AS (
+    SELECT page_id, html, regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '') || regexp_replace(path, '/+$', '')
+           || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS key
+    FROM parts),
+full_ AS (SELECT page_id * 2 AS record_id, page_id * 10 AS ts, key, html, page_id, '"' || md5(html) || '"' AS tag, 'day ' || (page_id % 11) AS day FROM keyed),
+asked AS (
+    SELECT page_id * 2 + 1 AS record_id, key, page_id,
+           page_id * 10 + CASE WHEN page_id % 7 = 0 THEN -5 ELSE (page_id % 4) * 20000 + 5 END AS ts,
+           CASE WHEN page_id % 5 = 0 THEN '"other"' WHEN page_id % 5 IN (1, 2) THEN NULL ELSE '"' || md5(html) || '"' END AS tag,
+           CASE WHEN page_id % 5 = 2 THEN 'day ' || (page_id % 11) END AS day
+    FROM keyed),
+met AS (
+    SELECT a.record_id, a.page_id, a.tag AS asked_tag, a.day AS asked_day, f.record_id AS response_id, f.tag, f.day, f.html,
+           row_number() OVER (PARTITION BY a.record_id ORDER BY f.ts DESC NULLS LAST, f.record_id DESC) AS place
+    FROM asked a LEFT JOIN full_ f ON f.key = a.key AND (f.ts < a.ts OR (f.ts = a.ts AND f.record_id < a.record_id))),
+judged AS (
+    SELECT *, CASE WHEN response_id IS NULL THEN 'no_response' WHEN asked_tag IS NOT NULL THEN CASE WHEN asked_tag = tag THEN 'resolved' ELSE 'mismatch' END
+                   WHEN asked_day IS NOT NULL THEN CASE WHEN asked_day = day THEN 'resolved' ELSE 'mismatch' END ELSE 'unverified' END AS outcome
+    FROM met WHERE place = 1)
+SELECT record_id, response_id, outcome, CASE WHEN outcome IN ('resolved', 'unverified') THEN 200 END AS status,
+       CASE WHEN outcome IN ('resolved', 'unverified') THEN
+           'cache-control=max-age=60;content-length=' || length(html) || ';content-type=text/html;etag=' || CASE WHEN asked_tag IS NULL THEN tag ELSE 'W/' || asked_tag END
+           || ';last-modified=' || day || CASE WHEN page_id % 5 = 1 THEN ';x-seen=1' ELSE '' END END AS headers,
+       CASE WHEN outcome IN ('resolved', 'unverified') THEN CAST(length(html) AS BIGINT) END AS payload_chars,
+       CASE WHEN outcome IN ('resolved', 'unverified') THEN sha256(html) END AS payload_sha256
+FROM judged
+"""
+
+
+def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preferences.with_swapped_answer(table(spark, sf_dir, "conversations"))
+    return preferences.format_preferences(pairs).select(
+        "conv_id",
+        "prompt_turns",
+        "prompt",
+        preferences.text_of(F.col("chosen_completion")).alias("chosen"),
+        preferences.text_of(F.col("rejected_completion")).alias("rejected"),
+        preferences.text_of(F.col("chosen_completion"), trained_only=True).alias("chosen_trained"),
+        preferences.text_of(F.col("rejected_completion"), trained_only=True).alias("rejected_trained"),
+    )
+
+
+OP9_SQL = """
+WITH turns AS (
+    SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations),
+answers AS (SELECT conv_id, max(n) AS at, max_by(text, n) AS text FROM turns WHERE role = 'assistant' GROUP BY conv_id),
+other AS (
+    SELECT t.conv_id, t.n, t.role, CASE WHEN t.n = a.at THEN b.text ELSE t.text END AS text
+    FROM turns t LEFT JOIN answers a ON a.conv_id = t.conv_id
+    LEFT JOIN answers b ON b.conv_id = t.conv_id + CASE WHEN t.conv_id % 2 = 0 THEN 1 ELSE -1 END
+    WHERE a.at IS NULL OR b.conv_id IS NOT NULL OR t.n < a.at),
+ends AS (
+    SELECT conv_id, min(n) AS n FROM (
+        SELECT coalesce(t.conv_id, o.conv_id) AS conv_id, coalesce(t.n, o.n) AS n
+        FROM turns t FULL JOIN other o ON o.conv_id = t.conv_id AND o.n = t.n
+        WHERE t.n IS NULL OR o.n IS NULL OR t.role IS DISTINCT FROM o.role OR t.text IS DISTINCT FROM o.text) GROUP BY conv_id),
+sides AS (SELECT 'c' AS side, conv_id, n, role, text FROM turns UNION ALL SELECT 'r', conv_id, n, role, text FROM other),
+pieces AS (
+    SELECT s.side, s.conv_id, s.n, coalesce(s.n < e.n, true) AS shared, '<|im_start|>' || s.role || chr(10) AS head, s.text || '<|im_end|>' || chr(10) AS body,
+           s.role = 'assistant' AS trained
+    FROM sides s LEFT JOIN ends e ON e.conv_id = s.conv_id)
+SELECT conv_id, CAST(count(*) FILTER (shared AND side = 'c') AS INTEGER) AS prompt_turns,
+       coalesce(string_agg(head || body, '' ORDER BY n) FILTER (shared AND side = 'c'), '') AS prompt,
+       coalesce(string_agg(head || body, '' ORDER BY n) FILTER (NOT shared AND side = 'c'), '') AS chosen,
+       coalesce(string_agg(head || body, '' ORDER BY n) FILTER (NOT shared AND side = 'r'), '') AS rejected,
+       coalesce(string_agg(body, '' ORDER BY n) FILTER (NOT shared AND trained AND side = 'c'), '') AS chosen_trained,
+       coalesce(string_agg(body, '' ORDER BY n) FILTER (NOT shared AND trained AND side = 'r'), '') AS rejected_trained
+FROM pieces GROUP BY conv_id
+"""
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_syncmers": op3_syncmers,
@@ -108,8 +243,12 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_decontamination": op7_decontamination,
+    "op8_revisits": op8_revisits,
+    "op9_preferences": op9_preferences,
 }
 
 ORACLES = {
     "op7_decontamination": OP7_SQL,
+    "op8_revisits": OP8_SQL,
+    "op9_preferences": OP9_SQL,
 }
