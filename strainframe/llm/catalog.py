@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strainframe.llm import decontaminate, language_id, near_dedup, piece_sampling, preferences, syncmers, token_files, warc_revisits
+from strainframe.llm import decontaminate, language_id, near_dedup, page_templates, piece_sampling, preferences, syncmers, token_files, warc_revisits
 from strainframe.llm.common import table
 from strainframe.session import scratch_path
 
@@ -236,6 +236,11 @@ FROM pieces GROUP BY conv_id
 """
 
 
+def op10_page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = page_templates.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_syncmers": op3_syncmers,
@@ -245,6 +250,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_revisits": op8_revisits,
     "op9_preferences": op9_preferences,
+    "op10_page_templates": op10_page_templates,
 }
 
 ORACLES = {
