@@ -11,7 +11,11 @@ and one total a shard gives every document its place in the whole array.
 
 from __future__ import annotations
 
+import collections
+import itertools
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -27,10 +31,14 @@ from strainframe.llm.common import byte_slices, scan_width
 SEGMENT_IDS = 1 << 20
 SEGMENT_DOCS = 1 << 16
 #: Words whose ids a task remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: Ones between two stored positions of the select structure.
 SELECT_STEP = 256
 END_ID = 2
+#: How such a tokenizer splits a text (fixed value of the tokenizer file).
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+_WORD = re.compile(rb"\S*[^\s!-/:-@\[-`{-~]|[!-/:-@\[-`{-~]+")
 
 SEGMENT_FIELDS = (
     "shard int, segment int, before long, n_docs int, n_nameless int, n_ids long, id_bytes int, "
@@ -86,11 +94,13 @@ class EliasFano:
         return (high | (low.astype(np.uint64) << np.arange(self.bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)).astype(np.int64)
 
 
-class WordEncoder:
-    """Ids of texts from the ids of their words.
+class TextEncoder:
+    """Ids of texts, an end id after each.
 
-    The tokenizer's own splits never join what white space separates, so the ids of
-    a text are those of its words in a row, and a word is encoded once.
+    A tokenizer that lowers case and splits at white space and between letters and
+    punctuation gives a text the ids of its words in a row; a word's end of ASCII
+    punctuation is a word of its own. Each is then encoded once and remembered.
+    Other tokenizers encode every text as a whole.
     """
 
     def __init__(self, tokenizer_path: str, end_id: int):
@@ -100,35 +110,51 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4")
         self.end_id = end_id
+        with open(tokenizer_path) as file:
+            settings = json.load(file)
+        normal = [part["type"] for part in (settings["normalizer"] or {}).get("normalizers", ())]
+        split = ((settings["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.by_word = normal == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == WORD_SPLIT and split["invert"]
+        self.special = [part["content"].encode() for part in settings["added_tokens"]]
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: dict[bytes, int] = collections.defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.number[b"\n"]  # the end of a text, no word
         self.flat, self.size = np.array([self.end_id], self.kind), np.ones(1, np.int64)
 
+    def words(self, text: bytes) -> list[bytes]:
+        if any(token[:2] in text for token in self.special):
+            return text.split()  # lower case makes, and a cut breaks, special tokens
+        return _WORD.findall(text.lower())
+
+    def _ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [found.ids for found in self.tokenizer.encode_batch_fast([text.decode() for text in texts], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), self.kind, int(sizes.sum())), sizes
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, ids of each text), an end id after each text."""
+        """(all ids, ids of each text)."""
+        if not self.by_word:
+            flat, sizes = self._ids(texts)
+            return np.insert(flat, np.cumsum(sizes), self.end_id).astype(self.kind), sizes + 1
         if len(self.number) > CACHE_WORDS:
             self.forget()
-        number, places, counts, known = self.number, [], [], len(self.number)
+        known, places = len(self.number), []
         for text in texts:
-            words = text.split()
-            counts.append(len(words) + 1)
-            places += [number.setdefault(word, len(number) + 1) for word in words]
-            places.append(0)
-        if len(number) > known:
-            new = [word.decode() for word in list(number)[known:]]
-            ids = [found.ids for found in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.size = np.concatenate((self.size, np.fromiter(map(len, ids), np.int64, len(ids))))
-            self.flat = np.concatenate((self.flat, np.array([x for word in ids for x in word], self.kind)))
-        begin = np.cumsum(self.size) - self.size
-        places = np.array(places, np.int64)
-        sizes = self.size[places]
+            words = self.words(text)
+            words.append(b"\n")
+            places.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
+        if len(self.number) > known:
+            flat, sizes = self._ids(list(itertools.islice(self.number, known, None)))
+            self.flat, self.size = np.concatenate((self.flat, flat)), np.concatenate((self.size, sizes))
+        last = np.cumsum([len(x) for x in places])
+        places = np.concatenate(places)
+        begin, sizes = np.cumsum(self.size) - self.size, self.size[places]
         ends = np.cumsum(sizes)
-        out = self.flat[np.repeat(begin[places] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        last = np.cumsum(counts)
-        totals = np.concatenate(([0], ends))[np.concatenate(([0], last))]
-        return out, np.diff(totals)
+        out = self.flat[np.repeat(begin[places] - ends + sizes, sizes) + np.arange(int(ends[-1]))]
+        return out, np.diff(ends[last - 1], prepend=0)
 
 
 def _segment(shard: int, number: int, before: int, docs: list, sizes: np.ndarray, ids: np.ndarray) -> dict:
@@ -142,7 +168,7 @@ def _segment(shard: int, number: int, before: int, docs: list, sizes: np.ndarray
 
 def _write_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema, tokenizer_path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Rows (id, text) in ascending id order, one segment a batch."""
-    encoder, shard, number, before = WordEncoder(tokenizer_path, end_id), TaskContext.get().partitionId(), 0, 0
+    encoder, shard, number, before = TextEncoder(tokenizer_path, end_id), TaskContext.get().partitionId(), 0, 0
     docs: list = []
     sizes: list[np.ndarray] = []
     ids: list[np.ndarray] = []
