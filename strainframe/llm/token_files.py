@@ -38,7 +38,8 @@ END_ID = 2
 #: How such a tokenizer splits a text (fixed value of the tokenizer file).
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-_WORD = re.compile(rb"\S*[^\s!-/:-@\[-`{-~]|[!-/:-@\[-`{-~]+")
+#: A word, cut before ASCII punctuation that ends it behind an ASCII letter or digit.
+_WORD = re.compile(rb"\S*[0-9a-z](?=[!-/:-@\[-`{-~]+(?:\s|\Z))|\S+")
 
 SEGMENT_FIELDS = (
     "shard int, segment int, before long, n_docs int, n_nameless int, n_ids long, id_bytes int, "
