@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strainframe.llm import decontaminate, language_id, near_dedup, page_templates, piece_sampling, preferences, syncmers, token_files, warc_revisits
+from strainframe.llm import decontaminate, katz, language_id, near_dedup, page_templates, piece_sampling, preferences, syncmers, token_files, warc_revisits
 from strainframe.llm.common import table
 from strainframe.session import scratch_path
 
@@ -19,6 +19,10 @@ def remainder(divisor: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"), remainder(5) != 1)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False)))
     content = language_id.learn(documents.filter(~F.col("held_out")))
@@ -242,6 +246,7 @@ def op10_page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_katz": op1_katz,
     "op2_language_id": op2_language_id,
     "op3_syncmers": op3_syncmers,
     "op4_piece_sampling": op4_piece_sampling,
