@@ -7,8 +7,8 @@ vector, so classes come from plain aggregations that combine before the shuffle.
 Classes that nearly every page has, with a fixed count, are valid; they nest by
 the paths of their elements and make up the host's template. What the template
 leaves open are its slots. The main slot is the template element that holds the
-article; its blocks are the page's text, without template texts and without
-blocks whose elements have another purpose. Hosts with few pages have no
+article; its blocks are the page's text, without blocks whose elements have
+another purpose and, where no article is marked, without template texts. Hosts with few pages have no
 template; their pages are cut by their own elements in the same way.
 """
 
@@ -301,7 +301,8 @@ def equivalence_classes(tokens: DataFrame) -> DataFrame:
 def templates(classes: DataFrame) -> DataFrame:
     """(host, mains, texts): containers of the main slot in order of preference, and template texts to leave out.
 
-    A template holds at most a page's tokens a few times over, so a host's row is bounded.
+    A template holds at most a page's tokens a few times over, so a host's row is
+    bounded. Inside a marked article all texts are the article's, however often they recur.
     """
     # A text is part of the template only together with an element of its class.
     with_elements = classes.filter("not is_text").select("host", "class").distinct()
@@ -310,10 +311,10 @@ def templates(classes: DataFrame) -> DataFrame:
     wide = bodies.groupBy("host").agg(F.max("chars").alias("most"))
     eligible = bodies.join(wide, "host").filter((F.col("rank") > 0) | (F.col("chars") >= MAIN_SHARE * F.col("most")))
     order = F.struct((-F.col("rank")).alias("a"), F.when(F.col("rank") > 0, -F.col("chars")).otherwise(0).alias("b"), (-F.col("depth")).alias("c"), "token")
-    mains = eligible.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["token"]).alias("mains"), F.max("most").alias("most"))
+    mains = eligible.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["token"]).alias("mains"), F.max("most").alias("most"), F.max("rank").alias("marked"))
     left_out = texts.groupBy("host").agg(F.collect_list("token").alias("texts"), F.sum("chars").alias("fixed"))
     met = mains.join(left_out, "host", "left")
-    return met.select("host", "mains", F.when(F.col("fixed") <= TEMPLATE_SHARE * F.col("most"), F.col("texts")).alias("texts"))
+    return met.select("host", "mains", F.when((F.col("marked") == 0) & (F.col("fixed") <= TEMPLATE_SHARE * F.col("most")), F.col("texts")).alias("texts"))
 
 
 def _text_batches(batches: Iterator[pa.RecordBatch], columns: list[int]) -> Iterator[pa.RecordBatch]:
