@@ -27,6 +27,8 @@ from strainframe.llm.common import byte_slices, with_fields
 
 #: Text bytes whose lattices are in memory at a time (a longer text is a slice of its own).
 SLICE = 3 << 20
+#: Bytes of distinct words whose lattices are built at a time.
+LATTICE_BYTES = 200_000
 #: Exponent on path weights: 0 draws uniformly over paths, large values approach the best path.
 ALPHA = 1.0
 SEED = 17
@@ -212,10 +214,26 @@ def sample_slice(pieces: Pieces, texts: list[bytes], keys: np.ndarray) -> tuple[
         seen += [number.setdefault(word, len(number)) for word in words]
     if not seen:
         return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-    sizes = np.array(sizes)
+    sizes, seen = np.array(sizes), np.array(seen, np.int32)
     owner = np.repeat(np.arange(len(texts)), sizes)
     place = np.arange(len(seen)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    chosen, count = Lattice(pieces, list(number)).draw(np.array(seen), mix(keys[owner] + mix((place.astype(np.uint64) + np.uint64(1)) * _GOLDEN)))
+    keys = mix(keys[owner] + mix((place.astype(np.uint64) + np.uint64(1)) * _GOLDEN))
+    # Lattices of some of the distinct words at a time; their occurrences are drawn and put in their places.
+    words = list(number)
+    order = np.argsort(seen, kind="stable")
+    block = np.cumsum([len(word) for word in words]) // LATTICE_BYTES
+    starts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(words))
+    parts, count = [], np.empty(len(seen), np.int64)
+    cuts = np.searchsorted(seen[order], starts)
+    for low, high, a, b in zip(starts, starts[1:], cuts, cuts[1:], strict=False):
+        who = order[a:b]
+        drawn, count[who] = Lattice(pieces, words[low:high]).draw(seen[who] - low, keys[who])
+        parts.append((who, drawn))
+    begin = np.cumsum(count) - count
+    chosen = np.empty(int(count.sum()), np.int32)
+    for who, drawn in parts:
+        own = count[who]
+        chosen[np.repeat(begin[who] - np.cumsum(own) + own, own) + np.arange(len(drawn))] = drawn
     return chosen, np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
 
 
