@@ -188,6 +188,7 @@ def q_spearman(spark, folder):
 )
 def q_pairwise_order_accuracy(spark, folder):
     result = metrics.pairwise_order_accuracy(long_predictions(spark, folder), ["target"])
+    result = result.withColumns({name: F.col(name).cast("long") for name in ("comparable", "correct")})
     return rounded(result, "pairwise_order_accuracy", digits=9)
 
 

@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from strainframe.catalog.metrics_catalog import CV_VIEWS, TARGETS, chart_labels, fold_rows, grouped_charts, predictions
 from strainframe.catalog.registry import query, rounded
 from strainframe.operators import embeddings, features, labels, models, splits, sweeps
-from strainframe.session import cut_lineage, ensure_checkpoint_dir
+from strainframe.session import cut_lineage, scratch_path
 from strainframe.sources import tables
 
-SMALL_FOREST = models.ForestOptions(trees=10, min_leaf=2, max_depth=6)
+#: Trees a forest of these queries has; every other option is the default.
+FOREST = models.ForestOptions(trees=20)
+FOLDS = 5
 
 
-def training_rows(spark, folder, folds=3):
+def training_rows(spark, folder, folds=FOLDS):
     """Features, targets, weight and fold of every labelled chart with notes."""
     charts = grouped_charts(spark, folder)
-    values = features.chart_features(tables.raw_notes(spark, folder), max_notes=3000)
+    values = features.chart_features(tables.raw_notes(spark, folder))
     weight = labels.sample_weight(F.col("score_count"))
     rows = charts.select("beatmap_id", "split_group", *TARGETS, weight.alias("weight")).join(values, "beatmap_id")
     return cut_lineage(splits.cross_validation_folds(rows, folds=folds, seed=42))
@@ -27,7 +27,7 @@ def training_rows(spark, folder, folds=3):
 @query("q_forest_regression")
 def q_forest_regression(spark, folder):
     rows = training_rows(spark, folder)
-    model = models.fit_forest(rows.filter("fold <> 1"), features.CORE_FEATURES, TARGETS, SMALL_FOREST, weight="weight")
+    model = models.fit_forest(rows.filter("fold <> 1"), features.CORE_FEATURES, TARGETS, FOREST, weight="weight")
     scored = model.predict(rows.filter("fold = 1"))
     return scored.select("beatmap_id", *[n for t in TARGETS for n in (t, f"pred_{t}")])
 
@@ -35,26 +35,25 @@ def q_forest_regression(spark, folder):
 @query("q_cv_oof_forest")
 def q_cv_oof_forest(spark, folder):
     rows = training_rows(spark, folder)
-    return models.out_of_fold(rows, features.CORE_FEATURES, TARGETS[:2], SMALL_FOREST, folds=3, weight="weight")
+    return models.out_of_fold(rows, features.CORE_FEATURES, TARGETS, FOREST, folds=FOLDS, weight="weight")
 
 
 @query("q_feature_importance")
 def q_feature_importance(spark, folder):
     rows = training_rows(spark, folder)
-    model = models.fit_forest(rows, features.CORE_FEATURES, TARGETS[:1], SMALL_FOREST, weight="weight")
+    model = models.fit_forest(rows, features.CORE_FEATURES, TARGETS, FOREST, weight="weight")
     return model.importances(spark).orderBy("target", F.col("importance").desc(), "feature")
 
 
 @query("q_batch_predict")
 def q_batch_predict(spark, folder):
     rows = training_rows(spark, folder)
-    model = models.fit_forest(rows, features.CORE_FEATURES, TARGETS[:2], SMALL_FOREST, weight="weight")
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/models-{uuid.uuid4().hex}"
+    model = models.fit_forest(rows, features.CORE_FEATURES, TARGETS, FOREST, weight="weight")
+    path = scratch_path(spark)
     model.save(path, spark)
     loaded = models.ForestModel.load(path, spark)
-    every = features.chart_features(tables.raw_notes(spark, folder), max_notes=3000)
-    return loaded.predict(every).select("beatmap_id", *[f"pred_{t}" for t in TARGETS[:2]])
+    every = features.chart_features(tables.raw_notes(spark, folder))
+    return loaded.predict(every).select("beatmap_id", *[f"pred_{t}" for t in TARGETS])
 
 
 # --- sweeps -----------------------------------------------------------------
@@ -181,13 +180,13 @@ def q_best_candidate(spark, folder):
 
 @query("q_sweep_forest")
 def q_sweep_forest(spark, folder):
-    rows = training_rows(spark, folder, folds=2)
+    rows = training_rows(spark, folder)
     parts = []
     for leaf in (1, 4):
-        options = models.ForestOptions(trees=5, min_leaf=leaf, max_depth=5)
-        oof = models.out_of_fold(rows, features.CORE_FEATURES, TARGETS[:1], options, folds=2, weight="weight")
+        options = models.ForestOptions(trees=10, min_leaf=leaf)
+        oof = models.out_of_fold(rows, features.CORE_FEATURES, TARGETS, options, folds=FOLDS, weight="weight")
         parts.append(
-            oof.withColumns({"forest_trees": F.lit(5), "forest_min_samples_leaf": F.lit(leaf), "feature_set": F.lit("core")})
+            oof.withColumns({"forest_trees": F.lit(10), "forest_min_samples_leaf": F.lit(leaf), "feature_set": F.lit("core")})
         )
     keys = ["feature_set", "forest_trees", "forest_min_samples_leaf"]
     return sweeps.evaluated(parts[0].unionByName(parts[1]), keys)[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strainframe.catalog.registry import query, rounded
+from strainframe.catalog.views import VIEWS
 from strainframe.operators import features, labels, sequences
 from strainframe.sources import tables
 
@@ -242,18 +243,7 @@ LABEL_SQL = ", ".join(
 
 @query(
     "q_accuracy_labels",
-    f"SELECT beatmap_id, {LABEL_SQL}, score_count FROM all_scores",
-    extra={
-        "all_scores": """
-        SELECT beatmap_id, avg(accuracy) AS mean_acc, stddev_pop(accuracy) AS acc_std,
-               avg(accuracy) FILTER (WHERE rn <= greatest(1, round_even(n * 0.1, 0)))
-             - avg(accuracy) FILTER (WHERE rn > n - greatest(1, round_even(n * 0.5, 0))) AS skill_gap,
-               quantile_cont(accuracy, 0.5) AS median_acc, quantile_cont(accuracy, 0.1) AS p10_acc,
-               quantile_cont(accuracy, 0.9) AS p90_acc, count(*) AS score_count
-        FROM (SELECT *, row_number() OVER (PARTITION BY beatmap_id ORDER BY accuracy DESC) AS rn,
-                     count(*) OVER (PARTITION BY beatmap_id) AS n FROM scores)
-        GROUP BY beatmap_id"""
-    },
+    f"SELECT beatmap_id, {LABEL_SQL}, score_count FROM chart_scores",
 )
 def q_accuracy_labels(spark, folder):
     result = labels.accuracy_labels(tables.scores(spark, folder))
@@ -263,10 +253,13 @@ def q_accuracy_labels(spark, folder):
 @query(
     "q_score_labels",
     f"""SELECT beatmap_id, beatmapset_id, title, artist, mapper, version, length_ms, {LABEL_SQL}, score_count,
-               'mania' AS score_mode, CAST(100 AS BIGINT) AS score_limit FROM chart_labels""",
+               'mania' AS score_mode, CAST(100 AS BIGINT) AS score_limit FROM maps JOIN board_scores USING (beatmap_id) WHERE score_count >= 30""",
+    extra={"board_scores": VIEWS["chart_scores"].replace("FROM scores)", "FROM best_scores)"), "best_scores": """
+        SELECT beatmap_id, accuracy FROM (SELECT *, row_number() OVER (PARTITION BY beatmap_id ORDER BY accuracy DESC) AS place FROM scores) WHERE place <= 100"""},
 )
 def q_score_labels(spark, folder):
-    result = labels.score_labels(tables.scores(spark, folder), tables.maps(spark, folder))
+    """The leaderboard page of 100 scores and the least number of scores are this query's subject."""
+    result = labels.score_labels(tables.scores(spark, folder), tables.maps(spark, folder), min_scores=30, limit=labels.SCORE_LIMIT)
     names = ["beatmap_id", "beatmapset_id", "title", "artist", "mapper", "version", "length_ms"]
     return rounded(
         result.select(*names, *labels.LABEL_COLUMNS, "score_mode", "score_limit"),

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strainframe.catalog.metrics_catalog import chart_labels
+from strainframe.catalog.metrics_catalog import chart_labels, stored_labels
 from strainframe.catalog.registry import query, rounded
-from strainframe.operators import audit, labels, sequences
-from strainframe.session import cut_lineage, shuffle_width
+from strainframe.operators import audit, sequences
+from strainframe.plans.ordered import OrderedRuns
+from strainframe.session import cut_lineage
 from strainframe.sources import chart_text, landed_json, tables
 
 
 def chart_texts(spark, folder):
     """One text per part: header lines from its metadata, p_size + 5 hit objects from arithmetic."""
-    rows = tables.maps(spark, folder).repartition(shuffle_width(spark), "beatmap_id")
+    rows = tables.maps(spark, folder).repartition("beatmap_id")
     key = F.col("beatmap_id")
     hit = lambda i: F.concat_ws(
         ",",
@@ -77,19 +78,28 @@ TEXT_VIEWS = {
 
 @query(
     "q_chart_lines",
-    """SELECT beatmap_id, section, count(*) AS lines, CAST(sum(chars) AS BIGINT) AS chars FROM (
-         SELECT beatmap_id, '' AS section, 19 + 7 AS chars FROM chart_meta
-         UNION ALL SELECT beatmap_id, '', 0 FROM chart_meta
-         UNION ALL SELECT beatmap_id, 'General', 7 FROM chart_meta
-         UNION ALL SELECT beatmap_id, 'General', 8 FROM chart_meta
-         UNION ALL SELECT beatmap_id, 'Colours', 9 FROM chart_meta) WHERE section <> 'x' GROUP BY ALL""",
+    """SELECT beatmap_id, section, line, row_number() OVER (PARTITION BY beatmap_id ORDER BY place, i) - 1 AS line_no FROM (
+         SELECT beatmap_id, 0 AS place, 0 AS i, '' AS section, 'osu file format v14' AS line FROM maps
+         UNION ALL SELECT beatmap_id, 1, 0, '', 'Mode: 9' FROM maps
+         UNION ALL SELECT beatmap_id, 2, 0, 'General', 'Mode: 1' FROM maps
+         UNION ALL SELECT beatmap_id, 3, 0, 'General', 'Mode : ' || mode FROM maps
+         UNION ALL SELECT beatmap_id, 4, 0, 'Difficulty', 'HPDrainRate:' || hp_drain_rate FROM maps
+         UNION ALL SELECT beatmap_id, 5, 0, 'Difficulty', 'CircleSize:' || keys FROM maps
+         UNION ALL SELECT beatmap_id, 6, 0, 'Difficulty', CASE WHEN overall_difficulty IS NULL THEN 'OverallDifficulty: n/a'
+                   ELSE 'OverallDifficulty:' || (overall_difficulty + CASE WHEN beatmap_id % 8 = 0 THEN 0.5::DOUBLE ELSE 0 END) END FROM maps
+         UNION ALL SELECT beatmap_id, 7, 0, 'Difficulty', 'ApproachRate:' || approach_rate FROM maps
+         UNION ALL SELECT beatmap_id, 8, 0, 'Difficulty', 'no separator here' FROM maps
+         UNION ALL SELECT beatmap_id, 9, i, 'HitObjects', concat_ws(',', x || CASE WHEN i % 3 = 0 THEN '.9' ELSE '' END, '192', CAST(time_ms AS BIGINT),
+                   CASE WHEN i % 7 = 3 THEN 'bad' WHEN i % 5 = 0 THEN '128' ELSE '1' END, CASE WHEN i % 11 <> 4 THEN '0' END,
+                   CASE WHEN i % 11 = 4 THEN NULL WHEN i % 13 = 0 THEN 'x:0' ELSE CAST(time_ms + 40 * (i % 9) - 80 AS BIGINT) || ':0:0:0:0:' END) FROM objects
+         UNION ALL SELECT beatmap_id, 10, 0, 'Colours', '1,2,3,1,0' FROM maps)""",
     extra=TEXT_VIEWS,
 )
 def q_chart_lines(spark, folder):
-    rows = chart_line_rows(spark, folder).filter(F.col("section").isin("", "General", "Colours"))
-    return rows.groupBy("beatmap_id", "section").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars")
-    )
+    """Every kept line of every chart with its section and number."""
+    lines = chart_line_rows(spark, folder)
+    runs = OrderedRuns.build(lines, ["beatmap_id"], ["line_order"]).indexed("line_no")
+    return runs.rows().select("beatmap_id", "section", "line", "line_no")
 
 
 @query(
@@ -231,15 +241,18 @@ def q_keymode_filter(spark, folder):
 
 @query(
     "q_scores_json",
-    """SELECT beatmap_id, round(accuracy, 9) AS accuracy FROM (
-         SELECT *, row_number() OVER (PARTITION BY beatmap_id ORDER BY accuracy DESC) AS rn FROM scores) WHERE rn <= 100""",
+    "SELECT beatmap_id, round(accuracy, 9) AS accuracy FROM scores",
 )
 def q_scores_json(spark, folder):
-    board = labels.leaderboard(tables.scores(spark, folder))
-    # A leaderboard has at most 100 entries; one null entry is added per chart.
+    # A payload holds up to 1000 scores of a chart and one null entry; longer leaderboards come as several payloads.
+    scores = tables.table(spark, folder, "lineitem").select(
+        F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(1 << 20)).alias("part"), F.col("l_partkey").alias("beatmap_id"), tables.accuracy().alias("accuracy")
+    )
+    counts = scores.groupBy("beatmap_id").agg(F.ceil(F.count("*") / 500).alias("parts"))
+    board = scores.join(counts, "beatmap_id").withColumn("part", F.col("part") % F.col("parts"))
     entries = F.collect_list(F.struct(F.col("accuracy")))
     nothing = F.array(F.struct(F.lit(None).cast("double").alias("accuracy")))
-    payloads = board.groupBy("beatmap_id").agg(F.concat(entries, nothing).alias("scores"))
+    payloads = board.groupBy("beatmap_id", "part").agg(F.concat(entries, nothing).alias("scores"))
     keep_null = {"ignoreNullFields": "false"}
     payloads = payloads.select("beatmap_id", F.to_json(F.struct("scores"), keep_null).alias("payload"))
     return rounded(landed_json.score_rows(payloads), "accuracy", digits=9)
@@ -253,7 +266,7 @@ UNKNOWN = 1_000_000
 
 def audited_labels(spark, folder):
     """All labels, some of them twice, and some more under ids without notes or chart file."""
-    rows = chart_labels(spark, folder)
+    rows = stored_labels(spark, folder)
     again = rows.filter(F.col("beatmap_id") % 50 == 7)
     unknown = rows.filter("mode = 0").withColumn("beatmap_id", F.col("beatmap_id") + UNKNOWN)
     return rows.unionByName(again).unionByName(unknown)
@@ -326,12 +339,14 @@ def q_label_reliability(spark, folder):
 @query(
     "q_truncation",
     """SELECT CAST(count_if(note_count > 70) AS BIGINT) AS truncated_rows, round(avg((note_count > 70)::INT), 9) AS truncated_rate,
-              max(greatest(note_count - 70, 0)) AS max_notes_over_limit, CAST(70 AS BIGINT) AS max_notes FROM lengths""",
+              max(greatest(note_count - 70, 0)) AS max_notes_over_limit, CAST(70 AS BIGINT) AS max_notes FROM usable_rows""",
     extra=AUDIT_VIEWS,
 )
 def q_truncation(spark, folder):
+    """Over the label rows that have notes; a repeated label counts each time."""
     lengths = tables.raw_notes(spark, folder).groupBy("beatmap_id").agg(F.count(F.lit(1)).alias("note_count"))
-    return rounded(audit.truncation(lengths, max_notes=70), "truncated_rate", digits=9)
+    usable = audited_labels(spark, folder).select("beatmap_id").join(lengths, "beatmap_id")
+    return rounded(audit.truncation(usable, max_notes=70), "truncated_rate", digits=9)
 
 
 INTEGRITY = [

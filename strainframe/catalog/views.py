@@ -49,13 +49,12 @@ VIEWS = {
              - avg(accuracy) FILTER (WHERE rn > n - greatest(1, round_even(n * 0.5, 0))) AS skill_gap,
                quantile_cont(accuracy, 0.5) AS median_acc, quantile_cont(accuracy, 0.1) AS p10_acc,
                quantile_cont(accuracy, 0.9) AS p90_acc, count(*) AS score_count
-        FROM (SELECT *, count(*) OVER (PARTITION BY beatmap_id) AS n
-              FROM (SELECT *, row_number() OVER (PARTITION BY beatmap_id ORDER BY accuracy DESC) AS rn FROM scores)
-              WHERE rn <= 100)
+        FROM (SELECT *, count(*) OVER (PARTITION BY beatmap_id) AS n,
+                     row_number() OVER (PARTITION BY beatmap_id ORDER BY accuracy DESC) AS rn FROM scores)
         GROUP BY beatmap_id""",
     "chart_labels": """
         SELECT maps.*, mean_acc, acc_std, skill_gap, median_acc, p10_acc, p90_acc, score_count
-        FROM maps JOIN chart_scores USING (beatmap_id) WHERE score_count >= 30""",
+        FROM maps JOIN chart_scores USING (beatmap_id)""",
     "predictions": """
         SELECT beatmap_id, round(mean_acc, 9) AS actual_mean_acc, 0.95::DOUBLE + (length_ms / 1000 - 25) / 1000.0::DOUBLE AS pred_mean_acc,
                round(acc_std, 9) AS actual_acc_std, 0.02::DOUBLE + (length_ms / 1000 - 25) / 5000.0::DOUBLE AS pred_acc_std,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,19 +12,19 @@ from pyspark.sql import functions as F
 def scaled(embeddings: DataFrame, vector: str = "embedding") -> DataFrame:
     """Adds ``scaled`` (z-scores per dimension, deviation 0 -> 1) and ``embedding_norm`` of the raw vector.
 
-    The statistics have one entry per dimension and travel as a single row.
+    All vectors have the same length; their sums are taken whole, one row a vector,
+    and the statistics travel as a single row.
     """
-    entries = embeddings.select(F.posexplode(vector).alias("dim", "x"))
-    stats = entries.groupBy("dim").agg(
-        F.avg(F.col("x").cast("double")).alias("mean"), F.stddev_pop(F.col("x").cast("double")).alias("std")
-    )
-    packed = stats.agg(F.sort_array(F.collect_list(F.struct("dim", "mean", "std"))).alias("_stats"))
-    score = lambda x, place: (x.cast("double") - F.get("_stats", place)["mean"]) / F.when(
-        F.get("_stats", place)["std"] > 0, F.get("_stats", place)["std"]
-    ).otherwise(1.0)
+    whole = embeddings.filter(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    found = whole.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("_s"))
+    count = F.col("_s.count")
+    # The summary has the deviation of a sample; the population's is wanted.
+    population = F.transform(vector_to_array("_s.variance"), lambda x: F.when(count > 0, F.sqrt(x * (count - 1) / count)))
+    packed = found.select(vector_to_array("_s.mean").alias("_mean"), population.alias("_std"))
+    score = lambda x, place: (x.cast("double") - F.get("_mean", place)) / F.when(F.get("_std", place) > 0, F.get("_std", place)).otherwise(1.0)
     square = F.aggregate(vector, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
     joined = embeddings.crossJoin(F.broadcast(packed))  # one row
-    return joined.withColumns({"scaled": F.transform(vector, score), "embedding_norm": F.sqrt(square)}).drop("_stats")
+    return joined.withColumns({"scaled": F.transform(vector, score), "embedding_norm": F.sqrt(square)}).drop("_mean", "_std")
 
 
 def projected(embeddings: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -18,20 +18,22 @@ from strainframe.operators.sequences import (
 )
 
 # Feature names in vector order.
-CORE_FEATURES = (
-    "note_count_log duration_sec_log notes_per_sec delta_mean delta_std delta_p10 delta_p50 delta_p90 "
-    "short_gap_50ms_ratio short_gap_100ms_ratio short_gap_200ms_ratio column_mean column_std column_change_mean "
-    "same_column_ratio jump_column_ratio column_entropy column_imbalance ln_ratio ln_length_mean ln_length_std "
-    "ln_length_max ln_total_per_sec chord_mean chord_std chord_max chord_2_ratio chord_3_ratio chord_4_ratio"
-).split()
-BURST_FEATURES = (
-    "peak_notes_per_sec_1s peak_notes_per_sec_2s mean_notes_per_sec_1s burst_10nps_ratio burst_15nps_ratio "
-    "jack_ratio_100ms jack_ratio_150ms trill_like_ratio_120ms burst_chord_2_ratio burst_chord_3_ratio"
-).split()
-METADATA_FEATURES = (
-    "metadata_mode metadata_keys metadata_hp_drain_rate metadata_overall_difficulty metadata_approach_rate "
-    "metadata_difficulty_rating metadata_length_sec metadata_bpm"
-).split()
+CORE_FEATURES = [
+    "note_count_log", "duration_sec_log", "notes_per_sec", "delta_mean", "delta_std", "delta_p10", "delta_p50",
+    "delta_p90", "short_gap_50ms_ratio", "short_gap_100ms_ratio", "short_gap_200ms_ratio", "column_mean",
+    "column_std", "column_change_mean", "same_column_ratio", "jump_column_ratio", "column_entropy",
+    "column_imbalance", "ln_ratio", "ln_length_mean", "ln_length_std", "ln_length_max", "ln_total_per_sec",
+    "chord_mean", "chord_std", "chord_max", "chord_2_ratio", "chord_3_ratio", "chord_4_ratio",
+]
+BURST_FEATURES = [
+    "peak_notes_per_sec_1s", "peak_notes_per_sec_2s", "mean_notes_per_sec_1s", "burst_10nps_ratio",
+    "burst_15nps_ratio", "jack_ratio_100ms", "jack_ratio_150ms", "trill_like_ratio_120ms", "burst_chord_2_ratio",
+    "burst_chord_3_ratio",
+]
+METADATA_FEATURES = [
+    "metadata_mode", "metadata_keys", "metadata_hp_drain_rate", "metadata_overall_difficulty",
+    "metadata_approach_rate", "metadata_difficulty_rating", "metadata_length_sec", "metadata_bpm",
+]
 
 # Accepted column names per metadata feature, first usable one wins.
 METADATA_ALIASES = {

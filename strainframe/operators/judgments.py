@@ -11,11 +11,12 @@ from strainframe.plans.ordered import OrderedRuns
 from strainframe.plans.quantiles import counted_values
 
 # Table layouts.
-ANNOTATION_COLUMNS = (
-    "pair_id scope player_stage a_beatmap_id a_start_sec a_end_sec a_title a_artist a_version a_dominant_skill "
-    "a_peak_strain b_beatmap_id b_start_sec b_end_sec b_title b_artist b_version b_dominant_skill b_peak_strain "
-    "harder_choice confidence reason_tags notes"
-).split()
+ANNOTATION_COLUMNS = [
+    "pair_id", "scope", "player_stage", "a_beatmap_id", "a_start_sec", "a_end_sec", "a_title", "a_artist",
+    "a_version", "a_dominant_skill", "a_peak_strain", "b_beatmap_id", "b_start_sec", "b_end_sec", "b_title",
+    "b_artist", "b_version", "b_dominant_skill", "b_peak_strain", "harder_choice", "confidence", "reason_tags",
+    "notes",
+]
 JUDGMENT_COLUMNS = ["human_harder_beatmap_id", "human_confidence", "human_notes"]
 STATUSES = ["judged", "open", "uncertain", "out_of_range", "tie", "skip"]
 

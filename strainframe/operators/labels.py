@@ -24,22 +24,21 @@ def share_of(count: Column, share: float) -> Column:
 def accuracy_labels(scores: DataFrame) -> DataFrame:
     """Label columns per chart over all of its scores, however many there are."""
     total = F.col("_total")
-    counted = counted_values(scores, ["beatmap_id"], "accuracy").frame
+    counted = counted_values(scores, ["beatmap_id"], "accuracy")
+    counted = counted.group_totals(["beatmap_id"], {"_sum": ("sum", F.col("_value") * F.col("_n"))}).frame
+    off = F.col("_value") - F.col("_sum") / total
     spread = counted.groupBy("beatmap_id").agg(
-        (F.sum(F.col("_value") * F.col("_n")) / F.sum("_n")).alias("mean_acc"),
+        (F.max("_sum") / F.max("_total")).alias("mean_acc"),
         F.sum("_n").alias("score_count"),
         rank_slice_mean(total - share_of(total, TOP_SHARE), total).alias("_top"),
         rank_slice_mean(F.lit(0), share_of(total, BOTTOM_SHARE)).alias("_bottom"),
         *quantile_columns({"median_acc": 0.5, "p10_acc": 0.1, "p90_acc": 0.9}),
-        F.sum(F.col("_value") * F.col("_value") * F.col("_n")).alias("_squares"),
-    )
-    variance = F.greatest(
-        F.lit(0.0), F.col("_squares") / F.col("score_count") - F.col("mean_acc") * F.col("mean_acc")
+        (F.sum(off * off * F.col("_n")) / F.max("_total")).alias("_variance"),
     )
     return spread.select(
         "beatmap_id",
         "mean_acc",
-        F.sqrt(variance).alias("acc_std"),
+        F.sqrt("_variance").alias("acc_std"),
         (F.col("_top") - F.col("_bottom")).alias("skill_gap"),
         "median_acc",
         "p10_acc",
@@ -48,7 +47,7 @@ def accuracy_labels(scores: DataFrame) -> DataFrame:
     )
 
 
-def leaderboard(scores: DataFrame, limit: int = SCORE_LIMIT) -> DataFrame:
+def leaderboard(scores: DataFrame, limit: int) -> DataFrame:
     """Best ``limit`` scores of each chart.
 
     The rank filter is pushed below the shuffle by Spark (WindowGroupLimit), so
@@ -62,7 +61,7 @@ def leaderboard(scores: DataFrame, limit: int = SCORE_LIMIT) -> DataFrame:
     )
 
 
-def leaderboard_labels(scores: DataFrame, limit: int = SCORE_LIMIT) -> DataFrame:
+def leaderboard_labels(scores: DataFrame, limit: int) -> DataFrame:
     """Label columns over the leaderboard; a group has at most ``limit`` rows here.
 
     The place already orders the scores, so quantiles are looked up by rank.
@@ -83,9 +82,10 @@ def leaderboard_labels(scores: DataFrame, limit: int = SCORE_LIMIT) -> DataFrame
     )
 
 
-def score_labels(scores: DataFrame, maps: DataFrame, *, min_scores: int = 30, limit: int = SCORE_LIMIT) -> DataFrame:
-    """Map rows with label columns, charts below ``min_scores`` dropped."""
-    labels = leaderboard_labels(scores, limit).filter(F.col("score_count") >= min_scores)
+def score_labels(scores: DataFrame, maps: DataFrame, *, min_scores: int = 1, limit: int | None = None) -> DataFrame:
+    """Map rows with label columns over all scores, or over the best ``limit``; charts below ``min_scores`` dropped."""
+    labels = accuracy_labels(scores) if limit is None else leaderboard_labels(scores, limit)
+    labels = labels.filter(F.col("score_count") >= min_scores)
     return (
         maps.join(labels, "beatmap_id")
         .withColumn("score_mode", F.lit(SCORE_MODE))

@@ -54,7 +54,7 @@ def r_squared(actual: Column, pred: Column) -> Column:
 def pairwise_order_accuracy(frame: DataFrame, keys: Sequence[str], actual: str = "actual", pred: str = "pred") -> DataFrame:
     """Share of comparable pairs put in the same order by both columns."""
     counts = concordance(rank_cells(frame, keys, actual, pred))
-    share = F.coalesce(F.try_divide(F.col("correct"), F.col("comparable")), F.lit(0.0))
+    share = F.coalesce(F.try_divide(F.col("correct").cast("double"), F.col("comparable").cast("double")), F.lit(0.0))
     return counts.withColumn("pairwise_order_accuracy", share)
 
 
@@ -81,7 +81,7 @@ def regression_report(frame: DataFrame, keys: Sequence[str], baselines: Sequence
     cells = rank_cells(usable, keys, "actual", "pred")
     ranks = cells.frame.groupBy(*keys).agg(*spearman_aggregates())
     order = concordance(cells).withColumn(
-        "pairwise_order_accuracy", F.coalesce(F.try_divide(F.col("correct"), F.col("comparable")), F.lit(0.0))
+        "pairwise_order_accuracy", F.coalesce(F.try_divide(F.col("correct").cast("double"), F.col("comparable").cast("double")), F.lit(0.0))
     )
     report = report.join(ranks, list(keys)).join(order.drop("correct", "comparable"), list(keys))
     for name in baselines:

@@ -21,7 +21,7 @@ class ForestOptions:
     trees: int = 200
     min_leaf: int = 2
     max_features: str = "sqrt"
-    max_depth: int = 12
+    max_depth: int = 30  # the deepest tree that Spark ML grows
     seed: int = 42
 
 

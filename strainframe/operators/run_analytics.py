@@ -267,18 +267,25 @@ def training_adjustment() -> Column:
 
 
 # Decision columns in order.
-DECISION_COLUMNS = (
-    "run model_name evaluation device git_commit git_branch git_dirty git_status_entries loss huber_delta amp_enabled "
-    "effective_batch_size grad_clip_norm sample_weight_column sample_weight_train_mean "
-    "sample_weight_train_downweighted_rate human_judged_pairs human_judgment_coverage_rate human_model_agreement_rate "
-    "human_proxy_agreement_rate human_model_vs_proxy_delta epochs_completed stop_reason early_stopped curve_best_epoch "
-    "curve_best_val_loss curve_best_val_mean_mae curve_best_val_pairwise_order curve_final_val_mean_mae "
-    "curve_final_val_pairwise_order curve_overfit_signal avg_epoch_seconds peak_cuda_memory_mb targets mean_mae "
-    "mean_pairwise_order_accuracy targets_beating_baseline targets_beating_difficulty_rating weakest_target "
-    "calibration_mean_abs_bias calibration_worst_bias_target calibration_worst_bias calibration_worst_p90_target "
-    "calibration_worst_p90_abs_error calibration_mean_pred_std_ratio calibration_warning training_adjustment next_action"
-).split()
-RUN_FIELDS = DECISION_COLUMNS[1:2] + DECISION_COLUMNS[3:16] + ["epochs_completed", "stop_reason", "early_stopped"]
+DECISION_COLUMNS = [
+    "run", "model_name", "evaluation", "device", "git_commit", "git_branch", "git_dirty", "git_status_entries",
+    "loss", "huber_delta", "amp_enabled", "effective_batch_size", "grad_clip_norm", "sample_weight_column",
+    "sample_weight_train_mean", "sample_weight_train_downweighted_rate", "human_judged_pairs",
+    "human_judgment_coverage_rate", "human_model_agreement_rate", "human_proxy_agreement_rate",
+    "human_model_vs_proxy_delta", "epochs_completed", "stop_reason", "early_stopped", "curve_best_epoch",
+    "curve_best_val_loss", "curve_best_val_mean_mae", "curve_best_val_pairwise_order", "curve_final_val_mean_mae",
+    "curve_final_val_pairwise_order", "curve_overfit_signal", "avg_epoch_seconds", "peak_cuda_memory_mb", "targets",
+    "mean_mae", "mean_pairwise_order_accuracy", "targets_beating_baseline", "targets_beating_difficulty_rating",
+    "weakest_target", "calibration_mean_abs_bias", "calibration_worst_bias_target", "calibration_worst_bias",
+    "calibration_worst_p90_target", "calibration_worst_p90_abs_error", "calibration_mean_pred_std_ratio",
+    "calibration_warning", "training_adjustment", "next_action",
+]
+# Decision columns that come from the run itself.
+RUN_FIELDS = [
+    "model_name", "device", "git_commit", "git_branch", "git_dirty", "git_status_entries", "loss", "huber_delta",
+    "amp_enabled", "effective_batch_size", "grad_clip_norm", "sample_weight_column", "sample_weight_train_mean",
+    "sample_weight_train_downweighted_rate", "epochs_completed", "stop_reason", "early_stopped",
+]
 
 
 def run_decisions(

@@ -37,7 +37,9 @@ def _share_labels(test: Column, val: Column) -> Column:
 
 
 def split_by_group(rows: DataFrame, *, seed: int) -> DataFrame:
-    """80/10/10 by group; every group lands in exactly one part."""
+    """80/10/10 by group; every group lands in exactly one part. Fewer than three groups are an error."""
+    if not has_groups(rows):
+        raise ValueError("a split by group needs at least three groups")
     groups = rows.select("split_group").distinct().withColumn("_order", _shuffled(seed, F.col("split_group")))
     tenth = F.greatest(F.lit(1), F.bround(F.col("_size") * F.lit(0.1), 0).cast("long"))
     part = F.when(tenth + tenth >= F.col("_size"), F.lit(1)).otherwise(tenth)
@@ -58,11 +60,13 @@ def cross_validation_folds(rows: DataFrame, *, folds: int, seed: int, identity:
     """Adds ``fold`` 1..folds.
 
     Groups are dealt largest first in a snake (1..k, k..1, ...), which keeps
-    folds balanced without a sequential pass over the groups. With fewer groups
-    than folds the rows are dealt instead.
+    folds balanced without a sequential pass over the groups. With fewer than
+    three groups, or fewer than folds, the rows are dealt instead.
     """
     if folds < 2:
         raise ValueError("cross-validation needs at least two folds")
+    if not has_groups(rows):
+        return _row_folds(rows, folds, seed, identity)
     groups = rows.groupBy("split_group").agg(F.count(F.lit(1)).alias("_rows"))
     if groups.limit(folds).count() < folds:
         return _row_folds(rows, folds, seed, identity)

@@ -81,6 +81,23 @@ def _by_digit(ranked: RankCells, cells: DataFrame, order: Sequence[str], carried
     return OrderedRuns.build(digits, [*keys, "_level", "_prefix"], order, whole=ranked.whole)
 
 
+def _whole(count: Column) -> Column:
+    """A count as a decimal: products of two stay exact up to 38 digits."""
+    return count.cast("decimal(19,0)")
+
+
+def comparable_pairs() -> Column:
+    """Pairs without a tie on either side, as an aggregate over rank cells.
+
+    Each value's ties are counted once per row: n rows share a group of t. Twice the
+    number is summed, so that no half is ever formed.
+    """
+    n, a_ties, p_ties, total = (_whole(F.col(name)) for name in ("n", "a_ties", "p_ties", "total"))
+    ordered = lambda count: count * _whole(count - 1)
+    twice = F.max(ordered(total)) - F.sum(n * _whole(a_ties - 1)) - F.sum(n * _whole(p_ties - 1)) + F.sum(ordered(n))
+    return (twice.cast("decimal(38,0)") / 2).cast("decimal(38,0)")
+
+
 def concordance(ranked: RankCells) -> DataFrame:
     """Per key: comparable pairs (no tie on either side) and those in the same order."""
     cells, keys = ranked.frame, ranked.keys
@@ -94,19 +111,8 @@ def concordance(ranked: RankCells) -> DataFrame:
     smaller = F.lit(0)
     for digit in range(DIGITS - 1):
         smaller = smaller + F.when(F.col("_digit") > digit, F.coalesce(F.col(f"_s{digit}"), F.lit(0))).otherwise(0)
-    correct = runs.frame.groupBy(*keys).agg(F.sum(F.col("n") * smaller).alias("correct"))
-    pairs_in = lambda count: count * (count - 1) / 2
-    # Each value's ties are counted once per row: n rows share a group of t.
-    comparable = cells.groupBy(*keys).agg(
-        (
-            pairs_in(F.max("total"))
-            - F.sum(F.col("n") * (F.col("a_ties") - 1)) / 2
-            - F.sum(F.col("n") * (F.col("p_ties") - 1)) / 2
-            + F.sum(pairs_in(F.col("n")))
-        )
-        .cast("long")
-        .alias("comparable")
-    )
+    correct = runs.frame.groupBy(*keys).agg(F.sum(_whole(F.col("n")) * _whole(smaller)).cast("decimal(38,0)").alias("correct"))
+    comparable = cells.groupBy(*keys).agg(comparable_pairs().alias("comparable"))
     if keys:
         return comparable.join(correct, list(keys))
     return comparable.crossJoin(F.broadcast(correct))  # one row each

@@ -6,7 +6,7 @@ Parquet scan. The same mappings exist as SQL text in ``catalog/views.py``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = 4
@@ -30,11 +30,12 @@ def raw_notes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def accuracy() -> Column:
+    return F.lit(1.0) - F.col("l_discount") * F.col("l_quantity") / 50
+
+
 def scores(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").select(
-        F.col("l_partkey").alias("beatmap_id"),
-        (F.lit(1.0) - F.col("l_discount") * F.col("l_quantity") / 50).alias("accuracy"),
-    )
+    return table(spark, folder, "lineitem").select(F.col("l_partkey").alias("beatmap_id"), accuracy().alias("accuracy"))
 
 
 def maps(spark: SparkSession, folder: str) -> DataFrame:
