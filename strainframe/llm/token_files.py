@@ -38,8 +38,12 @@ END_ID = 2
 #: How such a tokenizer splits a text (fixed value of the tokenizer file).
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: A word, cut before ASCII punctuation that ends it behind an ASCII letter or digit.
-_WORD = re.compile(rb"\S*[0-9a-z](?=[!-/:-@\[-`{-~]+(?:\s|\Z))|\S+")
+#: ASCII punctuation.
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words in a text that is encoded for all of them.
+JOINED = 500
+
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 SEGMENT_FIELDS = (
     "shard int, segment int, before long, n_docs int, n_nameless int, n_ids long, id_bytes int, "
@@ -117,28 +121,69 @@ class TextEncoder:
         split = ((settings["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
         self.by_word = normal == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == WORD_SPLIT and split["invert"]
         self.special = [part["content"].encode() for part in settings["added_tokens"]]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        suffix = settings["model"].get("end_of_word_suffix")
+        if suffix:
+            self.ends[[number for piece, number in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = collections.defaultdict()
-        self.number.default_factory = self.number.__len__
-        self.number[b"\n"]  # the end of a text, no word
+        #: Numbers of words, of which 0 is the end of a text, and of their parts.
+        self.number, self.part = _numbers(), _numbers()
+        self.number[b"\n"]
         self.flat, self.size = np.array([self.end_id], self.kind), np.ones(1, np.int64)
+        self.part_flat, self.part_size = np.empty(0, self.kind), np.empty(0, np.int64)
 
     def words(self, text: bytes) -> list[bytes]:
-        if any(token[:2] in text for token in self.special):
-            return text.split()  # lower case makes, and a cut breaks, special tokens
-        return _WORD.findall(text.lower())
+        # Lower case would turn other spellings into special tokens.
+        return (text if any(token[:2] in text for token in self.special) else text.lower()).split()
 
-    def _ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [found.ids for found in self.tokenizer.encode_batch_fast([text.decode() for text in texts], add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(itertools.chain.from_iterable(ids), self.kind, int(sizes.sum())), sizes
 
+    def _part_ids(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts; those of letters alone are encoded many in a text, for each ends with one word-end token."""
+        texts = [part.decode() for part in parts]
+        plain = np.fromiter((_LETTERS.fullmatch(text) is not None for text in texts), bool, len(texts))
+        lettered = list(itertools.compress(texts, plain))
+        joined, _ = self._ids([" ".join(lettered[n : n + JOINED]) for n in range(0, len(lettered), JOINED)])
+        ends = np.flatnonzero(self.ends[joined])
+        if len(ends) != len(lettered):
+            return self._ids(texts)
+        other, other_size = self._ids(list(itertools.compress(texts, ~plain)))
+        sizes = np.empty(len(texts), np.int64)
+        sizes[plain], sizes[~plain] = np.diff(ends, prepend=-1), other_size
+        flat = np.empty(int(sizes.sum()), self.kind)
+        owner = np.repeat(plain, sizes)
+        flat[owner], flat[~owner] = joined, other
+        return flat, sizes
+
+    def _learn(self, words: list[bytes]) -> None:
+        known, parts, counts = len(self.part), [], []
+        for word in words:
+            core = word.rstrip(PUNCTUATION)
+            # The tokenizer cuts between a letter or digit and punctuation.
+            if len(core) < len(word) and core[-1:].isalnum() and not any(token[:2] in word for token in self.special):
+                parts += (self.part[core], self.part[word[len(core) :]])
+                counts.append(2)
+            else:
+                parts.append(self.part[word])
+                counts.append(1)
+        if len(self.part) > known:
+            flat, sizes = self._part_ids(list(itertools.islice(self.part, known, None)))
+            self.part_flat, self.part_size = np.concatenate((self.part_flat, flat)), np.concatenate((self.part_size, sizes))
+        parts = np.array(parts, np.int64)
+        flat, sizes = _gathered(self.part_flat, self.part_size, parts)
+        self.flat = np.concatenate((self.flat, flat))
+        last = np.cumsum(counts) - 1
+        self.size = np.concatenate((self.size, np.diff(np.cumsum(sizes)[last], prepend=0)))
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text)."""
         if not self.by_word:
-            flat, sizes = self._ids(texts)
+            flat, sizes = self._ids([text.decode() for text in texts])
             return np.insert(flat, np.cumsum(sizes), self.end_id).astype(self.kind), sizes + 1
         if len(self.number) > CACHE_WORDS:
             self.forget()
@@ -148,14 +193,25 @@ class TextEncoder:
             words.append(b"\n")
             places.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
         if len(self.number) > known:
-            flat, sizes = self._ids(list(itertools.islice(self.number, known, None)))
-            self.flat, self.size = np.concatenate((self.flat, flat)), np.concatenate((self.size, sizes))
-        last = np.cumsum([len(x) for x in places])
-        places = np.concatenate(places)
-        begin, sizes = np.cumsum(self.size) - self.size, self.size[places]
-        ends = np.cumsum(sizes)
-        out = self.flat[np.repeat(begin[places] - ends + sizes, sizes) + np.arange(int(ends[-1]))]
-        return out, np.diff(ends[last - 1], prepend=0)
+            self._learn(list(itertools.islice(self.number, known, None)))
+        last = np.cumsum([len(x) for x in places]) - 1
+        out, sizes = _gathered(self.flat, self.size, np.concatenate(places))
+        return out, np.diff(np.cumsum(sizes)[last], prepend=0)
+
+
+def _numbers() -> dict[bytes, int]:
+    """A dictionary that numbers its keys as they come."""
+    numbers = collections.defaultdict()
+    numbers.default_factory = numbers.__len__
+    return numbers
+
+
+def _gathered(flat: np.ndarray, size: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs at the places, one after another, and their sizes."""
+    sizes = size[places]
+    ends = np.cumsum(sizes)
+    shift = np.repeat((np.cumsum(size) - size)[places] - ends + sizes, sizes)
+    return flat[shift + np.arange(len(shift))], sizes
 
 
 def _segment(shard: int, number: int, before: int, docs: list, sizes: np.ndarray, ids: np.ndarray) -> dict:
