@@ -93,7 +93,7 @@ PAIR_REVIEW_SQL = """
     FROM predictions i JOIN predictions j ON i.pred_mean_acc < j.pred_mean_acc AND i.actual_mean_acc > j.actual_mean_acc
     JOIN maps mi ON mi.beatmap_id = i.beatmap_id JOIN maps mj ON mj.beatmap_id = j.beatmap_id
     WHERE abs(i.pred_mean_acc - j.pred_mean_acc) >= {p} AND abs(i.actual_mean_acc - j.actual_mean_acc) >= {a}
-    ORDER BY abs(i.pred_mean_acc - j.pred_mean_acc) + abs(i.actual_mean_acc - j.actual_mean_acc) DESC,
+    ORDER BY round(abs(i.pred_mean_acc - j.pred_mean_acc) + abs(i.actual_mean_acc - j.actual_mean_acc), 9) DESC,
              i.beatmap_id, j.beatmap_id LIMIT {n}"""
 
 

@@ -33,19 +33,26 @@ RUN = "_run"
 
 # Most rows a key may have for its window to stay in one task.
 KEY_ROWS = 1_000_000
+# Rows of a run, about.
+RUN_ROWS = 1_000_000
 
 
-def _largest_key(frame: DataFrame, keys: Sequence[str]) -> int:
-    if not keys:
-        return frame.count()
-    top = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0]
-    return top or 0
+class Fit(int):
+    """Whether every key is small enough for a plain window; remembers the rows it has counted."""
+
+    rows = 0
 
 
-def keys_fit(frame: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether every key is small enough for a plain window."""
+def keys_fit(frame: DataFrame, keys: Sequence[str]) -> Fit:
     limit = int(frame.sparkSession.conf.get("spark.strainframe.keyRows", str(KEY_ROWS)))
-    return _largest_key(frame, keys) <= limit
+    if keys:
+        sizes = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        largest, rows = sizes.agg(F.max("n"), F.sum("n")).head()
+    else:
+        largest = rows = frame.count()
+    fit = Fit((largest or 0) <= limit)
+    fit.rows = rows or 0
+    return fit
 
 
 def _keys_over_runs(base: DataFrame, keys: Sequence[str]) -> DataFrame | None:
@@ -104,7 +111,8 @@ class OrderedRuns:
             whole = runs is None and keys_fit(frame, keys)
         if whole:
             return cls(frame, keys, order, whole=True)
-        width = runs or shuffle_width(frame.sparkSession)
+        # The number of runs grows with the rows, so that a run stays bounded.
+        width = runs or max(shuffle_width(frame.sparkSession), -(-getattr(whole, "rows", 0) // RUN_ROWS))
         placed = frame.repartitionByRange(width, *keys, *order).withColumn(RUN, F.spark_partition_id())
         base = checkpointed(placed.repartition(width, *keys, RUN))
         return cls(base, keys, order, long_keys=_keys_over_runs(base, keys))

@@ -63,22 +63,24 @@ def _shared_rank(runs: OrderedRuns, keys: Sequence[str], value: str) -> OrderedR
     )
 
 
-def _by_digit(ranked: RankCells, cells: DataFrame, order: Sequence[str], carried: Sequence[str]) -> OrderedRuns:
-    """One row per digit position of ``p_before``, ordered along ``order`` in its group."""
-    keys = ranked.keys
-    last_level = F.floor(F.log2(F.greatest(F.col("total"), F.lit(2)).cast("double")) / DIGIT_BITS).cast("int")
-    rank = F.col("p_before")
-    leveled = cells.withColumn("_level", F.explode(F.sequence(F.lit(0), last_level)))
+def _by_digit(
+    rows: DataFrame, keys: Sequence[str], rank: str, last: Column, order: Sequence[str], carried: Sequence[str], whole: bool
+) -> OrderedRuns:
+    """One row per digit position of ``rank`` (at most ``last``), ordered along ``order`` in its group.
+
+    The largest group has one row for each row of its key.
+    """
+    last_level = F.floor(F.log2(F.greatest(last, F.lit(2)).cast("double")) / DIGIT_BITS).cast("int")
+    leveled = rows.withColumn("_level", F.explode(F.sequence(F.lit(0), last_level)))
     shift = (F.col("_level") * DIGIT_BITS).cast("int")
     digits = leveled.select(
         *keys,
         *dict.fromkeys([*order, *carried]),
         "_level",
-        F.call_function("shiftright", rank, (shift + DIGIT_BITS).cast("int")).alias("_prefix"),
-        F.call_function("shiftright", rank, shift).bitwiseAND(DIGITS - 1).cast("int").alias("_digit"),
+        F.call_function("shiftright", F.col(rank), (shift + DIGIT_BITS).cast("int")).alias("_prefix"),
+        F.call_function("shiftright", F.col(rank), shift).bitwiseAND(DIGITS - 1).cast("int").alias("_digit"),
     )
-    # The largest digit group has one row per cell of its key.
-    return OrderedRuns.build(digits, [*keys, "_level", "_prefix"], order, whole=ranked.whole)
+    return OrderedRuns.build(digits, [*keys, "_level", "_prefix"], order, whole=whole)
 
 
 def _whole(count: Column) -> Column:
@@ -103,7 +105,7 @@ def concordance(ranked: RankCells) -> DataFrame:
     cells, keys = ranked.frame, ranked.keys
     # Rows with an equal actual come in falling rank, so they never count each other.
     ordered = cells.withColumn("_fall", -F.col("p_before"))
-    runs = _by_digit(ranked, ordered, ["a", "_fall"], ["n"])
+    runs = _by_digit(ordered, keys, "p_before", F.col("total"), ["a", "_fall"], ["n"], ranked.whole)
     seen = {
         f"_s{digit}": ("sum", F.when(F.col("_digit") == digit, F.col("n")).otherwise(0)) for digit in range(DIGITS - 1)
     }
@@ -127,6 +129,10 @@ def spearman_aggregates() -> list[Column]:
     return [F.coalesce(F.try_divide(product("a", "p"), bottom), F.lit(0.0)).alias("spearman")]
 
 
+#: Digits to which strengths are told apart; beyond them the ids decide.
+STRENGTH_DIGITS = 9
+
+
 def strongest_inversions(
     rows: DataFrame,
     actual: str,
@@ -136,74 +142,44 @@ def strongest_inversions(
     top_n: int,
     min_pred_gap: float = 0.0,
     min_actual_gap: float = 0.0,
-    block: int = 512,
 ) -> DataFrame:
     """Top ``top_n`` pairs ordered differently by ``pred`` and ``actual``.
 
     For a pair with pred_i < pred_j and actual_i > actual_j the strength
-    |gap| + |gap| equals (actual - pred)_i - (actual - pred)_j. The digit groups
-    give every row i the smallest (actual - pred) among its possible partners,
-    so its strongest pair is known without forming pairs. A pair among the
-    ``top_n`` has its row i among the ``top_n`` rows by that bound; only those
-    rows are joined with the table. With minimum gaps the bound may be too high,
-    so further blocks are read until it falls below what was found.
+    |gap| + |gap| equals (actual - pred)_i - (actual - pred)_j. Every row i looks for
+    the smallest (actual - pred) among its possible partners. Minimum gaps only
+    shift the place it looks from, to (actual - gap, pred + gap), so the strongest
+    pair of every row is known without forming pairs, with or without gaps. A pair
+    among the ``top_n`` has its row i among the ``top_n`` rows by that strength; only
+    those rows are joined with the table.
     """
-    scored = rows.filter(
-        F.abs(F.col(actual)) < float("inf")
-    ).filter(F.abs(F.col(pred)) < float("inf"))
-    cells = rank_cells(scored, [], actual, pred)
-    surplus = F.col("a") - F.col("p")
-    runs = _by_digit(cells, cells.frame, ["a", "p_before"], ["p"])
+    scored = rows.select(
+        F.col(identity).alias("id"), F.col(actual).cast("double").alias("a"), F.col(pred).cast("double").alias("p")
+    ).filter((F.abs("a") < float("inf")) & (F.abs("p") < float("inf")))
+    values = cut_lineage(scored.select("a", "p").distinct())
+    pred_gap, actual_gap = max(min_pred_gap, 0.0), max(min_actual_gap, 0.0)
+    # Where a value and a place to look from are equal, the one comes first that makes them partners or not.
+    shape = lambda look, x, y, x_turn, y_turn: F.struct(
+        F.lit(look).alias("look"), x.alias("x"), y.alias("y"), F.lit(x_turn).alias("x_turn"), F.lit(y_turn).alias("y_turn")
+    )
+    held = shape(False, F.col("p"), F.col("a"), 1, 1)
+    looks = shape(True, F.col("p") + pred_gap, F.col("a") - actual_gap, 0 if pred_gap > 0 else 2, 2 if actual_gap > 0 else 0)
+    points = values.select("a", "p", F.explode(F.array(held, looks)).alias("e")).select("a", "p", "e.*")
+    # Values beyond a look come after it along x and before it along y.
+    whole = keys_fit(points, [])
+    placed = OrderedRuns.build(points, [], ["x", "x_turn", "y", "a", "p"], whole=whole).indexed("place")
+    placed = placed.group_totals([], {"total": ("sum", F.lit(1).cast("long"))}).rows()
+    surplus = F.when(~F.col("look"), F.col("a") - F.col("p"))
+    runs = _by_digit(placed, [], "place", F.col("total"), ["y", "y_turn", "x", "x_turn", "a", "p"], ["look"], whole)
     lowest = {f"_m{digit}": ("min", F.when(F.col("_digit") == digit, surplus)) for digit in range(1, DIGITS)}
     runs = runs.running(lowest, inclusive=False)
-    partner = F.least(
-        *[F.when(F.col("_digit") < digit, F.col(f"_m{digit}")) for digit in range(1, DIGITS)], F.lit(None).cast("double")
-    )
-    bounds = (
-        runs.frame.groupBy("a", "p")
-        .agg((F.max("a") - F.max("p") - F.min(partner)).alias("bound"))
-        .filter("bound is not null")
-    )
-    left = (
-        scored.select(F.col(identity).alias("i_id"), F.col(actual).cast("double").alias("a"), F.col(pred).cast("double").alias("p"))
-        .join(bounds, ["a", "p"])
-        .select("i_id", F.col("a").alias("i_actual"), F.col("p").alias("i_pred"), "bound")
-    )
-    ranked = OrderedRuns.build(left.withColumn("_fall", -F.col("bound")), [], ["_fall", "i_id", "i_pred", "i_actual"])
-    ranked = ranked.indexed("place").rows().drop("_fall")
-    right = scored.select(
-        F.col(identity).alias("j_id"), F.col(actual).cast("double").alias("j_actual"), F.col(pred).cast("double").alias("j_pred")
-    )
-    pred_gap = F.col("i_pred") - F.col("j_pred")
-    actual_gap = F.col("i_actual") - F.col("j_actual")
-    strict = min_pred_gap <= 0 and min_actual_gap <= 0
-    # Twice top_n covers last-digit differences between bound and strength.
-    size = max(2 * top_n, 1) if strict else max(block, top_n)
-    if not strict:
-        ranked = cut_lineage(ranked)  # read once per block
-    start, found = 0, None
-    while True:
-        part = ranked.filter((F.col("place") >= start) & (F.col("place") < start + size))
-        hits = (
-            right.join(F.broadcast(part), (pred_gap < 0) & (actual_gap > 0))
-            .filter((F.abs(pred_gap) >= min_pred_gap) & (F.abs(actual_gap) >= min_actual_gap))
-            .select(
-                "i_id",
-                "j_id",
-                pred_gap.alias("pred_gap"),
-                actual_gap.alias("actual_gap"),
-                (F.abs(pred_gap) + F.abs(actual_gap)).alias("strength"),
-            )
-        )
-        found = hits if found is None else found.unionByName(hits)
-        found = found.orderBy(F.col("strength").desc(), "i_id", "j_id").limit(top_n)
-        if strict:
-            return found
-        start += size
-        following = ranked.filter(F.col("place") == start).select("bound").head()
-        if following is None:
-            return found
-        found = found.persist()
-        kept = found.agg(F.count(F.lit(1)), F.min("strength")).head()
-        if kept[0] >= top_n and kept[1] > following[0] + 1e-9:
-            return found
+    partner = F.least(*[F.when(F.col("_digit") < digit, F.col(f"_m{digit}")) for digit in range(1, DIGITS)], F.lit(None).cast("double"))
+    found = runs.frame.filter("look").groupBy("a", "p").agg((F.max("a") - F.max("p") - F.min(partner)).alias("best"))
+    left = scored.join(found.filter("best is not null"), ["a", "p"])
+    left = left.select(F.col("id").alias("i_id"), F.col("a").alias("i_a"), F.col("p").alias("i_p"), F.round("best", STRENGTH_DIGITS).alias("best"))
+    left = left.orderBy(F.col("best").desc(), "i_id").limit(top_n).drop("best")
+    met = scored.join(F.broadcast(left), (F.col("p") > F.col("i_p")) & (F.col("a") < F.col("i_a")))
+    gaps = met.select("i_id", F.col("id").alias("j_id"), (F.col("i_p") - F.col("p")).alias("pred_gap"), (F.col("i_a") - F.col("a")).alias("actual_gap"))
+    hits = gaps.filter((F.abs("pred_gap") >= min_pred_gap) & (F.abs("actual_gap") >= min_actual_gap))
+    hits = hits.withColumn("strength", F.abs("pred_gap") + F.abs("actual_gap"))
+    return hits.orderBy(F.round("strength", STRENGTH_DIGITS).desc(), "i_id", "j_id").limit(top_n)

@@ -7,13 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from strainframe.operators import labels, metrics, review, splits
-from strainframe.plans.pairs import strongest_inversions
+from strainframe.plans import ordered
+from strainframe.plans.pairs import comparable_pairs, strongest_inversions
 from strainframe.plans.quantiles import counted_values, quantile_columns
 
 
 def test_accuracy_labels(spark):
     frame = spark.createDataFrame([(1, a) for a in (0.90, 0.95, 0.80, 1.0, 0.85)], "beatmap_id long, accuracy double")
-    for build in (labels.accuracy_labels, labels.leaderboard_labels):
+    for build in (labels.accuracy_labels, lambda rows: labels.leaderboard_labels(rows, 100)):
         row = build(frame).head()
         assert row["mean_acc"] == pytest.approx(0.9)
         assert row["skill_gap"] == pytest.approx(1.0 - (0.85 + 0.80) / 2)
@@ -53,49 +54,43 @@ def _random_rows(seed, size):
     return [(i, rng.randint(0, 12) / 4, rng.randint(0, 15) / 8) for i in range(size)]
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 10])
-def test_pair_statistics_equal_brute_force(spark, limit):
-    spark.conf.set("spark.strainframe.keyRows", str(limit))
-    try:
-        for seed in (3, 4):
-            rows = _random_rows(seed, 90)
-            frame = spark.createDataFrame(rows, "id long, actual double, pred double").withColumn("g", F.lit("g"))
-            got = metrics.pairwise_order_accuracy(frame, ["g"]).head()
-            pairs = [(x, y) for i, x in enumerate(rows) for y in rows[i + 1 :] if x[1] != y[1] and x[2] != y[2]]
-            right = sum((x[1] < y[1]) == (x[2] < y[2]) for x, y in pairs)
-            assert (got["comparable"], got["correct"]) == (len(pairs), right)
-            for gaps in ((0.0, 0.0), (0.5, 1.0)):
-                best = strongest_inversions(
-                    frame, "actual", "pred", "id", top_n=12, min_pred_gap=gaps[0], min_actual_gap=gaps[1], block=7
-                )
-                expected = sorted(
-                    (-(abs(x[2] - y[2]) + abs(x[1] - y[1])), x[0], y[0])
-                    for x in rows
-                    for y in rows
-                    if x[2] < y[2] and x[1] > y[1] and y[2] - x[2] >= gaps[0] and x[1] - y[1] >= gaps[1]
-                )[:12]
-                found = [(-r["strength"], r["i_id"], r["j_id"]) for r in best.collect()]
-                assert sorted(found) == expected
-    finally:
-        spark.conf.unset("spark.strainframe.keyRows")
-
-
-@pytest.mark.parametrize("limit", [1_000_000, 5])
-def test_quantiles_and_ranks_equal_numpy(spark, limit):
-    spark.conf.set("spark.strainframe.keyRows", str(limit))
-    try:
-        rng = random.Random(9)
-        values = [rng.randint(0, 20) / 7 for _ in range(60)]
-        frame = spark.createDataFrame([("k", v) for v in values], "k string, v double")
-        columns = quantile_columns({"p10": 0.1, "p50": 0.5, "p90": 0.9})
-        row = counted_values(frame, ["k"], "v").frame.groupBy("k").agg(*columns).head()
-        assert [row["p10"], row["p50"], row["p90"]] == pytest.approx(list(np.percentile(values, [10, 50, 90])))
-        ranked = metrics.ranked_values(frame, ["k"], "v", "rank").collect()
-        for row in ranked:
-            below, same = sum(v < row["v"] for v in values), sum(v == row["v"] for v in values)
-            assert row["rank"] == below + (same - 1) / 2
-    finally:
-        spark.conf.unset("spark.strainframe.keyRows")
+@pytest.mark.parametrize("limit", [ordered.KEY_ROWS, 10])
+def test_pair_statistics_equal_brute_force(spark, limit, monkeypatch):
+    monkeypatch.setattr(ordered, "KEY_ROWS", limit)
+    for seed in (3, 4):
+        rows = _random_rows(seed, 90)
+        frame = spark.createDataFrame(rows, "id long, actual double, pred double").withColumn("g", F.lit("g"))
+        got = metrics.pairwise_order_accuracy(frame, ["g"]).head()
+        pairs = [(x, y) for i, x in enumerate(rows) for y in rows[i + 1 :] if x[1] != y[1] and x[2] != y[2]]
+        right = sum((x[1] < y[1]) == (x[2] < y[2]) for x, y in pairs)
+        assert (got["comparable"], got["correct"]) == (len(pairs), right)
+        for gaps in ((0.0, 0.0), (0.5, 1.0)):
+            best = strongest_inversions(
+                frame, "actual", "pred", "id", top_n=12, min_pred_gap=gaps[0], min_actual_gap=gaps[1]
+            )
+            expected = sorted(
+                (-(abs(x[2] - y[2]) + abs(x[1] - y[1])), x[0], y[0])
+                for x in rows
+                for y in rows
+                if x[2] < y[2] and x[1] > y[1] and y[2] - x[2] >= gaps[0] and x[1] - y[1] >= gaps[1]
+            )[:12]
+            found = [(-r["strength"], r["i_id"], r["j_id"]) for r in best.collect()]
+            assert sorted(found) == expected
+
+
+@pytest.mark.parametrize("limit", [ordered.KEY_ROWS, 5])
+def test_quantiles_and_ranks_equal_numpy(spark, limit, monkeypatch):
+    monkeypatch.setattr(ordered, "KEY_ROWS", limit)
+    rng = random.Random(9)
+    values = [rng.randint(0, 20) / 7 for _ in range(60)]
+    frame = spark.createDataFrame([("k", v) for v in values], "k string, v double")
+    columns = quantile_columns({"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    row = counted_values(frame, ["k"], "v").frame.groupBy("k").agg(*columns).head()
+    assert [row["p10"], row["p50"], row["p90"]] == pytest.approx(list(np.percentile(values, [10, 50, 90])))
+    ranked = metrics.ranked_values(frame, ["k"], "v", "rank").collect()
+    for row in ranked:
+        below, same = sum(v < row["v"] for v in values), sum(v == row["v"] for v in values)
+        assert row["rank"] == below + (same - 1) / 2
 
 
 def test_prediction_summary(spark):
@@ -203,3 +198,19 @@ def test_tertiles_equal_pandas(spark, size):
         names = ["low", "high"] if size == 2 else ["low", "mid", "high"]
         expected = pd.qcut(values.rank(method="first"), q=len(names), labels=names).tolist()
     assert [got[i] for i in range(size)] == expected
+
+
+def test_gaps_no_pair_meets(spark):
+    rows = [(i, (i * 37 % 101) / 7, (i * 53 % 97) / 5) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id long, actual double, pred double")
+    assert strongest_inversions(frame, "actual", "pred", "id", top_n=5, min_pred_gap=50.0, min_actual_gap=50.0).count() == 0
+    tied = spark.createDataFrame([(i, float(i % 2), float(-(i % 2))) for i in range(40)], "id long, actual double, pred double")
+    best = strongest_inversions(tied, "actual", "pred", "id", top_n=3, min_pred_gap=1.0, min_actual_gap=1.0).collect()
+    assert [(r["i_id"], r["j_id"], r["strength"]) for r in best] == [(1, 0, 2.0), (1, 2, 2.0), (1, 4, 2.0)]
+
+
+def test_pair_counts_stay_exact_when_large(spark):
+    n = 3_000_000_000
+    cells = [(n, 0, n, 0, n, 3 * n), (n, n, n, n, n, 3 * n), (n, 2 * n, n, 2 * n, n, 3 * n)]
+    frame = spark.createDataFrame(cells, "n long, a_before long, a_ties long, p_before long, p_ties long, total long")
+    assert int(frame.agg(comparable_pairs()).first()[0]) == 3 * n * n
