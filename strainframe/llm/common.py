@@ -38,6 +38,11 @@ def scan_width(frame: DataFrame) -> int:
     return max(setting, frame.rdd.getNumPartitions())
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows from now on: texts are long, and a task holds whole batches of them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def with_fields(frame: DataFrame, more: str) -> StructType:
     """The schema of a frame with further columns, written as DDL."""
     return StructType(frame.schema.fields + StructType.fromDDL(more).fields)

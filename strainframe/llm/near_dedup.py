@@ -307,7 +307,8 @@ def first_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column:
     kept = cut_lineage(found.filter("own").select(F.col("id").alias("kept id"), "copies"))
 
     def rows(which: str) -> DataFrame:
-        chosen = kept.filter(which).select("kept id")
+        # The same join at every size: both sides are dealt by id and merged, so the list of ids is never broadcast.
+        chosen = kept.filter(which).select("kept id").hint("merge")
         return docs.join(chosen, docs[id_column].eqNullSafe(chosen["kept id"]), "left_semi")
 
     once = rows("copies = 1")
