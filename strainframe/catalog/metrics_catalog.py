@@ -127,11 +127,11 @@ SUMMARY_SQL = """
 
 @query(
     "q_prediction_summary",
-    "SELECT target, count, " + ", ".join(f"round({n}, 7) AS {n}" for n in SUMMARY) + " FROM summary",
+    "SELECT target, count, " + ", ".join(f"round({n}, 9) AS {n}" for n in SUMMARY) + " FROM summary",
     extra={"summary": SUMMARY_SQL},
 )
 def q_prediction_summary(spark, folder):
-    return rounded(metrics.prediction_summary(long_predictions(spark, folder)), *SUMMARY, digits=7)
+    return rounded(metrics.prediction_summary(long_predictions(spark, folder)), *SUMMARY, digits=9)
 
 
 RANK_VIEWS = {

@@ -98,7 +98,7 @@ SWEEP_VIEWS = {
         FROM sweep_rounds WHERE is_train GROUP BY ALL""",
     "sweep_oof": """
         SELECT col_name || '_shrink' || s.shrink AS candidate_id, beatmap_id, fold, target, round(actual, 9) AS actual, baseline,
-               round(baseline + s.shrink::DOUBLE * (icept + slope * x - baseline), 7) AS pred
+               round(baseline + s.shrink::DOUBLE * (icept + slope * x - baseline), 6) AS pred
         FROM sweep_rounds JOIN sweep_fits USING (col_name, round, target) CROSS JOIN (SELECT unnest(['1.0', '0.5']) AS shrink) s WHERE NOT is_train""",
     "sweep_targets": """
         SELECT candidate_id, target, count(*) AS n, avg(abs(actual - pred)) AS mae, 1 - sum((actual - pred) ** 2) / sum((actual - m) ** 2) AS r2,
@@ -144,7 +144,7 @@ def linear_candidates(spark, folder):
     return held_out.select(
         F.concat(F.col("col_name"), F.lit("_shrink"), F.col("shrink").cast("string")).alias("candidate_id"),
         "beatmap_id", "fold", "target", "baseline", F.round("actual", 9).alias("actual"),
-        F.round(F.col("baseline") + F.col("shrink") * (linear - F.col("baseline")), 7).alias("pred"),
+        F.round(F.col("baseline") + F.col("shrink") * (linear - F.col("baseline")), 6).alias("pred"),
     )
 
 
