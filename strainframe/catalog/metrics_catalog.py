@@ -346,11 +346,11 @@ CV_VIEWS = {
 
 
 def fold_rows(spark, folder):
-    """Labels long by target with their fold."""
+    """Labels long by target, stored with nine decimals like the predictions, with their fold."""
     rows = grouped_charts(spark, folder)
     folds = splits.cross_validation_folds(rows.select("beatmap_id", "split_group"), folds=5, seed=42)
     targets = F.explode(
-        F.array(*[F.struct(F.lit(name).alias("target"), F.col(name).alias("actual")) for name in TARGETS])
+        F.array(*[F.struct(F.lit(name).alias("target"), F.round(name, 9).alias("actual")) for name in TARGETS])
     )
     values = rows.select("beatmap_id", "difficulty_rating", targets.alias("_t"))
     return values.select("beatmap_id", "difficulty_rating", "_t.target", "_t.actual").join(folds, "beatmap_id")
