@@ -214,3 +214,22 @@ def test_pair_counts_stay_exact_when_large(spark):
     cells = [(n, 0, n, 0, n, 3 * n), (n, n, n, n, n, 3 * n), (n, 2 * n, n, 2 * n, n, 3 * n)]
     frame = spark.createDataFrame(cells, "n long, a_before long, a_ties long, p_before long, p_ties long, total long")
     assert int(frame.agg(comparable_pairs()).first()[0]) == 3 * n * n
+
+
+@pytest.mark.parametrize("groups", [1, 2, 3])
+def test_split_needs_three_groups(spark, groups):
+    rows = spark.createDataFrame([(i, f"g{i % groups}") for i in range(12)], "beatmap_id long, split_group string")
+    if groups < 3:
+        with pytest.raises(ValueError):
+            splits.split_by_group(rows, seed=1)
+        folds = splits.cross_validation_folds(rows, folds=2, seed=1)  # rows are dealt instead
+        assert sorted(r["count"] for r in folds.groupBy("fold").count().collect()) == [6, 6]
+        return
+    parts = splits.split_by_group(rows, seed=1)
+    assert parts.select("split", "split_group").distinct().count() == 3 == parts.select("split").distinct().count()
+
+
+def test_spread_of_nearly_equal_accuracies(spark):
+    values = [0.9999999 + i * 1e-13 for i in range(50)]
+    frame = spark.createDataFrame([(1, v) for v in values], "beatmap_id long, accuracy double")
+    assert labels.accuracy_labels(frame).head()["acc_std"] == pytest.approx(float(np.std(values)), rel=1e-3)
