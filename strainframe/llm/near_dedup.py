@@ -300,18 +300,40 @@ def near_duplicates(
     return prints.join(named, "print").select("id", "print", "component")
 
 
-def first_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The document with the smallest id of every group, all columns kept; rows that repeat an id are one document."""
-    own = F.col("id").eqNullSafe(F.col("component"))
-    found = near_duplicates(docs, id_column, text_column).groupBy("id").agg(F.count("*").alias("copies"), F.max(own).alias("own"))
-    kept = cut_lineage(found.filter("own").select(F.col("id").alias("kept id"), "copies"))
+def _row_hash(docs: DataFrame) -> Column:
+    """Tells rows of one id apart; maps have no hash in Spark and are passed over."""
+    return F.xxhash64(*(F.col(f"`{field.name}`") for field in docs.schema.fields if "map<" not in field.dataType.simpleString()))
+
+
+def _marked(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(row, id, text): every row with what orders it among others; a null id comes last."""
+    row = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), _row_hash(docs).alias("hash"))
+    return docs.select(row.alias("row"), F.col(text_column).cast("string").alias("text"))
+
+
+def _rows_of(docs: DataFrame, chosen: DataFrame, id_column: str) -> DataFrame:
+    """The rows of docs that are named by (kept id, kept hash), copies of one row included.
+
+    The same join at every size: both sides are dealt by id and hash and merged, so the list is never broadcast.
+    """
+    hashed = docs.withColumn("row hash", _row_hash(docs))
+    same = hashed[id_column].eqNullSafe(chosen["kept id"]) & (hashed["row hash"] == chosen["kept hash"])
+    return hashed.join(chosen.hint("merge"), same, "left_semi")
 
-    def rows(which: str) -> DataFrame:
-        # The same join at every size: both sides are dealt by id and merged, so the list of ids is never broadcast.
-        chosen = kept.filter(which).select("kept id").hint("merge")
-        return docs.join(chosen, docs[id_column].eqNullSafe(chosen["kept id"]), "left_semi")
 
-    once = rows("copies = 1")
+def first_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of every group, all columns kept: that with the smallest id, null ids last, then by the hash of the row.
+
+    Rows are told apart by their content, not by their id: different texts under a repeated or null id are documents of their own.
+    """
+    marked = fingerprints(_marked(docs, id_column, text_column), "row", "text")
+    rows = cut_lineage(marked.groupBy("print", F.col("id").alias("row")).agg(F.count("*").alias("copies")))
+    nodes = cut_lineage(rows.groupBy("print").agg(F.min(F.struct("row", "copies")).alias("first")))
+    roots = components(links(nodes.select("print")))
+    grouped = nodes.join(roots, nodes["print"] == roots["node"], "left").groupBy(F.coalesce("root", "print").alias("root"))
+    kept = grouped.agg(F.min("first").alias("first"))
+    kept = cut_lineage(kept.select(F.col("first.row.id").alias("kept id"), F.col("first.row.hash").alias("kept hash"), F.col("first.copies").alias("copies")))
+    once = _rows_of(docs, kept.filter("copies = 1"), id_column).drop("row hash")
     if kept.filter("copies > 1").isEmpty():
         return once
-    return once.unionByName(rows("copies > 1").dropDuplicates([id_column]))
+    return once.unionByName(_rows_of(docs, kept.filter("copies > 1"), id_column).dropDuplicates([id_column, "row hash"]).drop("row hash"))

@@ -85,6 +85,14 @@ def test_repeated_ids_stay_once(spark):
     assert sorted(r["doc_id"] for r in near_dedup.first_of_each_group(docs).collect()) == [1, 2]
 
 
+def test_different_texts_under_one_id_stay(spark):
+    near = "one two three four five six seven eight nine ten"
+    rows = [(None, "a b c d e f"), (None, "g h i j k l"), (None, near), (3, near), (7, "m n o p q r"), (7, "s t u v w x"), (7, "s t u v w x"), (8, "y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(map(repr, map(tuple, near_dedup.first_of_each_group(docs).collect())))
+    assert kept == sorted(map(repr, {(i, t) for i, t in rows} - {(None, near)}))
+
+
 def test_no_rows(spark, awkward):
     assert near_dedup.near_duplicates(awkward.limit(0)).count() == 0
     assert near_dedup.first_of_each_group(awkward.limit(0)).count() == 0
