@@ -18,7 +18,7 @@ rounds of large-star and small-star steps join the forests to components.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -42,7 +42,14 @@ BATCH_ROWS = 1 << 17
 #: Query-times-group-size products searched at a time.
 SEARCH_CELLS = 1 << 22
 SEED = 42
-
+#: Words of a shingle, and the least Jaccard similarity as a fraction, where groups are to hold similar texts only.
+SET_WORDS = 5
+LEAST_SIMILAR = (4, 5)
+#: Minima of a band and bands: a pair of similarity 0.8 shares none with probability (1 - 0.8**5)**40, about 1e-7.
+BAND_ROWS = 5
+BANDS = 40
+
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -321,16 +328,109 @@ def _rows_of(docs: DataFrame, chosen: DataFrame, id_column: str) -> DataFrame:
     return hashed.join(chosen.hint("merge"), same, "left_semi")
 
 
-def first_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+# --- groups of similar shingle sets ------------------------------------------------------------------------------
+
+
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """Distinct shingle hashes in order; two sets have the Jaccard similarity of their texts."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def _alike(x: Column, y: Column) -> Column:
+    """Sets of these sizes can reach the least similarity."""
+    over, under = LEAST_SIMILAR
+    return F.least(x, y) * under >= F.greatest(x, y) * over
+
+
+def band_hashes(shingles: np.ndarray) -> np.ndarray:
+    """One hash for each band of minima; equal sets have equal bands, and too small ones none."""
+    if len(shingles) < LEAST_SIMILAR[0]:  # one shingle more or less is already too many
+        return np.empty(0, np.int64)
+    lowest = np.full(len(_FACTORS), 2**64 - 1, np.uint64)
+    for start in range(0, len(shingles), 256):
+        np.minimum(lowest, (shingles[start : start + 256, None] * _FACTORS).min(axis=0), out=lowest)
+    bands = lowest.reshape(BANDS, BAND_ROWS)
+    return np.fromiter((xxhash.xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(bands)), np.uint64, BANDS).view(np.int64)
+
+
+def _set_name(shingles: np.ndarray) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED))
+
+
+def _set_batches(batches: Iterator[pa.RecordBatch], size: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Name and size of each row's set, with the row and its bands, or with the whole set."""
+    for batch in batches:
+        for first, texts in byte_slices(batch, 1):
+            sets = [shingle_set(text, size) for text in texts]
+            nodes, sizes = pa.array(map(_set_name, sets), pa.int64()), pa.array(map(len, sets), pa.int64())
+            if whole:
+                yield pa.RecordBatch.from_arrays([nodes, sizes, pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "size", "shingles"])
+                continue
+            bands = pa.array([band_hashes(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), nodes, sizes, bands], names=["row", "node", "size", "bands"])
+
+
+def _similar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    over, under = LEAST_SIMILAR
+    for batch in batches:
+        good = []
+        for one, other in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = (np.frombuffer(side.as_buffer(), np.uint64) for side in (one, other))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            good.append(both * under >= over * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(good, pa.bool_())) for n in (0, 1)], names=["a", "b"])
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have the least similarity or more, counted exactly."""
+    one, other = (sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set {end}")) for end in "ab")
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "set a", "set b").mapInArrow(_similar_batches, "a long, b long")
+
+
+def similar_roots(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of all sets with a similar one, from (node, size, bands); sets_of gives (node, shingles) of the nodes it gets.
+
+    Sets that share a band are compared: first each with the smallest of its band, then those of one band that are still in
+    different components. A pair of one component needs no comparison, so what is left grows with the unlike sets of a band.
+    """
+    filed = cut_lineage(nodes.select("node", "size", F.explode("bands").alias("band")))
+    shared = filed.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct("node", "size")).alias("low")).filter("members > 1")
+    filed = cut_lineage(filed.join(shared.select("band", "low"), "band"))
+    sets = cut_lineage(sets_of(filed.select("node").distinct()))
+    stars = filed.filter(F.col("node") != F.col("low.node")).filter(_alike(F.col("size"), F.col("low.size")))
+    stars = cut_lineage(stars.select(F.col("node").alias("a"), F.col("low.node").alias("b")).distinct())
+    found = cut_lineage(similar(stars, sets))
+    roots = components(found)
+    placed = filed.select("band", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = cut_lineage(placed)
+    mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
+    placed = cut_lineage(placed.join(mixed, "band", "left_semi"))
+    one, other = (placed.select("band", *(F.col(x).alias(f"{x} {end}") for x in ("node", "size", "root"))) for end in "ab")
+    rest = one.join(other, "band").filter(F.col("node a") > F.col("node b")).filter(F.col("root a") != F.col("root b")).filter(_alike(F.col("size a"), F.col("size b")))
+    rest = rest.select(F.col("node a").alias("a"), F.col("node b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    return components(found.unionByName(similar(cut_lineage(rest), sets)))
+
+
+def first_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SET_WORDS) -> DataFrame:
     """One row of every group, all columns kept: that with the smallest id, null ids last, then by the hash of the row.
 
     Rows are told apart by their content, not by their id: different texts under a repeated or null id are documents of their own.
+    Groups are the components over pairs of texts whose sets of ``size``-word shingles have a Jaccard similarity of 0.8 or more;
+    texts without words are one group.
     """
-    marked = fingerprints(_marked(docs, id_column, text_column), "row", "text")
-    rows = cut_lineage(marked.groupBy("print", F.col("id").alias("row")).agg(F.count("*").alias("copies")))
-    nodes = cut_lineage(rows.groupBy("print").agg(F.min(F.struct("row", "copies")).alias("first")))
-    roots = components(links(nodes.select("print")))
-    grouped = nodes.join(roots, nodes["print"] == roots["node"], "left").groupBy(F.coalesce("root", "print").alias("root"))
+    marked = _marked(docs, id_column, text_column)
+    marks = marked.mapInArrow(partial(_set_batches, size=size, whole=False), f"row {marked.schema['row'].dataType.simpleString()}, node long, size long, bands array<long>")
+    marks = cut_lineage(marks)
+    rows = marks.groupBy("node", "row").agg(F.count("*").alias("copies"))
+    firsts = cut_lineage(rows.groupBy("node").agg(F.min(F.struct("row", "copies")).alias("first")))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        chosen = firsts.join(nodes, "node", "left_semi").select(F.col("first.row.id").alias("kept id"), F.col("first.row.hash").alias("kept hash"))
+        texts = _rows_of(docs, cut_lineage(chosen), id_column).select(F.lit(0), F.col(text_column).cast("string"))
+        return texts.mapInArrow(partial(_set_batches, size=size, whole=True), "node long, size long, shingles binary").dropDuplicates(["node"])
+
+    roots = similar_roots(marks.select("node", "size", "bands").dropDuplicates(["node"]), sets_of)
+    grouped = firsts.withColumnRenamed("node", "name").join(roots, F.col("name") == roots["node"], "left").groupBy(F.coalesce("root", "name").alias("root"))
     kept = grouped.agg(F.min("first").alias("first"))
     kept = cut_lineage(kept.select(F.col("first.row.id").alias("kept id"), F.col("first.row.hash").alias("kept hash"), F.col("first.copies").alias("copies")))
     once = _rows_of(docs, kept.filter("copies = 1"), id_column).drop("row hash")
