@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strainframe.llm import decontaminate, katz, language_id, near_dedup, page_templates, piece_sampling, preferences, syncmers, token_files, warc_revisits
+from strainframe.llm import decontaminate, katz, language_id, merkle, near_dedup, page_templates, piece_sampling, preferences, syncmers, token_files, turn_repair, warc_revisits
 from strainframe.llm.common import table
 from strainframe.session import scratch_path
 
@@ -245,6 +245,176 @@ def op10_page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def damaged_turns(conversations: DataFrame) -> DataFrame:
+    """Conversations after damage by the crc32 of ``conv_id:turn``: dropped, emptied, unpunctuated, repeated or user turns."""
+    cell = {name: F.coalesce(F.col(name).cast("string"), F.lit(" ")) for name in ("conv_id", "turn", "role", "text")}
+    fault = F.pmod(F.crc32(F.concat(cell["conv_id"], F.lit(":"), cell["turn"]).cast("binary")), F.lit(20))
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(cell["text"], "[.!?]", "")).otherwise(cell["text"])
+    rows = conversations.select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(cell["role"]).alias("role"), text.alias("text"),
+        F.when(fault == 3, F.array(F.lit(0), F.lit(1))).when(fault != 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("copies"),
+    )
+    return rows.select("conv_id", "turn", "role", "text", F.explode("copies").alias("copy")).drop("copy")
+
+
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.repair(damaged_turns(conversations), conversations.select("conv_id"))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an ASCII text: its bits one after another through the reflected polynomial."""
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, 8 * strlen({text})), lambda i: "
+        f"CASE WHEN i % 8 = 0 THEN ord(substring({text}, CAST(i // 8 + 1 AS INTEGER), 1))::BIGINT ELSE 0::BIGINT END)), "
+        "lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(xor(c, b) >> 1, 3988292384::BIGINT) ELSE xor(c, b) >> 1 END), 4294967295::BIGINT)"
+    )
+
+
+def _repair_step() -> str:
+    """Cheapest ways b0 (nothing), b1 (system), b2 (user), b3 (assistant) after one more row.
+
+    A way is its cost in nine digits, its letters (as many as rows) and the repaired text, so that the least string is
+    the cheapest way and the first one in ASCII. Inserted turns cost more than deleting their partners and never occur.
+    """
+
+    def way(of: str, cost: str, letter: str, said: str) -> str:
+        added = f"lpad(CAST(CAST({of}[1:9] AS BIGINT) + {cost} AS VARCHAR), 9, '0')"
+        return f"{added} || {of}[10:8 + i] || '{letter}' || {of}[9 + i:] || {said}"
+
+    def turn(of: str, initial: str, role: str) -> str:
+        kept = f"CASE WHEN NOT gone AND initial = '{initial}' THEN {way(of, 'extra', 'K', 'chr(10) || role || chr(58) || text')} END"
+        if not role:
+            return kept
+        return kept + f", CASE WHEN NOT gone THEN {way(of, '1 + extra', 'R', f'chr(10) || {chr(39)}{role}:{chr(39)} || text')} END"
+
+    gone = {n: way(f"b{n}", "2", "D", "''") for n in range(4)}
+    return f"""{gone[0]} AS b0,
+               least({gone[1]}, {turn("b0", "s", "")}) AS b1,
+               least({gone[2]}, {turn("b0", "u", "user")}, {turn("b1", "u", "user")}, {turn("b3", "u", "user")}) AS b2,
+               least({gone[3]}, {turn("b2", "a", "assistant")}) AS b3"""
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE cells AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+    FROM conversations),
+faults AS (SELECT *, {crc32_sql("name")} % 20 AS fault FROM cells),
+hurt AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+           CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(CASE fault WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS again
+    FROM faults),
+ordered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), again) AS i, left(role, 1) AS initial,
+           rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+    FROM hurt),
+judged AS (
+    SELECT *, bare = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+           lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+    FROM ordered),
+ready AS (
+    SELECT *, blank OR seen AS gone, CASE WHEN NOT blank AND NOT seen AND right(bare, 1) NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS extra FROM judged),
+ways AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS b0, CAST(NULL AS VARCHAR) AS b1, CAST(NULL AS VARCHAR) AS b2, CAST(NULL AS VARCHAR) AS b3
+    FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT conv_id, i, b0, b1, b2, b3 FROM (
+        SELECT r.conv_id, r.i, {_repair_step()}
+        FROM (SELECT w.conv_id, r.i, r.role, r.text, r.initial, r.gone, r.extra, w.b0, w.b1, w.b2, w.b3
+              FROM ways w JOIN ready r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1) r)),
+ends AS (SELECT conv_id, i, least(b0, b3) AS best FROM ways QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+           count(*) FILTER (seen AND NOT blank) AS duplicate, count(*) FILTER (extra > 0) AS truncated,
+           count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM ready GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(best[1:9] AS BIGINT) AS cost, best[10:9 + i] AS audit,
+       sha256(best[11 + i:]) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fields = [lower if name == "text" else F.col(name) for name in MANIFEST_FIELDS]
+    tampered = F.when(remainder(3) == 0, merkle.leaf_digest(fields))
+    manifest = merkle.build_manifest(documents, MANIFEST_FIELDS, "lang", "doc_id", {"tampered": tampered})
+    found = merkle.verify(manifest, "tampered")
+    return found.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
+#: Levels that the SQL for the manifest unrolls: 8 ** 8 documents of a language.
+MANIFEST_LEVELS = 8
+
+
+def _manifest_sql() -> str:
+    """Every level of both trees, then siblings and folded digests of each leaf level by level."""
+
+    def field(name: str, value: str) -> str:
+        return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(name, text if name == "text" else name) for name in MANIFEST_FIELDS) + ")"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"""base AS (
+    SELECT doc_id, coalesce('=' || lang, '-') AS tree, {leaf("text")} AS leaf,
+           CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {leaf(lower)} END AS other FROM documents),
+a0 AS (SELECT doc_id, tree, leaf, other, leaf AS digest, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM base)"""
+    ]
+
+    def levels(name: str) -> None:
+        """name0 has (tree, pos, digest); a tree with one node stays as it is."""
+        for n in range(MANIFEST_LEVELS):
+            parts.append(
+                f"""{name}{n + 1} AS (
+    SELECT tree, CASE WHEN top = 0 THEN pos ELSE pos // 8 END AS pos,
+           CASE WHEN any_value(top) = 0 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest
+    FROM (SELECT tree, pos, digest, max(pos) OVER (PARTITION BY tree) AS top FROM {name}{n}) GROUP BY tree, 2)"""
+            )
+
+    def climb(rows: str, name: str) -> str:
+        """rows have (tree, pos, told, own, ...); the siblings of each level are told and folded into own."""
+        for n in range(MANIFEST_LEVELS):
+            parts.append(f"{name}s{n} AS (SELECT tree, pos, digest, max(pos) OVER (PARTITION BY tree) AS top FROM {name}{n})")
+            parts.append(
+                f"""{name}r{n} AS (SELECT tree, pos // 8 AS run, any_value(top) AS top, list(digest ORDER BY pos) AS run_digests FROM {name}s{n} GROUP BY tree, 2)"""
+            )
+            at = "CAST(r.pos % 8 AS INTEGER)"
+            before, after = (f"array_to_string(x.run_digests[{cut}], '')" for cut in (f"1:{at}", f"{at} + 2:8"))
+            parts.append(
+                f"""{name}c{n} AS (
+    SELECT r.* EXCLUDE (pos, told, own), CASE WHEN x.top = 0 THEN r.pos ELSE r.pos // 8 END AS pos,
+           CASE WHEN x.top = 0 THEN r.told ELSE r.told || {before} || {after} END AS told,
+           CASE WHEN x.top = 0 THEN r.own ELSE sha256({before} || r.own || {after}) END AS own
+    FROM {rows} r JOIN {name}r{n} x ON x.tree = r.tree AND x.run = r.pos // 8)"""
+            )
+            rows = f"{name}c{n}"
+        return rows
+
+    levels("a")
+    parts.append("begun AS (SELECT doc_id, tree, leaf, pos, '' AS told, coalesce(other, leaf) AS own FROM a0)")
+    climbed = climb("begun", "a")
+    parts.append(f"b0 AS (SELECT 'top' AS tree, tree AS name, digest, row_number() OVER (ORDER BY tree) - 1 AS pos FROM a{MANIFEST_LEVELS})")
+    levels("b")
+    parts.append(f"above AS (SELECT c.doc_id, c.leaf, b.digest AS subroot, b.tree, b.pos, c.told, c.own FROM {climbed} c JOIN b0 b ON b.name = c.tree)")
+    ended = climb("above", "b")
+    return (
+        "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, root, sha256(told) AS proof_sha256, own AS folded_root, own = root AS verified\n"
+        f"FROM {ended} CROSS JOIN (SELECT digest AS root FROM b{MANIFEST_LEVELS})"
+    )
+
+
 QUERIES = {
     "op1_katz": op1_katz,
     "op2_language_id": op2_language_id,
@@ -256,10 +426,14 @@ QUERIES = {
     "op8_revisits": op8_revisits,
     "op9_preferences": op9_preferences,
     "op10_page_templates": op10_page_templates,
+    "op11_turn_repair": op11_turn_repair,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES = {
     "op7_decontamination": OP7_SQL,
     "op8_revisits": OP8_SQL,
     "op9_preferences": OP9_SQL,
+    "op11_turn_repair": OP11_SQL,
+    "op13_merkle": _manifest_sql(),
 }

@@ -40,7 +40,7 @@ def test_stages_take_empty_documents(spark):
 
 def test_one_query_for_each_operator():
     names = [name for name in queries() if name.startswith("op")]
-    assert sorted(int(name[2:].split("_")[0]) for name in names) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in names) == list(range(1, 14))
     assert {"op7_decontamination", "op8_revisits", "op9_preferences"} <= set(oracle_sql())
 
 
