@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strainframe.llm import decontaminate, katz, language_id, merkle, near_dedup, page_templates, piece_sampling, preferences, syncmers, token_files, turn_repair, warc_revisits
+from strainframe.llm import decontaminate, katz, language_id, merkle, minhash_join, near_dedup, page_templates, piece_sampling, preferences, syncmers, token_files, turn_repair, warc_revisits
 from strainframe.llm.common import table
 from strainframe.session import scratch_path
 
@@ -337,6 +337,43 @@ FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
 """
 
 
+def op12_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_join.similar_documents(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")
+    )
+
+
+#: Pairs are found over their shared shingles, components by carrying the least id along links.
+OP12_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT row_number() OVER () AS rid, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+sets AS (
+    SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                             ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+alike AS (SELECT md5(array_to_string(list_sort(s), chr(10))) AS node, min(doc_id) AS least, any_value(s) AS s FROM sets WHERE len(s) > 0 GROUP BY 1),
+shingles AS (SELECT node, len(s) AS n, unnest(s) AS x FROM alike),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY df, x) AS place FROM (SELECT *, count(*) OVER (PARTITION BY x) AS df FROM shingles)),
+prefix AS (SELECT node, n, x FROM ranked WHERE 5 * (place - 1) <= n),
+pairs AS (
+    SELECT DISTINCT a.node AS a, b.node AS b FROM prefix a JOIN prefix b ON b.x = a.x AND a.node < b.node AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+links AS (
+    SELECT a, b FROM (SELECT a, b, x.s AS s, y.s AS t FROM pairs JOIN alike x ON x.node = a JOIN alike y ON y.node = b)
+    WHERE 100 * len(list_intersect(s, t)) >= 80 * (len(s) + len(t) - len(list_intersect(s, t)))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+    SELECT node, node AS other FROM alike
+    UNION
+    SELECT r.node, l.b FROM reach r JOIN both_ways l ON l.a = r.other),
+named AS (SELECT r.node, min(a.least) AS component FROM reach r JOIN alike a ON a.node = r.other GROUP BY r.node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE n.component END AS component_id,
+       s.doc_id IS NOT DISTINCT FROM CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE n.component END AS kept
+FROM sets s LEFT JOIN named n ON n.node = md5(array_to_string(list_sort(s.s), chr(10)))
+"""
+
+
 MANIFEST_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -427,6 +464,7 @@ QUERIES = {
     "op9_preferences": op9_preferences,
     "op10_page_templates": op10_page_templates,
     "op11_turn_repair": op11_turn_repair,
+    "op12_minhash_join": op12_minhash_join,
     "op13_merkle": op13_merkle,
 }
 
@@ -435,5 +473,6 @@ ORACLES = {
     "op8_revisits": OP8_SQL,
     "op9_preferences": OP9_SQL,
     "op11_turn_repair": OP11_SQL,
+    "op12_minhash_join": OP12_SQL,
     "op13_merkle": _manifest_sql(),
 }

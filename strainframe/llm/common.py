@@ -46,3 +46,11 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
 def with_fields(frame: DataFrame, more: str) -> StructType:
     """The schema of a frame with further columns, written as DDL."""
     return StructType(frame.schema.fields + StructType.fromDDL(more).fields)
+
+
+def free_name(frame: DataFrame, name: str) -> str:
+    """A column name that the frame does not have, in any case."""
+    taken = {column.lower() for column in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
