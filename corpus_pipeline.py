@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strainframe.llm import decontaminate, language_id, near_dedup, piece_sampling
+from strainframe.llm import decontaminate, language_id, piece_sampling, similar_groups
 from strainframe.llm.common import bounded_batches, table
 from strainframe.session import cut_lineage
 
@@ -26,7 +26,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of texts linked by a five-word Jaccard similarity of 0.8 or more."""
     bounded_batches(spark, 250)
-    return near_dedup.first_of_each_group(docs)
+    return similar_groups.first_of_each_group(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ STAGES = [
     ("piece sampling", sampled_pieces),
 ]
 
-#: Compression, SimHash links and sampling have no SQL form.
+#: Compression and sampling have no SQL form.
 ORACLE_SQL = None
 
 
