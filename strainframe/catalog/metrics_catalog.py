@@ -406,8 +406,7 @@ def q_cv_oof(spark, folder):
 FOLD_METRICS = ["mae", "r2", "baseline_mae", "mae_improvement_vs_baseline", "mae_improvement_pct"]
 
 
-@query(
-    "q_cv_fold_metrics",
+CV_FOLD_METRICS_SQL = (
     """SELECT fold, target, val_size, comparable_accuracy AS pairwise_order_accuracy, spearman, """
     + ", ".join(f"round({n}, 6) AS {n}" for n in FOLD_METRICS)
     + """ FROM (
@@ -424,11 +423,16 @@ FOLD_METRICS = ["mae", "r2", "baseline_mae", "mae_improvement_vs_baseline", "mae
                          + (count(*) OVER (PARTITION BY fold, target, actual) - 1) / 2.0::DOUBLE AS ra,
                        rank() OVER (PARTITION BY fold, target ORDER BY pred)
                          + (count(*) OVER (PARTITION BY fold, target, pred) - 1) / 2.0::DOUBLE AS rp FROM oof)
-              GROUP BY fold, target) USING (fold, target))""",
-    extra=CV_VIEWS,
+              GROUP BY fold, target) USING (fold, target))"""
 )
-def q_cv_fold_metrics(spark, folder):
-    rows = linear_oof(fold_rows(spark, folder))
+
+
+def fold_metrics(rows):
     report = metrics.regression_report(rows, ["fold", "target"], ["baseline"]).withColumnRenamed("count", "val_size")
     report = rounded(rounded(report, *FOLD_METRICS), "pairwise_order_accuracy", digits=8)
     return rounded(report, "spearman", digits=7)
+
+
+@query("q_cv_fold_metrics", CV_FOLD_METRICS_SQL, extra=CV_VIEWS)
+def q_cv_fold_metrics(spark, folder):
+    return fold_metrics(linear_oof(fold_rows(spark, folder)))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strainframe.catalog.metrics_catalog import CV_VIEWS, TARGETS, chart_labels, fold_rows, grouped_charts, predictions
+from strainframe.catalog.forest_views import forest_views, rows_view
+from strainframe.catalog.metrics_catalog import CV_FOLD_METRICS_SQL, CV_VIEWS, TARGETS, chart_labels, fold_metrics, fold_rows, grouped_charts, predictions
 from strainframe.catalog.registry import query, rounded
+from strainframe.catalog.sequences_catalog import FEATURE_VIEWS
 from strainframe.operators import embeddings, features, labels, models, splits, sweeps
 from strainframe.session import cut_lineage, scratch_path
 from strainframe.sources import tables
 
-#: Trees a forest of these queries has; every other option is the default.
-FOREST = models.ForestOptions(trees=20)
 FOLDS = 5
 
 
@@ -24,28 +24,91 @@ def training_rows(spark, folder, folds=FOLDS):
     return cut_lineage(splits.cross_validation_folds(rows, folds=folds, seed=42))
 
 
-@query("q_forest_regression")
+FOREST = models.ForestOptions()
+WIDTH = len(features.CORE_FEATURES)
+FOREST_PLAN = f"SELECT 'forest' AS model, 42 AS seed, {FOREST.trees} AS trees, {FOREST.min_leaf} AS min_leaf, {WIDTH} AS width, {FOREST.drawn(WIDTH)} AS drawn"
+
+
+def forest_sql(source: str, plans: str = FOREST_PLAN, names=features.CORE_FEATURES) -> dict[str, str]:
+    """Folds and forests are made of the charts that have notes."""
+    grouped = f"SELECT * FROM ({CV_VIEWS['grouped']}) WHERE beatmap_id IN (SELECT beatmap_id FROM core)"
+    return {**CV_VIEWS, **FEATURE_VIEWS, "grouped": grouped, **forest_views(rows_view(source, names), plans)}
+
+
+@query(
+    "q_forest_regression",
+    f"""SELECT id AS beatmap_id, {", ".join(f"round({t}, 9) AS {t}, round(v{n}, 7) AS pred_{t}" for n, t in enumerate(TARGETS, 1))}
+        FROM forest_values JOIN chart_labels ON beatmap_id = id""",
+    extra=forest_sql("SELECT beatmap_id, fold <> 1 AS train, 'forest' AS model FROM folds"),
+)
 def q_forest_regression(spark, folder):
     rows = training_rows(spark, folder)
     model = models.fit_forest(rows.filter("fold <> 1"), features.CORE_FEATURES, TARGETS, FOREST, weight="weight")
     scored = model.predict(rows.filter("fold = 1"))
-    return scored.select("beatmap_id", *[n for t in TARGETS for n in (t, f"pred_{t}")])
+    scored = rounded(scored.select("beatmap_id", *[n for t in TARGETS for n in (t, f"pred_{t}")]), *TARGETS, digits=9)
+    return rounded(scored, *[f"pred_{t}" for t in TARGETS], digits=7)
+
+
+CV_FOREST_VIEWS = {
+    **forest_sql(
+        "SELECT beatmap_id, fold <> r.round AS train, 'fold' || r.round AS model FROM folds CROSS JOIN (SELECT unnest(range(1, 6)) AS round) r",
+        f"SELECT 'fold' || r AS model, 42 + r AS seed, {FOREST.trees} AS trees, {FOREST.min_leaf} AS min_leaf, {WIDTH} AS width, {FOREST.drawn(WIDTH)} AS drawn"
+        " FROM (SELECT unnest(range(1, 6)) AS r)",
+    ),
+    "forest_oof": """
+        SELECT id AS beatmap_id, f.fold, t.target, round(l.actual, 9) AS actual, round(CASE t.target WHEN 'mean_acc' THEN v1 WHEN 'acc_std' THEN v2 ELSE v3 END, 7) AS pred,
+               b.baseline
+        FROM forest_values JOIN folds f ON f.beatmap_id = id CROSS JOIN (SELECT unnest(['mean_acc', 'acc_std', 'skill_gap']) AS target) t
+        JOIN (SELECT beatmap_id, unnest(['mean_acc', 'acc_std', 'skill_gap']) AS target, unnest([mean_acc, acc_std, skill_gap]) AS actual FROM chart_labels) l
+          ON l.beatmap_id = id AND l.target = t.target
+        JOIN (SELECT round, target, avg(actual) AS baseline FROM rounds WHERE is_train GROUP BY ALL) b ON b.round = f.fold AND b.target = t.target""",
+}
+
 
+def forest_oof(spark, folder):
+    rows = models.out_of_fold(training_rows(spark, folder), features.CORE_FEATURES, TARGETS, FOREST, folds=FOLDS, weight="weight")
+    return rounded(rounded(rows, "actual", digits=9), "pred", digits=7)
 
-@query("q_cv_oof_forest")
+
+@query(
+    "q_cv_oof_forest",
+    "SELECT beatmap_id, fold, target, actual, pred, round(baseline, 7) AS baseline FROM forest_oof",
+    extra=CV_FOREST_VIEWS,
+)
 def q_cv_oof_forest(spark, folder):
-    rows = training_rows(spark, folder)
-    return models.out_of_fold(rows, features.CORE_FEATURES, TARGETS, FOREST, folds=FOLDS, weight="weight")
+    return rounded(forest_oof(spark, folder), "baseline", digits=7)
+
 
+@query(
+    "q_cv_fold_metrics_forest",
+    CV_FOLD_METRICS_SQL.replace("FROM oof", "FROM forest_oof").replace("JOIN oof", "JOIN forest_oof"),
+    extra=CV_FOREST_VIEWS,
+)
+def q_cv_fold_metrics_forest(spark, folder):
+    """Metrics of each fold and target, and their gain over the mean of the fold's train rows."""
+    return fold_metrics(forest_oof(spark, folder))
 
-@query("q_feature_importance")
+
+ALL_CHARTS = "SELECT beatmap_id, true AS train, 'forest' AS model FROM folds"
+
+
+@query(
+    "q_feature_importance",
+    f"""SELECT feature, round(coalesce(importance, 0), 7) AS importance
+        FROM (SELECT unnest(range(0, {WIDTH})) AS f, unnest({list(features.CORE_FEATURES)}) AS feature) LEFT JOIN forest_importances USING (f)""",
+    extra=forest_sql(ALL_CHARTS),
+)
 def q_feature_importance(spark, folder):
     rows = training_rows(spark, folder)
     model = models.fit_forest(rows, features.CORE_FEATURES, TARGETS, FOREST, weight="weight")
-    return model.importances(spark).orderBy("target", F.col("importance").desc(), "feature")
+    return rounded(model.importances(spark), "importance", digits=7).orderBy(F.col("importance").desc(), "feature")
 
 
-@query("q_batch_predict")
+@query(
+    "q_batch_predict",
+    f"SELECT id AS beatmap_id, {', '.join(f'round(v{n}, 7) AS pred_{t}' for n, t in enumerate(TARGETS, 1))} FROM forest_values",
+    extra=forest_sql(f"{ALL_CHARTS} UNION ALL SELECT beatmap_id, false, 'forest' FROM core"),
+)
 def q_batch_predict(spark, folder):
     rows = training_rows(spark, folder)
     model = models.fit_forest(rows, features.CORE_FEATURES, TARGETS, FOREST, weight="weight")
@@ -53,7 +116,8 @@ def q_batch_predict(spark, folder):
     model.save(path, spark)
     loaded = models.ForestModel.load(path, spark)
     every = features.chart_features(tables.raw_notes(spark, folder))
-    return loaded.predict(every).select("beatmap_id", *[f"pred_{t}" for t in TARGETS])
+    names = [f"pred_{t}" for t in TARGETS]
+    return rounded(loaded.predict(every).select("beatmap_id", *names), *names, digits=7)
 
 
 # --- sweeps -----------------------------------------------------------------
@@ -178,18 +242,106 @@ def q_best_candidate(spark, folder):
     return best[0].unionByName(best[1])
 
 
-@query("q_sweep_forest")
+SWEEP_TREES, SWEEP_LEAVES, SWEEP_SHARES = (100, 200), (1, 2, 4), ("sqrt", "0.5")
+SWEEP_SETS = {"core": features.CORE_FEATURES, "burst": features.feature_names("burst")}
+SWEEP_KEYS = ["candidate_id", "feature_set", "forest_trees", "forest_min_samples_leaf", "forest_max_features"]
+SWEEP_METRICS = ["mae", "r2", "spearman", "pairwise_order_accuracy", "baseline_mae", "mae_improvement_pct"]
+
+
+def sweep_plans_sql() -> str:
+    """Candidates that differ in the number of trees share the largest forest."""
+    rows = [
+        f"SELECT '{name}|{leaf}|{share}|' || r AS model, 42 + r AS seed, {max(SWEEP_TREES)} AS trees, {leaf} AS min_leaf, {len(names)} AS width, "
+        f"{models.ForestOptions(max_features=share).drawn(len(names))} AS drawn FROM (SELECT unnest(range(1, 6)) AS r)"
+        for name, names in SWEEP_SETS.items()
+        for leaf in SWEEP_LEAVES
+        for share in SWEEP_SHARES
+    ]
+    return " UNION ALL ".join(rows)
+
+
+def metrics_sql(source: str, keys: str) -> str:
+    """The report of out-of-fold rows by some keys."""
+    return f"""
+        SELECT *, (baseline_mae - mae) / baseline_mae AS mae_improvement_pct FROM (
+            SELECT {keys}, avg(abs(actual - pred)) AS mae, 1 - sum((actual - pred) ** 2) / sum((actual - m) ** 2) AS r2, avg(abs(actual - baseline)) AS baseline_mae,
+                   coalesce(corr(ra, rp), 0) AS spearman
+            FROM (SELECT *, avg(actual) OVER w AS m,
+                         rank() OVER (PARTITION BY {keys} ORDER BY actual) + (count(*) OVER (PARTITION BY {keys}, actual) - 1) / 2.0::DOUBLE AS ra,
+                         rank() OVER (PARTITION BY {keys} ORDER BY pred) + (count(*) OVER (PARTITION BY {keys}, pred) - 1) / 2.0::DOUBLE AS rp
+                  FROM {source} WINDOW w AS (PARTITION BY {keys})) GROUP BY {keys})
+        JOIN (SELECT {keys}, count_if((a.actual < b.actual) = (a.pred < b.pred)) / count(*)::DOUBLE AS pairwise_order_accuracy
+              FROM {source} a JOIN {source} b USING ({keys}) WHERE a.beatmap_id < b.beatmap_id AND a.actual <> b.actual AND a.pred <> b.pred GROUP BY {keys}) USING ({keys})"""
+
+
+_KEYS_SQL = ", ".join(SWEEP_KEYS)
+_MODEL_SQL = "f.name || '|' || l.leaf || '|' || m.share || '|' || r.round"
+SWEEP_FOREST_VIEWS = {
+    **forest_sql(
+        f"""SELECT beatmap_id, fold <> r.round AS train, {_MODEL_SQL} AS model FROM folds
+            CROSS JOIN (SELECT unnest({list(SWEEP_SETS)}) AS name) f CROSS JOIN (SELECT unnest({list(SWEEP_LEAVES)}) AS leaf) l
+            CROSS JOIN (SELECT unnest({list(SWEEP_SHARES)}) AS share) m CROSS JOIN (SELECT unnest(range(1, 6)) AS round) r""",
+        sweep_plans_sql(),
+        SWEEP_SETS["burst"],
+    ),
+    "sweep_values": f"""
+        SELECT model, id, trees, avg(v1) / 1000000 AS v1, avg(v2) / 1000000 AS v2, avg(v3) / 1000000 AS v3
+        FROM forest_leaves JOIN leaf_means USING (model, tree, node) JOIN (SELECT unnest({list(SWEEP_TREES)}) AS trees) t ON tree <= trees WHERE NOT train GROUP BY ALL""",
+    "sweep_forest_oof": """
+        SELECT p.name || '_trees' || p.trees || '_leaf' || p.leaf || '_feat' || p.share AS candidate_id, p.name AS feature_set, CAST(p.trees AS BIGINT) AS forest_trees,
+               CAST(p.leaf AS BIGINT) AS forest_min_samples_leaf, p.share AS forest_max_features, id AS beatmap_id, f.fold, t.target, round(l.actual, 9) AS actual,
+               round(CASE t.target WHEN 'mean_acc' THEN v1 WHEN 'acc_std' THEN v2 ELSE v3 END, 9) AS pred, b.baseline
+        FROM (SELECT *, split_part(model, '|', 1) AS name, split_part(model, '|', 2) AS leaf, split_part(model, '|', 3) AS share FROM sweep_values) p
+        JOIN folds f ON f.beatmap_id = id CROSS JOIN (SELECT unnest(['mean_acc', 'acc_std', 'skill_gap']) AS target) t
+        JOIN (SELECT beatmap_id, unnest(['mean_acc', 'acc_std', 'skill_gap']) AS target, unnest([mean_acc, acc_std, skill_gap]) AS actual FROM chart_labels) l
+          ON l.beatmap_id = id AND l.target = t.target
+        JOIN (SELECT round, target, avg(actual) AS baseline FROM rounds WHERE is_train GROUP BY ALL) b ON b.round = f.fold AND b.target = t.target""",
+    "sweep_by_target": metrics_sql("sweep_forest_oof", f"{_KEYS_SQL}, target"),
+    "sweep_by_fold": metrics_sql("sweep_forest_oof", f"{_KEYS_SQL}, target, fold"),
+    "sweep_by_candidate": f"SELECT {_KEYS_SQL}, {', '.join(f'round(avg({n}), 7) AS {n}' for n in SWEEP_METRICS)} FROM sweep_by_target GROUP BY {_KEYS_SQL}",
+}
+
+
+def training_sweep_rows(spark, folder):
+    charts = grouped_charts(spark, folder)
+    values = features.chart_features(tables.raw_notes(spark, folder), feature_set="burst")
+    weight = labels.sample_weight(F.col("score_count"))
+    rows = charts.select("beatmap_id", "split_group", *TARGETS, weight.alias("weight")).join(values, "beatmap_id")
+    return cut_lineage(splits.cross_validation_folds(rows, folds=FOLDS, seed=42))
+
+
+@query(
+    "q_sweep_forest",
+    f"""SELECT {_KEYS_SQL}, 'candidate' AS scope, NULL AS target, CAST(NULL AS BIGINT) AS fold, {", ".join(f"round({n}, 6) AS {n}" for n in SWEEP_METRICS)},
+               row_number() OVER (ORDER BY mae, forest_trees, forest_min_samples_leaf DESC, feature_set, forest_max_features) = 1 AS is_best FROM sweep_by_candidate
+        UNION ALL SELECT {_KEYS_SQL}, 'target', target, NULL, {", ".join(f"round({n}, 6)" for n in SWEEP_METRICS)}, false FROM sweep_by_target
+        UNION ALL SELECT {_KEYS_SQL}, 'fold', target, fold, {", ".join(f"round({n}, 6)" for n in SWEEP_METRICS)}, false FROM sweep_by_fold""",
+    extra=SWEEP_FOREST_VIEWS,
+)
 def q_sweep_forest(spark, folder):
-    rows = training_rows(spark, folder)
-    parts = []
-    for leaf in (1, 4):
-        options = models.ForestOptions(trees=10, min_leaf=leaf)
-        oof = models.out_of_fold(rows, features.CORE_FEATURES, TARGETS, options, folds=FOLDS, weight="weight")
-        parts.append(
-            oof.withColumns({"forest_trees": F.lit(10), "forest_min_samples_leaf": F.lit(leaf), "feature_set": F.lit("core")})
-        )
-    keys = ["feature_set", "forest_trees", "forest_min_samples_leaf"]
-    return sweeps.evaluated(parts[0].unionByName(parts[1]), keys)[0]
+    """Every candidate of the grid on all folds: means, rows by target, rows by target and fold, and the one chosen."""
+    candidates = [
+        (name, models.ForestOptions(trees=count, min_leaf=leaf, max_features=share))
+        for name in SWEEP_SETS
+        for count in SWEEP_TREES
+        for leaf in SWEEP_LEAVES
+        for share in SWEEP_SHARES
+    ]
+    oof = models.forest_candidates(training_sweep_rows(spark, folder), SWEEP_SETS, TARGETS, candidates, folds=FOLDS, weight="weight")
+    oof = cut_lineage(sweeps.with_forest_id(rounded(oof, "actual", "pred", digits=9)))
+    summary, targets, folds = sweeps.evaluated(oof, SWEEP_KEYS)
+    names = {"mae": "mean_mae", "r2": "mean_r2", "spearman": "mean_spearman", "pairwise_order_accuracy": "mean_pairwise_order_accuracy",
+             "baseline_mae": "mean_baseline_mae", "mae_improvement_pct": "mean_improvement_pct"}
+    summary = cut_lineage(rounded(summary, *names.values(), digits=7))
+    best = sweeps.best_forest(summary).select("candidate_id", F.lit(True).alias("chosen"))
+    none = F.lit(None)
+    means = summary.join(F.broadcast(best), "candidate_id", "left").select(
+        *SWEEP_KEYS, F.lit("candidate").alias("scope"), none.cast("string").alias("target"), none.cast("long").alias("fold"),
+        *[F.col(source).alias(name) for name, source in names.items()], F.coalesce("chosen", F.lit(False)).alias("is_best"),
+    )
+    by_target = targets.select(*SWEEP_KEYS, F.lit("target").alias("scope"), "target", none.cast("long").alias("fold"), *SWEEP_METRICS, F.lit(False).alias("is_best"))
+    by_fold = folds.select(*SWEEP_KEYS, F.lit("fold").alias("scope"), "target", "fold", *SWEEP_METRICS, F.lit(False).alias("is_best"))
+    return rounded(means.unionByName(by_target).unionByName(by_fold), *SWEEP_METRICS)
 
 
 # --- embeddings -------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Tree-ensemble regression on chart features with Spark ML."""
+"""Tree-ensemble regression on chart features: one forest of extremely randomised trees for all targets."""
 
 from __future__ import annotations
 
@@ -6,133 +6,113 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strainframe.operators.metrics import MIN_STD
+from strainframe.operators import trees
+from strainframe.operators.trees import ForestOptions, Trees
 from strainframe.session import cut_lineage
 
-
-@dataclass(frozen=True)
-class ForestOptions:
-    trees: int = 200
-    min_leaf: int = 2
-    max_features: str = "sqrt"
-    max_depth: int = 30  # the deepest tree that Spark ML grows
-    seed: int = 42
+__all__ = ["ForestModel", "ForestOptions", "fit_forest", "forest_candidates", "out_of_fold"]
 
 
 @dataclass(frozen=True)
 class ForestModel:
-    """One fitted forest per target, and how to undo the target scaling."""
+    """A fitted forest: the mean of its trees' leaf means for every target."""
 
     features: tuple[str, ...]
-    scales: dict[str, tuple[float, float]]
-    models: dict[str, PipelineModel]
+    targets: tuple[str, ...]
+    count: int
+    trees: Trees
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Adds ``pred_<target>`` columns."""
-        scored = rows
-        for target, model in self.models.items():
-            mean, std = self.scales[target]
-            scored = model.transform(scored).withColumn(f"pred_{target}", F.col("_scaled") * std + mean)
-            scored = scored.drop("_scaled", "_vector")
-        return scored
+        numbered = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+        asked = trees.sample(numbered, self.features, keep=["_row"]).withColumn("model", F.lit("forest"))
+        count = rows.sparkSession.createDataFrame([("forest", self.count)], "model string, trees int")
+        found = self.trees.values(asked, ["_row"], count, len(self.targets)).drop("model")
+        predicted = numbered.join(found, "_row").withColumns({f"pred_{t}": F.col("values")[n] for n, t in enumerate(self.targets)})
+        return predicted.drop("_row", "values")
 
     def importances(self, spark: SparkSession) -> DataFrame:
-        """(target, feature, importance); one row per target and feature."""
-        rows = [
-            (target, name, float(model.stages[-1].featureImportances[place]))
-            for target, model in self.models.items()
-            for place, name in enumerate(self.features)
-        ]
-        return spark.createDataFrame(rows, "target string, feature string, importance double")
+        """(feature, importance), zero for features that no tree uses."""
+        names = spark.createDataFrame(list(enumerate(self.features)), "f int, feature string")
+        found = names.join(self.trees.importances().drop("model"), "f", "left")
+        return found.select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
 
     def save(self, path: str, spark: SparkSession) -> None:
-        for target, model in self.models.items():
-            model.write().overwrite().save(f"{path}/{target}")
-        note = json.dumps({"features": self.features, "scales": self.scales})
+        for name in ("splits", "leaves"):
+            getattr(self.trees, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        note = json.dumps({"features": self.features, "targets": self.targets, "trees": self.count})
         spark.createDataFrame([(note,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @staticmethod
     def load(path: str, spark: SparkSession) -> ForestModel:
         note = json.loads(spark.read.text(f"{path}/about").head()[0])
-        models = {target: PipelineModel.load(f"{path}/{target}") for target in note["scales"]}
-        scales = {target: tuple(values) for target, values in note["scales"].items()}
-        return ForestModel(tuple(note["features"]), scales, models)
+        parts = (spark.read.parquet(f"{path}/{name}") for name in ("splits", "leaves"))
+        return ForestModel(tuple(note["features"]), tuple(note["targets"]), note["trees"], Trees(*parts))
 
 
-def fit_forest(
-    train: DataFrame,
-    features: Sequence[str],
-    targets: Sequence[str],
-    options: ForestOptions,
-    *,
-    weight: str | None = None,
-) -> ForestModel:
-    """Targets are scaled by train mean and population deviation before fitting."""
-    stats = train.agg(
-        *[F.avg(name).alias(f"m_{name}") for name in targets],
-        *[F.stddev_pop(name).alias(f"s_{name}") for name in targets],
-    ).head()
-    scales, models = {}, {}
-    for target in targets:
-        mean, std = stats[f"m_{target}"], stats[f"s_{target}"]
-        std = std if std is not None and std >= MIN_STD else 1.0
-        forest = RandomForestRegressor(
-            featuresCol="_vector",
-            labelCol="_label",
-            predictionCol="_scaled",
-            numTrees=options.trees,
-            minInstancesPerNode=options.min_leaf,
-            featureSubsetStrategy=options.max_features,
-            maxDepth=options.max_depth,
-            seed=options.seed,
-        )
-        if weight:
-            forest = forest.setWeightCol(weight)
-        assembler = VectorAssembler(inputCols=list(features), outputCol="_vector")
-        labelled = train.withColumn("_label", (F.col(target) - mean) / std)
-        models[target] = Pipeline(stages=[assembler, forest]).fit(labelled)
-        scales[target] = (mean, std)
-    return ForestModel(tuple(features), scales, models)
-
-
-def out_of_fold(
+def fit_forest(train: DataFrame, features: Sequence[str], targets: Sequence[str], options: ForestOptions, *, weight: str | None = None) -> ForestModel:
+    """Targets count alike: their errors are scaled by the train rows' population deviation."""
+    rows = trees.sample(train, features, targets, weight).withColumn("model", F.lit("forest"))
+    plans = trees.plan_rows(train.sparkSession, [("forest", options, len(features))])
+    return ForestModel(tuple(features), tuple(targets), options.trees, trees.grow(cut_lineage(rows), plans, len(features), len(targets)))
+
+
+def out_of_fold(rows: DataFrame, features: Sequence[str], targets: Sequence[str], options: ForestOptions, *, folds: int, weight: str | None = None) -> DataFrame:
+    """Long out-of-fold predictions (beatmap_id, fold, target, actual, pred, baseline).
+
+    ``rows`` carries ``fold``; each row is predicted by the forest not trained on it, whose seed grows with the
+    fold. The forests of all folds grow together.
+    """
+    found = forest_candidates(rows, {"": features}, targets, [("", options)], folds=folds, weight=weight)
+    return found.drop("feature_set", "forest_trees", "forest_min_samples_leaf", "forest_max_features")
+
+
+def forest_candidates(
     rows: DataFrame,
-    features: Sequence[str],
+    feature_sets: dict[str, Sequence[str]],
     targets: Sequence[str],
-    options: ForestOptions,
+    candidates: Sequence[tuple[str, ForestOptions]],
     *,
     folds: int,
     weight: str | None = None,
 ) -> DataFrame:
-    """Long out-of-fold predictions (beatmap_id, fold, target, actual, pred, baseline).
+    """Out-of-fold predictions of many candidates (feature set, options) in one growth.
 
-    ``rows`` carries ``fold``; each row is predicted by the model not trained on
-    it. The feature table is cut once and read by every fold.
+    All candidates read one table of features: each set has to begin like the longest one. Candidates that differ in
+    the number of trees alone share a forest, of which the smaller ones take the first trees.
     """
-    rows = cut_lineage(rows)
-    parts = []
-    for fold in range(1, folds + 1):
-        train = rows.filter(F.col("fold") != fold)
-        seeded = ForestOptions(options.trees, options.min_leaf, options.max_features, options.max_depth, options.seed + fold)
-        model = fit_forest(train, features, targets, seeded, weight=weight)
-        scored = model.predict(rows.filter(F.col("fold") == fold))
-        entries = [
-            F.struct(
-                F.lit(t).alias("target"),
-                F.col(t).alias("actual"),
-                F.col(f"pred_{t}").alias("pred"),
-                F.lit(model.scales[t][0]).alias("baseline"),
-            )
-            for t in targets
-        ]
-        parts.append(scored.select("beatmap_id", "fold", F.explode(F.array(*entries)).alias("e")).select("beatmap_id", "fold", "e.*"))
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
-    return stacked
+    spark, longest = rows.sparkSession, max(feature_sets.values(), key=len)
+    if any(list(names) != list(longest[: len(names)]) for names in feature_sets.values()):
+        raise ValueError("feature sets have to begin like the longest one")
+    shared: dict[tuple, list[ForestOptions]] = {}
+    for name, options in candidates:
+        shared.setdefault((name, options.min_leaf, str(options.max_features), options.seed), []).append(options)
+    plans, about = [], []
+    for place, ((name, leaf, share, _), members) in enumerate(shared.items()):
+        largest = max(members, key=lambda o: o.trees)
+        for fold in range(1, folds + 1):
+            model = f"{place}|{fold}"
+            plans.append((model, largest.seeded(fold), len(feature_sets[name])))
+            about.append((model, fold, largest.trees, [o.trees for o in members], name, leaf, share))
+    kind = "model string, of long, trees int, limits array<int>, feature_set string, forest_min_samples_leaf long, forest_max_features string"
+    about = cut_lineage(spark.createDataFrame(about, kind))
+    base = cut_lineage(trees.sample(rows, longest, targets, weight, keep=["beatmap_id", "fold", *targets]))
+    train = base.join(F.broadcast(about.select("model", "of")), F.col("fold") != F.col("of")).select("model", "x", "y", "w")
+    forest = trees.grow(cut_lineage(train), trees.plan_rows(spark, plans), len(longest), len(targets))
+    held_out = base.join(F.broadcast(about.select("model", "of")), F.col("fold") == F.col("of")).select("model", "beatmap_id", "fold", "x", *targets)
+    limits = sorted({o.trees for _, o in candidates})
+    found = forest.values(held_out, ["beatmap_id", "fold", *targets], about.select("model", "trees"), len(targets), limits)
+    found = found.withColumnRenamed("trees", "forest_trees").join(F.broadcast(about.drop("of", "trees")), "model").filter(F.array_contains("limits", F.col("forest_trees")))
+    rounds = base.join(F.broadcast(spark.range(1, folds + 1).select(F.col("id").alias("of"))), F.col("fold") != F.col("of"))
+    means = rounds.groupBy(F.col("of").alias("fold")).agg(F.array(*map(F.avg, targets)).alias("means"))
+    entries = [
+        F.struct(F.lit(t).alias("target"), F.col(t).alias("actual"), F.col("values")[n].alias("pred"), F.col("means")[n].alias("baseline"))
+        for n, t in enumerate(targets)
+    ]
+    long = found.join(F.broadcast(means), "fold").withColumn("e", F.explode(F.array(*entries)))
+    return long.select(
+        "feature_set", F.col("forest_trees").cast("long").alias("forest_trees"), "forest_min_samples_leaf", "forest_max_features", "beatmap_id", "fold", "e.*"
+    )

@@ -56,6 +56,14 @@ def forest_grid(spark: SparkSession, *, trees, min_samples_leaf, max_features, f
     return option_grid(spark, options, FOREST_ID, tokens=False)
 
 
+def with_forest_id(rows: DataFrame) -> DataFrame:
+    """Adds ``candidate_id`` to rows that carry a candidate's options."""
+    parts = F.concat(
+        F.col("feature_set"), F.lit("_trees"), F.col("forest_trees"), F.lit("_leaf"), F.col("forest_min_samples_leaf"), F.lit("_feat"), F.col("forest_max_features")
+    )
+    return rows.withColumn("candidate_id", parts)
+
+
 def neural_grid(spark: SparkSession, model: str, own: Mapping[str, Sequence[object]], shared: Mapping[str, Sequence[object]]) -> DataFrame:
     """``own`` holds the model's lists, ``shared`` lr, weight_decay, batch_size, huber_delta."""
     if model not in NEURAL_IDS:

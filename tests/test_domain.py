@@ -204,7 +204,7 @@ def test_projection_matches_svd(spark):
 
 def test_forest_saves_and_loads(spark, tmp_path):
     rows = spark.createDataFrame([(i, float(i), float(i % 3), i / 10) for i in range(40)], "beatmap_id long, x double, y double, t double")
-    model = models.fit_forest(rows, ["x", "y"], ["t"], models.ForestOptions(trees=4, max_depth=4))
+    model = models.fit_forest(rows, ["x", "y"], ["t"], models.ForestOptions(trees=4))
     model.save(str(tmp_path / "m"), spark)
     loaded = models.ForestModel.load(str(tmp_path / "m"), spark)
     left, right = (m.predict(rows).orderBy("beatmap_id").select("pred_t").collect() for m in (model, loaded))
