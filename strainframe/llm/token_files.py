@@ -16,8 +16,10 @@ import itertools
 import json
 import os
 import re
+import sys
+import types
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -92,12 +94,32 @@ class EliasFano:
         value = sum(int(self.low[place >> 3] >> (place & 7) & 1) << n for n, place in enumerate(low.tolist()))
         return (high << self.bits) | value
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.size]
-        high = (ones - np.arange(self.size)).astype(np.uint64) << np.uint64(self.bits)
-        low = np.unpackbits(self.low, bitorder="little")[: self.size * self.bits].reshape(self.size, self.bits)
+    def select_many(self, first: int, count: int) -> np.ndarray:
+        """The numbers at neighbouring indexes; each stored position opens the stretch of bits up to the next one."""
+        if not count:
+            return np.empty(0, np.int64)
+        start, stop = first // SELECT_STEP, (first + count - 1) // SELECT_STEP + 1
+        begin = int(self.samples[start]) >> 3
+        end = (int(self.samples[stop]) >> 3) + 1 if stop < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[begin:end], bitorder="little")) + 8 * begin
+        ones = ones[ones >= int(self.samples[start])][first - start * SELECT_STEP :][:count]
+        high = (ones - np.arange(first, first + count)).astype(np.uint64) << np.uint64(self.bits)
+        byte = first * self.bits >> 3
+        low = np.unpackbits(self.low[byte : ((first + count) * self.bits >> 3) + 1], bitorder="little")[first * self.bits - 8 * byte :]
+        low = low[: count * self.bits].reshape(count, self.bits)
         return (high | (low.astype(np.uint64) << np.arange(self.bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)).astype(np.int64)
 
+    def search(self, value: int) -> int:
+        """The first index whose number is not below a value; size if there is none."""
+        low, high = 0, self.size
+        while low < high:
+            middle = (low + high) // 2
+            if self.select(middle) < value:
+                low = middle + 1
+            else:
+                high = middle
+        return low
+
 
 class TextEncoder:
     """Ids of texts, an end id after each.
@@ -223,9 +245,17 @@ def _segment(shard: int, number: int, before: int, docs: list, sizes: np.ndarray
     return dict(zip(NAMES, values, strict=True))
 
 
+def kept_encoder(tokenizer_path: str, end_id: int) -> TextEncoder:
+    """The encoder of this Python worker, which serves all of its tasks: words learned in one are known in the next."""
+    held = sys.modules.setdefault("strainframe_kept_encoder", types.ModuleType("strainframe_kept_encoder"))
+    if getattr(held, "key", None) != (tokenizer_path, end_id):
+        held.key, held.encoder = (tokenizer_path, end_id), TextEncoder(tokenizer_path, end_id)
+    return held.encoder
+
+
 def _write_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema, tokenizer_path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Rows (id, text) in ascending id order, one segment a batch."""
-    encoder, shard, number, before = TextEncoder(tokenizer_path, end_id), TaskContext.get().partitionId(), 0, 0
+    encoder, shard, number, before = kept_encoder(tokenizer_path, end_id), TaskContext.get().partitionId(), 0, 0
     docs: list = []
     sizes: list[np.ndarray] = []
     ids: list[np.ndarray] = []
@@ -269,15 +299,56 @@ def write_token_files(
     placed.mapInArrow(step, schema).write.parquet(path)
 
 
+def _sequences(row: dict) -> tuple[EliasFano, EliasFano]:
+    """Document ids, less the first one, and ends of the documents of a segment."""
+    named = row["n_docs"] - row["n_nameless"]
+    return (
+        EliasFano(named, row["doc_span"], row["doc_low"], row["doc_high"], row["doc_select"]),
+        EliasFano(row["n_docs"], row["n_ids"], row["end_low"], row["end_high"], row["end_select"]),
+    )
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list, np.ndarray, np.ndarray]]:
     """(shard, ids before, document ids, ends, ids) of every segment."""
     for batch in batches:
         for at in range(batch.num_rows):
             row = {name: batch.column(n)[at].as_py() for n, name in enumerate(batch.schema.names)}
-            named = row["n_docs"] - row["n_nameless"]
-            ids = EliasFano(named, row["doc_span"], row["doc_low"], row["doc_high"], row["doc_select"]).all() + row["first_doc"]
-            ends = EliasFano(row["n_docs"], row["n_ids"], row["end_low"], row["end_high"], row["end_select"]).all()
-            yield row["shard"], row["before"], [None] * row["n_nameless"] + ids.tolist(), ends, np.frombuffer(row["ids"], f"<u{row['id_bytes']}")
+            docs, ends = _sequences(row)
+            ids = docs.select_many(0, docs.size) + row["first_doc"]
+            yield row["shard"], row["before"], [None] * row["n_nameless"] + ids.tolist(), ends.select_many(0, ends.size), np.frombuffer(row["ids"], f"<u{row['id_bytes']}")
+
+
+def _wanted_batches(batches: Iterator[pa.RecordBatch], wanted: Sequence[int]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) of the wanted documents of each segment, through selects alone."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            row = {name: batch.column(n)[at].as_py() for n, name in enumerate(batch.schema.names)}
+            (docs, ends), found = _sequences(row), []
+            ids = np.frombuffer(row["ids"], f"<u{row['id_bytes']}")
+            for name in wanted:
+                place = docs.search(name - row["first_doc"]) if name >= row["first_doc"] else docs.size
+                while place < docs.size and docs.select(place) == name - row["first_doc"]:
+                    index = row["n_nameless"] + place
+                    start = ends.select(index - 1) if index else 0
+                    found.append((name, ids[start : ends.select(index)].tolist()))
+                    place += 1
+            if found:
+                columns = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.list_(pa.int32())), strict=True)], names=["doc_id", "ids"])
+
+
+def read_documents(spark: SparkSession, path: str, doc_ids: Sequence[int]) -> DataFrame:
+    """(doc_id, ids) of a few documents, named by a list; segments that cannot hold any of them are not opened.
+
+    In a segment the id is found by binary search and its offsets by select, a few stretches of bits each. Documents that
+    share an id all come back, unknown ids give no row.
+    """
+    files = spark.read.schema(SEGMENT_FIELDS).parquet(path)
+    wanted = sorted(set(doc_ids))
+    if not wanted:
+        return spark.createDataFrame([], "doc_id long, ids array<int>")
+    near = files.filter((F.col("first_doc") <= wanted[-1]) & (F.col("first_doc") + F.col("doc_span") >= wanted[0]))
+    return near.mapInArrow(partial(_wanted_batches, wanted=wanted), "doc_id long, ids array<int>")
 
 
 def _read_batches(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,11 @@ def test_elias_fano(size, top):
     values = np.sort(np.random.default_rng(size).integers(0, top + 1, size))
     parts = token_files.EliasFano.encode(values, top)
     read = token_files.EliasFano(size, top, *parts)
-    assert (read.all() == values).all()
+    assert (read.select_many(0, size) == values).all()
+    for first, count in ((0, size // 2), (size // 3, size // 3), (size - size // 5, size // 5), (min(size, 256), max(0, min(size - 256, 256)))):
+        assert (read.select_many(first, count) == values[first : first + count]).all()
+    assert all(read.search(int(values[n])) == np.searchsorted(values, values[n]) for n in range(0, size, 37))
+    assert read.search(top + 1) == size
     assert all(read.select(n) == values[n] for n in range(0, size, 11))
     if size >= 600:
         assert 8 * (len(parts[0]) + len(parts[1])) <= size * (2 + np.log2(max(top / size, 1)) + 1) + 64
@@ -53,6 +57,18 @@ def test_round_trip(spark, awkward, monkeypatch, small):
     assert digests == {r["start"]: zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in rows}
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_chosen_documents(spark, awkward, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(token_files, "SEGMENT_DOCS", 2)
+    path = scratch_path(spark)
+    token_files.write_token_files(awkward.repartition(3), path, PATH)
+    every = token_files.read_token_files(spark, path).collect()
+    found = token_files.read_documents(spark, path, [2, 7, 5, 999, -3]).collect()
+    assert sorted((r["doc_id"], r["ids"]) for r in found) == sorted((r["doc_id"], r["ids"]) for r in every if r["doc_id"] in (2, 7, 5))
+    assert token_files.read_documents(spark, path, []).count() == 0
+
+
 def test_no_rows(spark, awkward):
     path = scratch_path(spark)
     token_files.write_token_files(awkward.limit(0), path, PATH)
