@@ -298,7 +298,7 @@ SWEEP_FOREST_VIEWS = {
         JOIN (SELECT round, target, avg(actual) AS baseline FROM rounds WHERE is_train GROUP BY ALL) b ON b.round = f.fold AND b.target = t.target""",
     "sweep_by_target": metrics_sql("sweep_forest_oof", f"{_KEYS_SQL}, target"),
     "sweep_by_fold": metrics_sql("sweep_forest_oof", f"{_KEYS_SQL}, target, fold"),
-    "sweep_by_candidate": f"SELECT {_KEYS_SQL}, {', '.join(f'round(avg({n}), 7) AS {n}' for n in SWEEP_METRICS)} FROM sweep_by_target GROUP BY {_KEYS_SQL}",
+    "sweep_by_candidate": f"SELECT {_KEYS_SQL}, {', '.join(f'round(avg({n}), 9) AS {n}' for n in SWEEP_METRICS)} FROM sweep_by_target GROUP BY {_KEYS_SQL}",
 }
 
 
@@ -312,10 +312,10 @@ def training_sweep_rows(spark, folder):
 
 @query(
     "q_sweep_forest",
-    f"""SELECT {_KEYS_SQL}, 'candidate' AS scope, NULL AS target, CAST(NULL AS BIGINT) AS fold, {", ".join(f"round({n}, 6) AS {n}" for n in SWEEP_METRICS)},
+    f"""SELECT {_KEYS_SQL}, 'candidate' AS scope, NULL AS target, CAST(NULL AS BIGINT) AS fold, {", ".join(f"round({n}, 5) AS {n}" for n in SWEEP_METRICS)},
                row_number() OVER (ORDER BY mae, forest_trees, forest_min_samples_leaf DESC, feature_set, forest_max_features) = 1 AS is_best FROM sweep_by_candidate
-        UNION ALL SELECT {_KEYS_SQL}, 'target', target, NULL, {", ".join(f"round({n}, 6)" for n in SWEEP_METRICS)}, false FROM sweep_by_target
-        UNION ALL SELECT {_KEYS_SQL}, 'fold', target, fold, {", ".join(f"round({n}, 6)" for n in SWEEP_METRICS)}, false FROM sweep_by_fold""",
+        UNION ALL SELECT {_KEYS_SQL}, 'target', target, NULL, {", ".join(f"round({n}, 5)" for n in SWEEP_METRICS)}, false FROM sweep_by_target
+        UNION ALL SELECT {_KEYS_SQL}, 'fold', target, fold, {", ".join(f"round({n}, 5)" for n in SWEEP_METRICS)}, false FROM sweep_by_fold""",
     extra=SWEEP_FOREST_VIEWS,
 )
 def q_sweep_forest(spark, folder):
@@ -332,7 +332,7 @@ def q_sweep_forest(spark, folder):
     summary, targets, folds = sweeps.evaluated(oof, SWEEP_KEYS)
     names = {"mae": "mean_mae", "r2": "mean_r2", "spearman": "mean_spearman", "pairwise_order_accuracy": "mean_pairwise_order_accuracy",
              "baseline_mae": "mean_baseline_mae", "mae_improvement_pct": "mean_improvement_pct"}
-    summary = cut_lineage(rounded(summary, *names.values(), digits=7))
+    summary = cut_lineage(rounded(summary, *names.values(), digits=9))
     best = sweeps.best_forest(summary).select("candidate_id", F.lit(True).alias("chosen"))
     none = F.lit(None)
     means = summary.join(F.broadcast(best), "candidate_id", "left").select(
@@ -341,7 +341,7 @@ def q_sweep_forest(spark, folder):
     )
     by_target = targets.select(*SWEEP_KEYS, F.lit("target").alias("scope"), "target", none.cast("long").alias("fold"), *SWEEP_METRICS, F.lit(False).alias("is_best"))
     by_fold = folds.select(*SWEEP_KEYS, F.lit("fold").alias("scope"), "target", "fold", *SWEEP_METRICS, F.lit(False).alias("is_best"))
-    return rounded(means.unionByName(by_target).unionByName(by_fold), *SWEEP_METRICS)
+    return rounded(means.unionByName(by_target).unionByName(by_fold), *SWEEP_METRICS, digits=5)
 
 
 # --- embeddings -------------------------------------------------------------
