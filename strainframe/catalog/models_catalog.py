@@ -360,10 +360,47 @@ def q_embedding_scale(spark, folder):
     return rounded(rows.select("vec_id", F.posexplode("scaled").alias("dim", "scaled")), "scaled")
 
 
-@query("q_embedding_pca")
+def _component_sql(matrix: str) -> str:
+    """The leading eigenvector of a one-row table (m): power steps on lists, many enough for close eigenvalues."""
+    return f"""
+        WITH RECURSIVE steps AS (
+            SELECT 0 AS step, m, list_transform(range(1, len(m) + 1), lambda i: 1.0::DOUBLE / i + (i % 3)) AS v FROM {matrix}
+            UNION ALL
+            SELECT step + 1, m, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w)))
+            FROM (SELECT step, m, list_transform(m, lambda r: list_dot_product(r, v)) AS w FROM steps WHERE step < {POWER_STEPS})),
+        last_step AS (SELECT m, v FROM steps WHERE step = {POWER_STEPS}),
+        largest AS (SELECT m, v, list_aggregate(list_transform(v, lambda x: abs(x)), 'max') AS top FROM last_step)
+        SELECT m, CASE WHEN list_contains(v, top) THEN v ELSE list_transform(v, lambda x: -x) END AS v FROM largest"""
+
+
+POWER_STEPS = 20_000
+PCA_VIEWS = {
+    "pca_z": """
+        SELECT vec_id, dim, (x - avg(x) OVER w) / CASE WHEN stddev_pop(x) OVER w > 0 THEN stddev_pop(x) OVER w ELSE 1 END AS z FROM (
+            SELECT vec_id, unnest(range(len(embedding)))::INT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) WINDOW w AS (PARTITION BY dim)""",
+    "pca_rows": "SELECT vec_id, list(z ORDER BY dim) AS z FROM pca_z GROUP BY vec_id",
+    "pca_covariance": """
+        SELECT list(r ORDER BY i) AS m FROM (
+            SELECT i, list(c ORDER BY j) AS r FROM (
+                SELECT a.dim AS i, b.dim AS j, sum(a.z * b.z) / (count(*) - 1) AS c FROM pca_z a JOIN pca_z b USING (vec_id) GROUP BY ALL) GROUP BY i)""",
+    "pca_first": _component_sql("pca_covariance"),
+    "pca_rest": """
+        SELECT list_transform(m, lambda r, i: list_transform(r, lambda c, j: c - size * v[i] * v[j])) AS m
+        FROM (SELECT m, v, list_dot_product(list_transform(m, lambda r: list_dot_product(r, v)), v) AS size FROM pca_first)""",
+    "pca_second": _component_sql("pca_rest"),
+}
+
+
+@query(
+    "q_embedding_pca",
+    f"""SELECT vec_id, label, round(list_dot_product(z, a.v), 5) AS projection_x, round(list_dot_product(z, b.v), 5) AS projection_y, round({NORM_SQL}, 6) AS embedding_norm
+        FROM embeddings JOIN pca_rows USING (vec_id) CROSS JOIN pca_first a CROSS JOIN pca_second b""",
+    extra=PCA_VIEWS,
+)
 def q_embedding_pca(spark, folder):
     rows = embeddings.projected(tables.table(spark, folder, "embeddings"))
-    return rows.select("vec_id", "label", "projection_x", "projection_y", "embedding_norm")
+    rows = rows.select("vec_id", "label", "projection_x", "projection_y", "embedding_norm")
+    return rounded(rounded(rows, "projection_x", "projection_y", digits=5), "embedding_norm")
 
 
 @query(
