@@ -11,7 +11,6 @@ from strainframe.session import cut_lineage
 from strainframe.sources import tables
 
 
-
 def rounded(frame, *names):
     return registry.rounded(frame, *names, digits=10)
 
@@ -358,6 +357,20 @@ def q_pair_features(spark, folder):
     return rows.withColumns({n: F.round(n, 10) + F.lit(0.0) for n in ranker.PAIR_FEATURES})
 
 
+RANKER_SAMPLE_SQL = f"""
+    SELECT pair_id, is_train, target, sample_weight, {", ".join(f"round((d.{n} - avg(d.{n}) FILTER (is_train) OVER ()) / CASE WHEN stddev_pop(d.{n}) FILTER (is_train) OVER () > 1e-12 THEN stddev_pop(d.{n}) FILTER (is_train) OVER () ELSE 1 END, 5) + 0.0 AS z_{n}" for n in ranker.PAIR_FEATURES)}
+    FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY md5('42|' || pair_id), pair_id) - 1 >= round_even(count(*) OVER (PARTITION BY target) * 0.25::DOUBLE, 0)
+                 OR count(*) OVER () < 4 AS is_train FROM pair_rows) d"""
+
+
+@query("q_pair_ranker_sample", RANKER_SAMPLE_SQL, extra={**SEGMENT_VIEWS, "pair_rows": _pair_sql()})
+def q_pair_ranker_sample(spark, folder):
+    """What the ranker is fitted on: hold-out flags and the features scaled by the train rows."""
+    rows = cut_lineage(ranker.holdout_flags(_pair_features(spark, folder), test_size=0.25, seed=42))
+    scaled = [(F.round(F.col("z")[place], 5) + F.lit(0.0)).alias(f"z_{n}") for place, n in enumerate(ranker.PAIR_FEATURES)]
+    return ranker.standardised_features(rows).select("pair_id", "is_train", "target", "sample_weight", *scaled)
+
+
 @query("q_pair_ranker")
 def q_pair_ranker(spark, folder):
     return ranker.fit_ranker(_pair_features(spark, folder))[0]

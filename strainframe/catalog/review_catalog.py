@@ -333,17 +333,20 @@ def q_score_judgments(spark, folder):
     return rounded(scored, *[n for n in scored.columns if "rate" in n or "delta" in n], digits=9)
 
 
+PERCENTILE_VIEWS = {
+    "stacked": """SELECT a_peak_strain AS strain FROM pairs WHERE a_peak_strain IS NOT NULL
+                  UNION ALL SELECT b_peak_strain FROM pairs WHERE b_peak_strain IS NOT NULL""",
+    "cumulative": """SELECT strain, sum(count(*)) OVER (ORDER BY strain) AS le FROM stacked GROUP BY strain""",
+}
+
+
 @query(
     "q_strain_percentile",
     """SELECT pair_id, round_even(100.0::DOUBLE * (a_le / n), 1) AS a_strain_percentile,
               round_even(100.0::DOUBLE * (b_le / n), 1) AS b_strain_percentile
        FROM (SELECT pair_id, (SELECT count(*)::DOUBLE FROM stacked) AS n, x.le::DOUBLE AS a_le, y.le::DOUBLE AS b_le
              FROM pairs LEFT JOIN cumulative x ON x.strain = a_peak_strain LEFT JOIN cumulative y ON y.strain = b_peak_strain)""",
-    extra={
-        "stacked": """SELECT a_peak_strain AS strain FROM pairs WHERE a_peak_strain IS NOT NULL
-                      UNION ALL SELECT b_peak_strain FROM pairs WHERE b_peak_strain IS NOT NULL""",
-        "cumulative": """SELECT strain, sum(count(*)) OVER (ORDER BY strain) AS le FROM stacked GROUP BY strain""",
-    },
+    extra=PERCENTILE_VIEWS,
 )
 def q_strain_percentile(spark, folder):
     rows = judgments.strain_percentiles(tables.pairs(spark, folder).select("pair_id", "a_peak_strain", "b_peak_strain"))
@@ -371,13 +374,20 @@ def q_pair_queue(spark, folder):
               round_even(least(min(a_peak_strain), min(b_peak_strain)), 3) AS strain_min,
               round_even(greatest(max(a_peak_strain), max(b_peak_strain)), 3) AS strain_max,
               CAST(count_if(scope = 'map') AS BIGINT) AS filtered_count, CAST(3 AS BIGINT) AS index,
-              (SELECT pair_id FROM statuses WHERE scope = 'map' ORDER BY pair_peak DESC, pair_id LIMIT 1 OFFSET 3) AS current_pair_id
-       FROM statuses""",
-    extra={"statuses": STATUS_SQL},
+              any_value(c.pair_id) AS current_pair_id, round(any_value(c.pair_peak), 8) AS current_pair_peak,
+              any_value(c.a_share) AS a_strain_percentile, any_value(c.b_share) AS b_strain_percentile
+       FROM statuses CROSS JOIN current_pair c""",
+    extra={
+        **PERCENTILE_VIEWS,
+        "statuses": STATUS_SQL,
+        "current_pair": """
+            SELECT s.pair_id, pair_peak, round_even(100.0::DOUBLE * (x.le::DOUBLE / n), 1) AS a_share, round_even(100.0::DOUBLE * (y.le::DOUBLE / n), 1) AS b_share
+            FROM (SELECT * FROM statuses WHERE scope = 'map' ORDER BY pair_peak DESC, pair_id LIMIT 1 OFFSET 3) s CROSS JOIN (SELECT count(*)::DOUBLE AS n FROM stacked) t
+            LEFT JOIN cumulative x ON x.strain = a_peak_strain LEFT JOIN cumulative y ON y.strain = b_peak_strain""",
+    },
 )
 def q_pair_queue_state(spark, folder):
-    state = judgments.queue_state(tables.pairs(spark, folder), scope="map", index=3)
-    return state.drop("current_pair_peak", "a_strain_percentile", "b_strain_percentile")
+    return rounded(judgments.queue_state(tables.pairs(spark, folder), scope="map", index=3), "current_pair_peak", digits=8)
 
 
 SAVE_SQL = """
