@@ -161,7 +161,7 @@ def search_pages(spark, folder):
     placed = rows.withColumn("page_no", F.explode(F.when(key % 10 == 0, F.array(page, page + 1)).otherwise(F.array(page))))
     chart = F.struct(
         key.alias("id"),
-        F.when(key % 3 == 0, "mania").when(key % 3 == 1, F.col("mode").cast("string")).alias("mode"),
+        F.when(key % 3 == 0, "mania").when(key % 6 == 1, F.col("mode").cast("string")).when(key % 6 == 4, F.concat(F.lit("n:"), "mode")).alias("mode"),
         F.col("mode").alias("mode_int"),
         F.when(key % 4 == 0, "ranked").when(key % 4 == 1, "graveyard").when(key % 4 == 2, "").alias("status"),
         F.when(key % 5 == 0, 0).otherwise(1).alias("ranked"),
@@ -185,13 +185,14 @@ def search_pages(spark, folder):
         F.col("beatmaps"),
     )
     pages = sets.groupBy("page_no").agg(F.sort_array(F.collect_list(entry)).alias("beatmapsets"))
-    return pages.select("page_no", F.to_json(F.struct("beatmapsets")).alias("page"))
+    # Some modes are numbers, others text of digits.
+    return pages.select("page_no", F.regexp_replace(F.to_json(F.struct("beatmapsets")), '"n:([0-9]+)"', "$1").alias("page"))
 
 
 PAGE_VIEWS = {
     "listed": """
         SELECT *, unnest(CASE WHEN beatmap_id % 10 = 0 THEN [beatmap_id // 50, beatmap_id // 50 + 1] ELSE [beatmap_id // 50] END) AS page_no,
-               CASE WHEN beatmap_id % 3 = 0 THEN true ELSE mode = 3 END AS mode_ok,
+               CASE WHEN beatmap_id % 3 = 0 THEN true ELSE mode = 3 AND beatmap_id % 6 <> 1 END AS mode_ok,
                CASE beatmap_id % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE beatmap_id % 5 <> 0 END AS status_ok,
                CASE WHEN beatmap_id % 17 = 0 THEN NULL WHEN beatmap_id % 13 = 0 THEN 4.9::DOUBLE ELSE keys::DOUBLE END AS cs
         FROM maps""",

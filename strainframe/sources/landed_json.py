@@ -7,27 +7,41 @@ from pyspark.sql import functions as F
 
 from strainframe.functions.casts import truncated_int
 
-MAP_SCHEMA = (
-    "id long, mode string, mode_int string, status string, ranked string, cs string, version string, "
-    "total_length string, bpm string, difficulty_rating string, drain string, accuracy string, ar string"
+# Cells whose JSON type decides are kept as variants: the text "3" is not the number 3.
+_MAP_FIELDS = (
+    "id: long, mode: variant, mode_int: variant, status: variant, ranked: variant, cs: string, version: string, "
+    "total_length: string, bpm: variant, difficulty_rating: string, drain: string, accuracy: string, ar: string"
 )
 PAGE_SCHEMA = (
-    "beatmapsets array<struct<id: string, title: string, artist: string, creator: string, bpm: string, "
-    f"beatmaps: array<struct<{MAP_SCHEMA.replace(' long', ': long').replace(' string', ': string')}>>>>"
+    "beatmapsets array<struct<id: string, title: string, artist: string, creator: string, bpm: variant, "
+    f"beatmaps: array<struct<{_MAP_FIELDS}>>>>"
 )
 
 
+def _text(value: Column) -> Column:
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def _number(value: Column) -> Column:
+    """The value of a JSON number; true counts as one, false as zero."""
+    kind = F.schema_of_variant(value)
+    return F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double")).when(
+        kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(value, "$", "double")
+    )
+
+
 def first_truthy(*values: Column) -> Column:
-    """First value that is neither NULL, '' nor a zero."""
-    kept = [F.when((v != "") & ~F.coalesce(v.try_cast("double") == 0, F.lit(False)), v) for v in values]
-    return F.coalesce(*kept)
+    """First JSON value that is neither missing, null, an empty text, false nor a zero; text of digits is text."""
+    usable = lambda v: v.isNotNull() & (F.schema_of_variant(v) != "VOID") & (F.coalesce(_text(v), F.lit("x")) != "") & (F.coalesce(_number(v), F.lit(1.0)) != 0)
+    return F.coalesce(*[F.when(usable(v), v) for v in values])
 
 
 def is_ranked_keymode(chart: str, keys: int = 4) -> Column:
     field = lambda name: F.col(f"{chart}.{name}")
     mode = first_truthy(field("mode"), field("mode_int"))
     status = first_truthy(field("status"), field("ranked"))
-    ok = mode.isin("mania", "3") & status.isin("ranked", "1") & (truncated_int(field("cs")) == keys)
+    same = lambda value, text, number: F.coalesce(_text(value) == text, _number(value) == number, F.lit(False))
+    ok = same(mode, "mania", 3) & same(status, "ranked", 1) & (truncated_int(field("cs")) == keys)
     return F.coalesce(ok, F.lit(False))
 
 
@@ -49,7 +63,7 @@ def flatten_pages(pages: DataFrame, keys: int = 4) -> DataFrame:
         F.coalesce("s.creator", F.lit("")).alias("mapper"),
         F.coalesce("m.version", F.lit("")).alias("version"),
         (F.coalesce(truncated_int(F.col("m.total_length")), F.lit(0)) * 1000).alias("length_ms"),
-        first_truthy(F.col("m.bpm"), F.col("s.bpm")).try_cast("double").alias("bpm"),
+        F.try_variant_get(first_truthy(F.col("m.bpm"), F.col("s.bpm")), "$", "double").alias("bpm"),
         number("difficulty_rating").alias("difficulty_rating"),
         F.lit(3).alias("mode"),
         number("cs").alias("circle_size"),
