@@ -283,12 +283,17 @@ SPLIT_VIEWS = {
         SELECT *, CASE WHEN 2 * tenth >= size THEN 1 ELSE tenth END AS part
         FROM (SELECT *, greatest(1, CAST(round_even(size * 0.1, 0) AS BIGINT)) AS tenth FROM group_order)""",
     "fold_order": """
-        SELECT split_group, row_number() OVER (ORDER BY rows DESC, md5('42|' || split_group), split_group) - 1 AS place
+        SELECT split_group, rows, row_number() OVER (ORDER BY rows DESC, md5('42|' || split_group), split_group) - 1 AS place
         FROM (SELECT split_group, count(*) AS rows FROM grouped GROUP BY split_group)""",
     "folds": """
-        SELECT beatmap_id, grouped.split_group,
-               CAST(CASE WHEN place % 10 < 5 THEN place % 10 ELSE 9 - place % 10 END + 1 AS BIGINT) AS fold
-        FROM grouped JOIN fold_order USING (split_group)""",
+        WITH RECURSIVE dealt AS (
+            SELECT CAST(-1 AS BIGINT) AS place, [0, 0, 0, 0, 0]::BIGINT[] AS loads, CAST(NULL AS BIGINT) AS fold
+            UNION ALL
+            SELECT place, list_transform([1, 2, 3, 4, 5], lambda i: loads[i] + CASE WHEN i = fold THEN rows ELSE 0 END), fold
+            FROM (SELECT o.place, rows, loads, CAST(list_position(loads, list_min(loads)) AS BIGINT) AS fold
+                  FROM dealt JOIN fold_order o ON o.place = dealt.place + 1))
+        SELECT beatmap_id, grouped.split_group, fold
+        FROM grouped JOIN fold_order USING (split_group) JOIN dealt USING (place)""",
 }
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strainframe.plans.ordered import OrderedRuns
+from strainframe.session import cut_lineage
 
 
 def group_keys(rows: DataFrame, group: str, identity: str = "beatmap_id") -> DataFrame:
@@ -56,27 +57,65 @@ def split_by_row(rows: DataFrame, *, seed: int, identity: str = "beatmap_id") ->
     return placed.withColumn("split", label).drop("_place", "_size", "_order")
 
 
+def dealing_plan(classes: list[tuple[int, int]], folds: int) -> list[tuple[int, int, list[int]]]:
+    """(size, place, order): from a place among the groups of one size on, the folds take turns in this order.
+
+    ``classes`` holds (size, number of groups), largest size first. A group goes to
+    the least loaded fold, the first of equals. Groups of one size fill the lowest
+    folds in turns until these reach the next higher load, then one more fold takes
+    part, so a size needs at most ``folds`` entries however many groups it has.
+    """
+    loads, plan = [0] * folds, []
+    for size, count in classes:
+        place, active = 0, 1
+        while place < count:
+            # The folds below the next load take turns; all of them lie within one size of each other.
+            order = sorted(range(folds), key=lambda fold: (loads[fold], fold))
+            turns, rest = order[:active], count - place
+            if active < folds:
+                limit = (loads[order[active]], order[active])
+                fills = {f: max(0, -(-(limit[0] - loads[f] + (f < limit[1])) // size)) for f in turns}
+                dealt = min(rest, sum(fills.values()))
+            else:
+                dealt = rest
+            if dealt:
+                plan.append((size, place, [fold + 1 for fold in turns]))
+            for at, fold in enumerate(turns):
+                loads[fold] += size * (dealt // active + (at < dealt % active))
+            place += dealt
+            active = min(folds, active + 1)
+    return plan
+
+
 def cross_validation_folds(rows: DataFrame, *, folds: int, seed: int, identity: str = "beatmap_id") -> DataFrame:
     """Adds ``fold`` 1..folds.
 
-    Groups are dealt largest first in a snake (1..k, k..1, ...), which keeps
-    folds balanced without a sequential pass over the groups. With fewer than
+    Groups are dealt largest first, each to the least loaded fold. The loads follow
+    from the number of groups of each size; n rows have at most sqrt(2n) different
+    group sizes, so only these counts are planned on the driver. With fewer than
     three groups, or fewer than folds, the rows are dealt instead.
     """
     if folds < 2:
         raise ValueError("cross-validation needs at least two folds")
     if not has_groups(rows):
         return _row_folds(rows, folds, seed, identity)
-    groups = rows.groupBy("split_group").agg(F.count(F.lit(1)).alias("_rows"))
+    groups = cut_lineage(rows.groupBy("split_group").agg(F.count(F.lit(1)).alias("_rows")))
     if groups.limit(folds).count() < folds:
         return _row_folds(rows, folds, seed, identity)
-    ordered = groups.withColumns(
-        {"_fewer": -F.col("_rows"), "_order": _shuffled(seed, F.col("split_group"))}
-    )
+    ordered = groups.withColumns({"_fewer": -F.col("_rows"), "_order": _shuffled(seed, F.col("split_group"))})
     placed = _placed(ordered, ["_fewer", "_order", "split_group"])
-    turn = F.col("_place") % (2 * folds)
-    fold = F.when(turn < folds, turn).otherwise(2 * folds - 1 - turn) + 1
-    return rows.join(placed.select("split_group", fold.cast("long").alias("fold")), "split_group")
+    classes = sorted(((r["_rows"], r["count"]) for r in groups.groupBy("_rows").count().collect()), reverse=True)
+    starts, before = {}, 0
+    for size, count in classes:
+        starts[size], before = before, before + count
+    plan = [(size, starts[size] + place, order) for size, place, order in dealing_plan(classes, folds)]
+    turns = rows.sparkSession.createDataFrame(plan, "_rows long, _from long, _turns array<long>")
+    # Per size the entries in rising order; the last one that starts at or before a group's place is its own.
+    turns = turns.groupBy("_rows").agg(F.sort_array(F.collect_list(F.struct("_from", "_turns"))).alias("_plan"))
+    own = F.element_at(F.filter("_plan", lambda entry: entry["_from"] <= F.col("_place")), -1)
+    fold = F.get(own["_turns"], ((F.col("_place") - own["_from"]) % F.size(own["_turns"])).cast("int"))
+    dealt = placed.join(turns, "_rows").select("split_group", fold.alias("fold"))
+    return rows.join(dealt, "split_group")
 
 
 def _row_folds(rows: DataFrame, folds: int, seed: int, identity: str) -> DataFrame:

@@ -136,6 +136,28 @@ def test_folds_cover_all_rows_once(spark):
     assert sorted(r["n"] for r in few.groupBy("fold").agg(F.count("*").alias("n")).collect()) == [2, 3, 3]
 
 
+def test_folds_are_dealt_to_the_least_loaded(spark):
+    draw = random.Random(5)
+    for _ in range(200):
+        folds = draw.randint(2, 6)
+        classes = [(size, draw.randint(1, 20)) for size in sorted(draw.sample(range(1, 30), 5), reverse=True)]
+        plan, loads = splits.dealing_plan(classes, folds), [0] * folds
+        for size, count in classes:
+            entries = [(start, turns) for of, start, turns in plan if of == size]
+            assert len(entries) <= folds
+            for place in range(count):
+                start, turns = [entry for entry in entries if entry[0] <= place][-1]
+                fold = turns[(place - start) % len(turns)]
+                assert fold == loads.index(min(loads)) + 1
+                loads[fold - 1] += size
+    # One group with a third of all rows fills a fold alone.
+    names = ["big"] * 20 + [f"g{n % 13}" for n in range(40)]
+    frame = spark.createDataFrame(list(enumerate(names)), "beatmap_id long, grp string")
+    rows = splits.cross_validation_folds(splits.group_keys(frame, "grp"), folds=3, seed=3).collect()
+    sizes = sorted(sum(row["fold"] == fold for row in rows) for fold in (1, 2, 3))
+    assert sizes[0] >= 18 and len(rows) == 60
+
+
 def test_blank_groups_stand_alone(spark):
     frame = spark.createDataFrame([(1, ""), (2, None), (3, "x")], "beatmap_id long, grp string")
     grouped = splits.group_keys(frame, "grp")
