@@ -8,7 +8,7 @@ from strainframe.catalog.metrics_catalog import RANK_VIEWS, SUMMARY, long_predic
 from strainframe.catalog.registry import query, rounded
 from strainframe.catalog.review_catalog import JUDGMENT_VIEWS, judged_pairs
 from strainframe.operators import judgments, metrics, run_analytics
-from strainframe.session import cut_lineage
+from strainframe.session import cut_lineage, scratch_path
 from strainframe.sources import files, landed_json, tables
 
 # --- history ----------------------------------------------------------------
@@ -38,6 +38,24 @@ def q_history_migrate(spark, folder):
     return rounded(both, *HISTORY, digits=9)
 
 
+@query(
+    "q_history_append",
+    "SELECT run, epoch, "
+    + ", ".join(
+        f"round({n}, 9) AS {n}" if n in ("train_loss", "val_loss") else f"round(CASE WHEN epoch > 10 THEN {n} END, 9) AS {n}"
+        for n in HISTORY
+    )
+    + " FROM history",
+)
+def q_history_append(spark, folder):
+    """A history of few columns, then a longer one that overlaps it and is appended twice."""
+    rows, path = cut_lineage(history(spark, folder)), scratch_path(spark)
+    files.append_history(rows.filter("epoch <= 20").select("run", "epoch", "train_loss", "val_loss"), path)
+    for _ in range(2):
+        files.append_history(rows.filter("epoch > 10"), path)
+    return rounded(files.read_history(spark, path).select("run", "epoch", *HISTORY), *HISTORY, digits=9)
+
+
 HEALTH_SQL = """
     SELECT b.run, best_epoch, best_val_loss, final_epoch, final_train_loss, final_val_loss, best_val_mean_mae_epoch, best_val_mean_mae,
            final_val_mean_mae, best_val_pairwise_order_epoch, best_val_pairwise_order, final_val_pairwise_order,
@@ -150,6 +168,46 @@ def _number(prefix="run"):
     return F.regexp_extract(prefix, r"(\d+)", 1).cast("int")
 
 
+# What a run writes about itself, by its number n; the same expressions hold in both engines.
+RUN_VALUES = {
+    "model_name": "CASE {n} % 3 WHEN 0 THEN 'tabular_forest' WHEN 1 THEN 'lstm' ELSE 'summary' END",
+    "seed": "{n}",
+    "feature_set": "CASE WHEN {n} % 2 = 0 THEN 'all' ELSE 'sequence' END",
+    "split_strategy": "CASE WHEN {n} % 4 = 0 THEN 'row' ELSE 'group' END",
+    "group_column": "CASE WHEN {n} % 4 <> 0 THEN 'beatmapset_id' END",
+    "group_count": "{n} * 7 + 3",
+    "device": "CASE WHEN {n} % 2 = 0 THEN 'cpu' ELSE 'cuda' END",
+    "requested_device": "CASE WHEN {n} % 5 = 0 THEN 'auto' WHEN {n} % 2 = 0 THEN 'cpu' ELSE 'cuda' END",
+    "amp_enabled": "{n} % 2 = 1",
+    "effective_batch_size": "8 * ({n} % 4 + 1)",
+    "grad_accum_steps": "{n} % 4 + 1",
+    "grad_clip_norm": "CASE WHEN {n} % 6 <> 0 THEN CAST({n} AS DOUBLE) / 4 END",
+    "loss": "'huber'",
+    "huber_delta": "CAST({n} % 8 AS DOUBLE) / 8",
+    "sample_weight_column": "CASE WHEN {n} % 3 <> 1 THEN 'score_count' ELSE '' END",
+    "sample_weight_train_mean": "CAST({n} AS DOUBLE) / 16",
+    "sample_weight_train_downweighted_rate": "CAST({n} AS DOUBLE) / 40",
+    "checkpoint_metric": "CASE WHEN {n} % 2 = 0 THEN 'val_loss' ELSE 'val_mean_mae' END",
+    "best_checkpoint_score": "CAST({n} AS DOUBLE) / 32",
+    "best_epoch": "{n} * 2 - 1",
+    "epochs_completed": "{n} * 2",
+    "stop_reason": "CASE WHEN {n} % 3 = 0 THEN 'early_stopping' ELSE 'max_epochs' END",
+    "early_stopped": "{n} % 3 = 0",
+    "git_commit": "md5(CAST({n} AS VARCHAR(10)))",
+    "git_branch": "CASE WHEN {n} % 2 = 0 THEN 'main' ELSE 'try \"new\" heads' END",
+    "git_dirty": "{n} % 5 = 0",
+    "git_status_entries": "CASE WHEN {n} % 5 = 0 THEN {n} ELSE 0 END",
+    "best_val_loss": "CAST({n} AS DOUBLE) / 64",
+    "test_loss": "CASE WHEN {n} % 7 <> 0 THEN CAST({n} AS DOUBLE) / 128 END",
+    "cv_folds": "CASE WHEN {n} % 2 = 1 THEN 5 END",
+    "train_size": "{n} * 80",
+    "val_size": "{n} * 10",
+    "test_size": "{n} * 10",
+    "sample_size": "{n} * 100",
+}
+RUN_TEXTS = {name: f"CAST({value.replace('{n}', 'n')} AS VARCHAR)" for name, value in RUN_VALUES.items()}
+
+
 def run_documents(spark, folder):
     """metrics JSON per run and evaluation, built from the report."""
     report = metrics.regression_report(run_predictions(spark, folder), RUN_KEYS, ["baseline", "difficulty_rating_baseline"])
@@ -158,13 +216,7 @@ def run_documents(spark, folder):
     n = _number()
     info = F.struct(
         F.when(n % 4 != 0, F.col("evaluation")).alias("evaluation"),
-        F.when(n % 3 == 0, "tabular_forest").when(n % 3 == 1, "lstm").otherwise("summary").alias("model_name"),
-        n.alias("seed"),
-        F.when(n % 2 == 0, "cpu").otherwise("cuda").alias("device"),
-        F.lit("huber").alias("loss"),
-        (n / F.lit(40.0)).alias("sample_weight_train_downweighted_rate"),
-        (n % 5 == 0).alias("git_dirty"),
-        (n * 2).alias("epochs_completed"),
+        *[F.expr(value.replace("{n}", "cast(regexp_extract(run, '([0-9]+)', 1) as int)")).alias(name) for name, value in RUN_VALUES.items()],
     )
     # Three targets per document.
     entries = F.map_from_entries(F.collect_list(F.struct(F.col("target"), F.to_json(body))))
@@ -255,18 +307,16 @@ METRIC_VIEWS = {
                  || '; check label quality and feature coverage before a longer run.' END) AS calibration_warning FROM calibration_values""",
 }
 
-INFO_SQL = """evaluation, CASE n % 3 WHEN 0 THEN 'tabular_forest' WHEN 1 THEN 'lstm' ELSE 'summary' END AS model_name, CAST(n AS VARCHAR) AS seed,
-              CASE WHEN n % 2 = 0 THEN 'cpu' ELSE 'cuda' END AS device, 'huber' AS loss, CAST(n % 5 = 0 AS VARCHAR) AS git_dirty,
-              CAST(n * 2 AS VARCHAR) AS epochs_completed"""
+INFO_SQL = ", ".join(f"{RUN_TEXTS[name]} AS {name}" for name in landed_json.RUN_COLUMNS)
 
 
 @query(
     "q_run_metrics",
-    f"SELECT run, target, {INFO_SQL}, {_sql(REPORT, 7)} FROM run_metrics",
+    f"SELECT run, target, evaluation, {INFO_SQL}, {_sql(REPORT, 7)} FROM run_metrics",
     extra=METRIC_VIEWS,
 )
 def q_run_metrics(spark, folder):
-    names = ["run", "target", "evaluation", "model_name", "seed", "device", "loss", "git_dirty", "epochs_completed"]
+    names = ["run", "target", "evaluation", *landed_json.RUN_COLUMNS]
     return rounded(run_metrics(spark, folder).select(*names, *REPORT), *REPORT, digits=7)
 
 
@@ -363,17 +413,23 @@ DECISION_NUMBERS = {
     "human_judgment_coverage_rate": "judged_count / row_count::DOUBLE",
     "human_model_agreement_rate": "model_agree_count / judged_count::DOUBLE",
     "human_proxy_agreement_rate": "proxy_agree_count / judged_count::DOUBLE",
+    "human_model_vs_proxy_delta": "model_agree_count / judged_count::DOUBLE - proxy_agree_count / judged_count::DOUBLE",
     "curve_best_val_loss": "best_val_loss",
     "curve_best_val_mean_mae": "best_val_mean_mae",
+    "curve_best_val_pairwise_order": "best_val_pairwise_order",
+    "curve_final_val_mean_mae": "final_val_mean_mae",
     "curve_final_val_pairwise_order": "final_val_pairwise_order",
     "avg_epoch_seconds": "average_epoch_seconds",
+    "peak_cuda_memory_mb": "peak_cuda_memory_mb",
     "mean_mae": "mean_mae",
     "mean_pairwise_order_accuracy": "mean_pairwise_order_accuracy",
     "calibration_mean_abs_bias": "calibration_mean_abs_bias",
+    "calibration_worst_bias": "calibration_worst_bias",
     "calibration_worst_p90_abs_error": "calibration_worst_p90_abs_error",
+    "calibration_mean_pred_std_ratio": "calibration_mean_pred_std_ratio",
 }
 DECISION_TEXTS = {
-    "model_name": "CASE n % 3 WHEN 0 THEN 'tabular_forest' WHEN 1 THEN 'lstm' ELSE 'summary' END",
+    **{name: RUN_TEXTS[name] for name in run_analytics.RUN_FIELDS},
     "human_judged_pairs": "CAST(judged_count AS VARCHAR) || ' / ' || CAST(row_count AS VARCHAR)",
     "curve_best_epoch": "best_epoch",
     "curve_overfit_signal": "overfit_signal",
@@ -385,7 +441,7 @@ DECISION_TEXTS = {
     "calibration_warning": "calibration_warning",
     "training_adjustment": "training_adjustment",
     "next_action": "next_action",
-    "epochs_completed": "CAST(n * 2 AS VARCHAR)",
+    "calibration_worst_p90_target": "calibration_worst_p90_target",
 }
 
 
@@ -399,5 +455,4 @@ DECISION_TEXTS = {
     extra=DECISION_VIEWS,
 )
 def q_run_decision(spark, folder):
-    rows = decisions(spark, folder).select("run", "evaluation", *DECISION_TEXTS, *DECISION_NUMBERS)
-    return rounded(rows, *DECISION_NUMBERS, digits=7)
+    return rounded(decisions(spark, folder), *DECISION_NUMBERS, digits=7)

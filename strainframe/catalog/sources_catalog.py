@@ -8,8 +8,8 @@ from strainframe.catalog.metrics_catalog import chart_labels, stored_labels
 from strainframe.catalog.registry import query, rounded
 from strainframe.operators import audit, sequences
 from strainframe.plans.ordered import OrderedRuns
-from strainframe.session import cut_lineage
-from strainframe.sources import chart_text, landed_json, tables
+from strainframe.session import cut_lineage, scratch_path
+from strainframe.sources import chart_text, files, landed_json, tables
 
 
 def chart_texts(spark, folder):
@@ -73,12 +73,7 @@ TEXT_VIEWS = {
         SELECT beatmap_id, mode::DOUBLE AS mode, keys::DOUBLE AS circle_size, keys::DOUBLE AS keys, hp_drain_rate,
                overall_difficulty + CASE WHEN beatmap_id % 8 = 0 THEN 0.5::DOUBLE ELSE 0 END AS overall_difficulty, approach_rate
         FROM maps""",
-}
-
-
-@query(
-    "q_chart_lines",
-    """SELECT beatmap_id, section, line, row_number() OVER (PARTITION BY beatmap_id ORDER BY place, i) - 1 AS line_no FROM (
+    "text_lines": """
          SELECT beatmap_id, 0 AS place, 0 AS i, '' AS section, 'osu file format v14' AS line FROM maps
          UNION ALL SELECT beatmap_id, 1, 0, '', 'Mode: 9' FROM maps
          UNION ALL SELECT beatmap_id, 2, 0, 'General', 'Mode: 1' FROM maps
@@ -92,7 +87,13 @@ TEXT_VIEWS = {
          UNION ALL SELECT beatmap_id, 9, i, 'HitObjects', concat_ws(',', x || CASE WHEN i % 3 = 0 THEN '.9' ELSE '' END, '192', CAST(time_ms AS BIGINT),
                    CASE WHEN i % 7 = 3 THEN 'bad' WHEN i % 5 = 0 THEN '128' ELSE '1' END, CASE WHEN i % 11 <> 4 THEN '0' END,
                    CASE WHEN i % 11 = 4 THEN NULL WHEN i % 13 = 0 THEN 'x:0' ELSE CAST(time_ms + 40 * (i % 9) - 80 AS BIGINT) || ':0:0:0:0:' END) FROM objects
-         UNION ALL SELECT beatmap_id, 10, 0, 'Colours', '1,2,3,1,0' FROM maps)""",
+         UNION ALL SELECT beatmap_id, 10, 0, 'Colours', '1,2,3,1,0' FROM maps""",
+}
+
+
+@query(
+    "q_chart_lines",
+    "SELECT beatmap_id, section, line, row_number() OVER (PARTITION BY beatmap_id ORDER BY place, i) - 1 AS line_no FROM text_lines",
     extra=TEXT_VIEWS,
 )
 def q_chart_lines(spark, folder):
@@ -102,6 +103,26 @@ def q_chart_lines(spark, folder):
     return runs.rows().select("beatmap_id", "section", "line", "line_no")
 
 
+@query(
+    "q_chart_files",
+    """SELECT beatmap_id, section, line, row_number() OVER (PARTITION BY beatmap_id ORDER BY place, i) - 1 AS line_no FROM (
+         SELECT beatmap_id, place, i, section, line FROM text_lines
+         UNION ALL SELECT beatmap_id, 11, 0, 'Metadata', 'Title:' || title || chr(65533) || '(' || chr(65533) || 'x' FROM maps)""",
+    extra=TEXT_VIEWS,
+)
+def q_chart_files(spark, folder):
+    """Every kept line of every chart, read from a file a chart with broken bytes in its title."""
+    texts = chart_texts(spark, folder).join(tables.maps(spark, folder).select("beatmap_id", "title"), "beatmap_id")
+    # A lone high byte, then a three-byte character cut short.
+    broken = [F.unhex(F.lit(code)) for code in ("FF", "28E282", "78")]
+    content = F.concat(F.concat("text", F.lit("\n[Metadata]\nTitle:"), "title").cast("binary"), *broken)
+    path = scratch_path(spark)
+    chart_text.write_charts(texts.select("beatmap_id", content.alias("content")), path)
+    lines = chart_text.chart_lines(chart_text.read_charts(spark, path))
+    runs = OrderedRuns.build(lines, ["beatmap_id"], ["line_order"]).indexed("line_no")
+    return runs.rows().select("beatmap_id", "section", "line", "line_no")
+
+
 @query(
     "q_parse_hitobjects",
     "SELECT beatmap_id, time_ms, col, is_ln, ln_length_ms FROM kept_objects",
@@ -426,3 +447,52 @@ def q_quality_warnings(spark, folder):
         max_notes=70,
     )
     return audit.quality_warnings(summary)
+
+
+LABEL_CELLS = {
+    "beatmap_id": "CAST(beatmap_id AS VARCHAR)",
+    "title": """title || CASE WHEN beatmap_id % 5 = 0 THEN ', "live"' ELSE '' END""",
+    "mean_acc": "CAST(CAST(round(mean_acc, 9) AS DECIMAL(12, 9)) AS VARCHAR)",
+    "score_count": "CASE WHEN beatmap_id % 31 = 0 THEN 'n/a' WHEN beatmap_id % 7 <> 0 THEN CAST(score_count AS VARCHAR) END",
+}
+
+
+@query(
+    "q_label_csv",
+    f"""SELECT CASE WHEN beatmap_id % 31 <> 0 THEN beatmap_id END AS beatmap_id, CASE WHEN beatmap_id % 31 <> 0 THEN cell_title END AS title,
+               CASE WHEN beatmap_id % 31 <> 0 THEN CAST(cell_mean AS DOUBLE) END AS mean_acc,
+               CASE WHEN beatmap_id % 31 <> 0 THEN CAST(cell_count AS BIGINT) END AS score_count,
+               CASE WHEN beatmap_id % 31 <> 0 THEN difficulty_rating END AS difficulty_rating,
+               CASE WHEN beatmap_id % 31 = 0 THEN cell_id || ',' || CASE WHEN beatmap_id % 5 = 0 THEN '"' || replace(cell_title, '"', '""') || '"' ELSE cell_title END
+                    || ',' || cell_mean || ',' || cell_count END AS rejected
+        FROM (SELECT beatmap_id, difficulty_rating, {LABEL_CELLS['beatmap_id']} AS cell_id, {LABEL_CELLS['title']} AS cell_title,
+                     {LABEL_CELLS['mean_acc']} AS cell_mean, {LABEL_CELLS['score_count']} AS cell_count FROM chart_labels)""",
+)
+def q_label_csv(spark, folder):
+    """Labels written as CSV with unusable cells, read typed and joined with the maps; rejected lines beside them."""
+    key = F.col("beatmap_id")
+    cells = stored_labels(spark, folder).select(
+        key.cast("string").alias("beatmap_id"),
+        F.concat("title", F.when(key % 5 == 0, ', "live"').otherwise("")).alias("title"),
+        F.round("mean_acc", 9).cast("decimal(12,9)").cast("string").alias("mean_acc"),
+        F.when(key % 31 == 0, "n/a").when(key % 7 != 0, F.col("score_count").cast("string")).alias("score_count"),
+    )
+    path = scratch_path(spark)
+    files.write_csv(cells, path)
+    labels, rejected = files.read_labels(spark, path, "beatmap_id long, title string, mean_acc double, score_count long")
+    known = labels.join(tables.maps(spark, folder).select("beatmap_id", "difficulty_rating"), "beatmap_id")
+    return known.unionByName(rejected.withColumnRenamed("line", "rejected"), allowMissingColumns=True)
+
+
+@query(
+    "q_stored_sequences",
+    """SELECT beatmap_id, notes, last_time_ms, longest_gap_ms, title FROM (
+           SELECT beatmap_id, count(*) AS notes, max(time_ms) AS last_time_ms, max(time_ms - prev_time_ms) AS longest_gap_ms
+           FROM notes GROUP BY beatmap_id) JOIN maps USING (beatmap_id)""",
+)
+def q_stored_sequences(spark, folder):
+    """Charts with stored sequences: their size, end and longest gap. Both tables lie in buckets by chart."""
+    return sequences.stored_overview(
+        files.bucketed(sequences.sequence_rows(tables.raw_notes(spark, folder)), ["note_index"]),
+        files.bucketed(tables.maps(spark, folder).select("beatmap_id", "title"), []),
+    )

@@ -69,6 +69,25 @@ def truncated(notes: DataFrame, max_notes: int) -> DataFrame:
     return notes.filter(F.col("note_index") < max_notes)
 
 
+def sequence_rows(raw: DataFrame) -> DataFrame:
+    """Notes with their place in the chart, as they are stored."""
+    return sorted_notes(raw).rows().select(*CHART, "note_index", "time_ms", "col", "is_ln", "ln_length_ms")
+
+
+def stored_overview(stored: DataFrame, charts: DataFrame) -> DataFrame:
+    """Charts with a stored sequence: ``notes``, ``last_time_ms``, ``longest_gap_ms`` and the chart's own columns.
+
+    On tables in buckets by chart, window, group and join take the rows as they lie.
+    """
+    notes = OrderedRuns.build(stored, CHART, ["note_index"]).lagged({"prev_time_ms": ("time_ms", 1)}).rows()
+    sizes = notes.groupBy(*CHART).agg(
+        F.count(F.lit(1)).alias("notes"),
+        F.max("time_ms").alias("last_time_ms"),
+        F.max(F.col("time_ms") - F.col("prev_time_ms")).alias("longest_gap_ms"),
+    )
+    return sizes.join(charts, CHART)
+
+
 def adjacency_patterns(raw: DataFrame, keys: int = 4) -> DataFrame:
     """Repeats, jumps and trills between neighbouring notes, per chart."""
     notes = with_neighbours(sorted_notes(raw), depth=2).rows()

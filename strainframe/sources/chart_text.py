@@ -25,13 +25,25 @@ METADATA_FIELDS = {
 }
 
 
+# A chart file is <id>.<ext> or lies in a folder beatmap_id=<id>.
+FILE_ID = r"(?:/beatmap_id=(\d+)/|/(\d+)[^/]*$)"
+
+
 def read_charts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file named <beatmap_id>.<ext>; bad bytes are replaced by the decoder."""
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    files = spark.read.text(path, wholetext=True)
-    return files.select(
-        F.regexp_extract(name, r"^(\d+)", 1).try_cast("long").alias("beatmap_id"), F.col("value").alias("text")
-    )
+    """(beatmap_id, text) a file; bytes that are no UTF-8 become replacement characters, a byte order mark goes.
+
+    A file is one row and at most 2 GB; empty files give no row. Files without an id in their name have a NULL id.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    found = F.coalesce(*[F.regexp_extract("path", FILE_ID, n).try_cast("long") for n in (1, 2)])
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\ufeff", "")
+    return files.select(found.alias("beatmap_id"), text.alias("text"))
+
+
+def write_charts(charts: DataFrame, path: str) -> None:
+    """(beatmap_id, content binary or text) as a file a chart, in a folder of its own."""
+    rows = charts.select("beatmap_id", F.col("content").cast("string").alias("content"))
+    rows.write.mode("overwrite").partitionBy("beatmap_id").text(path)
 
 
 def stripped(text: Column) -> Column:

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strainframe.operators import audit, curves, embeddings, judgments, models, pairgen, ranker, run_analytics, stages, sweeps
-from strainframe.sources import files, landed_json
+from strainframe.operators import audit, curves, embeddings, judgments, models, pairgen, ranker, run_analytics, sequences, stages, sweeps
+from strainframe.sources import chart_text, files, landed_json
 
 RAW = "beatmap_id long, source_order long, time_ms long, col int, is_ln int, ln_length_ms long"
 LABELS = "beatmap_id long, title string, artist string, version string, length_ms long, keys int, overall_difficulty double"
@@ -218,3 +218,49 @@ def test_sequence_store_round_trip(spark, tmp_path):
     assert kept.count() == 5
     files.write_csv(notes.limit(3), str(tmp_path / "c"))
     assert files.read_csv(spark, str(tmp_path / "c")).count() == 3
+
+
+def test_bucketed_sequences_need_no_exchange(spark):
+    notes = spark.createDataFrame([(c, i, i * i * 10) for c in range(30) for i in range(40 if c else 900)], "beatmap_id long, note_index long, time_ms long")
+    charts = spark.createDataFrame([(c, f"t{c}") for c in range(1, 40)], "beatmap_id long, title string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        frame = sequences.stored_overview(files.bucketed(notes, ["note_index"], 4), files.bucketed(charts, [], 4))
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("Bucketed: true") == 2
+        rows = {r["beatmap_id"]: r for r in frame.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(rows) == list(range(1, 30))
+    assert all((r["notes"], r["last_time_ms"], r["longest_gap_ms"]) == (40, 15210, 770) for r in rows.values())
+
+
+def test_history_append_leaves_each_epoch_once(spark, tmp_path):
+    path = str(tmp_path / "history")
+    first = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.4), ("b", 1, 0.9), ("", 1, 0.7), (None, 2, 0.1)], "run string, epoch long, val_loss double")
+    files.append_history(first, path)
+    files.append_history(first.filter("run = 'b'").drop("val_loss").withColumn("lr", F.lit(0.01)), path)
+    for _ in range(2):
+        files.append_history(spark.createDataFrame([("a", 2, 0.3, "x"), ("a", 3, 0.2, "y")], "run string, epoch long, val_loss double, other string"), path)
+    files.append_history(first.limit(0), path)
+    rows = sorted((r["run"] or "-", r["epoch"], r["val_loss"], r["lr"]) for r in files.read_history(spark, path).collect())
+    assert rows == [("-", 1, 0.7, None), ("-", 2, 0.1, None), ("a", 1, 0.5, None), ("a", 2, 0.3, None), ("a", 3, 0.2, None), ("b", 1, None, 0.01)]
+
+
+def test_label_csv_rejects_lines_whole(spark, tmp_path):
+    (tmp_path / "l.csv").write_text('beatmap_id,title,mean_acc\n1,"a, ""b""",0.5\n2,,\nx,c,0.5\n3,d\n4,e,high\n')
+    labels, rejected = files.read_labels(spark, str(tmp_path / "l.csv"), "beatmap_id long, title string, mean_acc double")
+    assert sorted(map(tuple, labels.collect())) == [(1, 'a, "b"', 0.5), (2, None, None)]
+    assert sorted(r["line"] for r in rejected.collect()) == ["3,d", "4,e,high", "x,c,0.5"]
+
+
+def test_chart_files_with_broken_bytes(spark, tmp_path):
+    (tmp_path / "12.osu").write_bytes(b"\xef\xbb\xbf[General]\nMode: 3 \xff\xe2\x82!\n")
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "7.osu").write_bytes(b"")
+    (tmp_path / "none.osu").write_bytes(b"x")
+    rows = {r["beatmap_id"]: r["text"] for r in chart_text.read_charts(spark, str(tmp_path)).collect()}
+    assert rows == {12: "[General]\nMode: 3 \ufffd\ufffd!\n", None: "x"}
+    text = b"\xef\xbb\xbf[General]\nMode: 3 \xff\xe2\x82!\n".decode("utf-8-sig", errors="replace")
+    assert rows[12] == text
