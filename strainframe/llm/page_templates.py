@@ -1,14 +1,15 @@
 """Main text of web pages by equivalence classes of tokens over the pages of a host.
 
 A token is an element, named by its path of tags, classes and ids, or a block of
-text at such a path. Tokens of a host whose occurrence vectors over its pages
+text at such a path. The outermost elements of a page are its layout; pages of one
+host and layout share a template. Tokens whose occurrence vectors over those pages
 are equal form a class: one sum of hashed (page, count) pairs stands for the
 vector, so classes come from plain aggregations that combine before the shuffle.
 Classes that nearly every page has, with a fixed count, are valid; they nest by
-the paths of their elements and make up the host's template. What the template
+the paths of their elements and make up the template. What the template
 leaves open are its slots. The main slot is the template element that holds the
 article; its blocks are the page's text, without blocks whose elements have
-another purpose and, where no article is marked, without template texts. Hosts with few pages have no
+another purpose and without template texts. Layouts with few pages have no
 template; their pages are cut by their own elements in the same way.
 """
 
@@ -24,11 +25,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strainframe.llm.common import byte_slices
+from strainframe.llm.common import byte_slices, free_name, with_fields
 from strainframe.session import cut_lineage
 
-#: Pages that a host needs for a template, and the share of its pages that a valid class is found on.
+#: Pages that a layout needs for a template, and the share of its pages that a valid class is found on.
 LEAST_PAGES = 4
+#: Pages that a template text inside a marked article needs: few articles may share a heading by chance.
+LEAST_ARTICLES = 10
+#: Elements down to this depth (0: the page, 2: its body) make up a layout.
+LAYOUT_DEPTH = 3
 SUPPORT = 0.9
 #: Template texts inside the main slot are dropped if they are at most this share of it (else the pages are copies).
 TEMPLATE_SHARE = 0.3
@@ -50,7 +55,12 @@ OTHER_WORDS = frozenset([
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion",
     "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "comment", "comments", "respond", "disqus",
     "share", "sharing", "social", "related", "newsletter", "subscribe", "subscription", "login", "signup",
-    "pagination", "pager", "copyright", "breadcrumb", "breadcrumbs",
+    "pagination", "pager", "copyright", "breadcrumb", "breadcrumbs", "responses", "replies",
+])
+#: Whole names of an article's own container; beside them only whole names speak for another purpose.
+ARTICLE_NAMES = frozenset([
+    "article", "article-body", "articlebody", "content", "main", "main-content", "post", "post-content", "entry", "entry-content",
+    "story", "story-body",
 ])
 #: Names that a layout around an article may also have.
 LAYOUT_WORDS = frozenset([
@@ -80,25 +90,37 @@ P_WALLS = frozenset([
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+#: A name with its value; values are passed over whole, so that no name is read out of them or out of a longer name.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_READ = frozenset(["class", "id", "role", "itemprop", "hidden"])
 _NAME_WORD = re.compile(r"[a-z]+")
 
 
+#: What a template belongs to.
+TEMPLATE = ["host", "layout"]
+
+
 class Element:
-    __slots__ = ("chars", "depth", "inside", "landmark", "other", "parent", "soft", "tag", "token")
+    __slots__ = ("article", "chars", "depth", "inside", "landmark", "other", "parent", "soft", "tag", "token")
 
     def __init__(self, tag: str, parent: Element | None, names: dict[str, str]):
         self.tag, self.parent, self.chars = tag, parent, 0
-        named = " ".join(sorted(re.sub(r"\d+", "", f"{names.get('class', '')} {names.get('id', '')}").lower().split()))
+        whole = tag in ("html", "body")
+        tokens = re.sub(r"\d+", "", f"{names.get('class', '')} {names.get('id', '')}").lower().split()
+        # The names of the whole page tell about this page, not about its place in the layout.
+        named = "" if whole else " ".join(sorted(tokens))
         self.token = xxhash.xxh64_intdigest(f"{parent.token if parent else 0} {tag} {named}") >> 1
         self.depth = parent.depth + 1 if parent else 0
         words, role = set(_NAME_WORD.findall(named)), names.get("role", "").lower()
         main = tag in ("article", "main") or role in ("main", "article") or names.get("itemprop", "").lower() == "articlebody"
         self.landmark = (2 if tag == "article" or main and tag != "main" and role != "main" else 1) if main else 0
-        #: Whether it is a landmark or inside one.
+        #: Whether it is a landmark or inside one, and the same for articles.
         self.inside = bool(self.landmark or parent and parent.inside)
-        whole = tag in ("html", "body")
-        own = tag in OTHER_TAGS or role in OTHER_ROLES or not whole and bool(words & OTHER_WORDS)
+        self.article = bool(self.landmark == 2 or parent and parent.article)
+        # The article itself may be named after its subject: only whole names count on it.
+        subject = (main or not ARTICLE_NAMES.isdisjoint(tokens)) and not (parent and parent.article)
+        foreign = not OTHER_WORDS.isdisjoint(tokens if subject else words)
+        own = tag in OTHER_TAGS or role in OTHER_ROLES or "hidden" in names or not whole and foreign
         soft = not whole and not main and bool(words & LAYOUT_WORDS) or tag == "header"
         if parent and parent.inside and (tag == "header" or words & LAYOUT_WORDS == {"header"}):
             soft = False  # the head of the article itself
@@ -143,8 +165,9 @@ class Page:
             if tag in VOID_TAGS:
                 continue
             names = {}
-            for key, *values in _ATTRIBUTE.findall(rest):
-                names.setdefault(key.lower(), next((x for x in values if x), ""))
+            for key, *values in _ATTRIBUTE.findall(rest) if rest else ():
+                if key.lower() in _READ:
+                    names.setdefault(key.lower(), next((x for x in values if x), ""))
             inline = tag in INLINE_TAGS
             element = Element(tag, stack[-1], names)
             if inline and not element.apart:
@@ -206,6 +229,11 @@ class Page:
                     element = element.parent
                 self.blocks.append((element, text))
 
+    def layout(self) -> int:
+        """The outermost elements that may hold text of the article, whatever their number and order."""
+        outer = {x.token for x in self.elements if x.depth <= LAYOUT_DEPTH and not x.apart and x.tag not in RAW_TAGS}
+        return xxhash.xxh64_intdigest(",".join(map(str, sorted(outer)))) >> 1
+
     def text_token(self, element: Element, text: str) -> int:
         return xxhash.xxh64_intdigest(f"{element.token} {text}") >> 1
 
@@ -240,15 +268,15 @@ def host_of(url: Column) -> Column:
 
 
 def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["host", "page", "token", "parent", "is_text", "n", "chars", "rank", "depth"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+    names = ["host", "layout", "page", "token", "parent", "is_text", "n", "chars", "rank", "depth"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
     for batch in batches:
         for first, sources in byte_slices(batch, 1, 1 << 20):
             hosts = batch.column(0).slice(first, len(sources)).to_pylist()
             rows = []
             for host, source in zip(hosts, sources, strict=True):
                 page = Page((source or b"").decode())
-                key = xxhash.xxh64_intdigest(source or b"") >> 1
+                layout, key = page.layout(), xxhash.xxh64_intdigest(source or b"") >> 1
                 found: dict[int, list] = {}
                 for x in page.elements:
                     if x.parent is None or x.chars and not x.apart:
@@ -256,29 +284,30 @@ def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                         row[2] += 1
                         row[3] += x.chars
                 for x, text in page.blocks:
-                    row = found.setdefault(page.text_token(x, text), [x.token, True, 0, 0, 0, x.depth + 1])
+                    row = found.setdefault(page.text_token(x, text), [x.token, True, 0, 0, int(x.article), x.depth + 1])
                     row[2] += 1
                     row[3] += len(text)
-                rows += [(host, key, token, *row) for token, row in found.items()]
+                rows += [(host, layout, key, token, *row) for token, row in found.items()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def page_tokens(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
     picked = pages.select(host_of(F.col(url_column)).alias("host"), F.col(html_column).cast("string").alias("html"))
-    schema = "host string, page long, token long, parent long, is_text boolean, n int, chars long, rank int, depth int"
+    schema = "host string, layout long, page long, token long, parent long, is_text boolean, n int, chars long, rank int, depth int"
     return picked.mapInArrow(_token_batches, schema)
 
 
 def equivalence_classes(tokens: DataFrame) -> DataFrame:
-    """(host, token, parent, is_text, chars, rank, depth, pages, each, class): tokens of valid classes.
+    """(host, layout, token, parent, is_text, chars, rank, depth, pages, each, class): tokens of valid classes.
 
     ``class`` is the hash of the occurrence vector, equal for the tokens of a class;
     ``each`` is the fixed count on a page. The class around it is that of ``parent``.
+    ``rank`` tells landmarks among elements, and texts inside articles.
     """
     mark = F.xxhash64("page", "n")
     low, high = mark.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(mark, 32)
-    vectors = tokens.groupBy("host", "token").agg(
+    vectors = tokens.groupBy(*TEMPLATE, "token").agg(
         F.count("*").alias("pages"),
         F.sum("n").alias("total"),
         F.max("n").alias("each"),
@@ -291,30 +320,39 @@ def equivalence_classes(tokens: DataFrame) -> DataFrame:
         F.max("rank").alias("rank"),
         F.max("depth").alias("depth"),
     )
-    frequent = vectors.filter((F.col("pages") >= LEAST_PAGES) & (F.col("each") == F.col("least")))
+    frequent = cut_lineage(vectors.filter((F.col("pages") >= LEAST_PAGES) & (F.col("each") == F.col("least"))))
     # Every page has its outermost element, at depth 0.
-    counts = tokens.filter("depth = 0").groupBy("host").agg(F.count("*").alias("of"))
-    valid = frequent.join(counts, "host").filter(F.col("pages") >= SUPPORT * F.col("of"))
+    counts = frequent.filter("depth = 0").select(*TEMPLATE, F.col("pages").alias("of"))
+    valid = frequent.join(counts, TEMPLATE).filter(F.col("pages") >= SUPPORT * F.col("of"))
     return valid.withColumn("class", F.xxhash64("pages", "total", "low", "high"))
 
 
 def templates(classes: DataFrame) -> DataFrame:
-    """(host, mains, texts): containers of the main slot in order of preference, and template texts to leave out.
+    """(host, layout, mains, texts): containers of the main slot in order of preference, and template texts to leave out.
 
-    A template holds at most a page's tokens a few times over, so a host's row is
-    bounded. Inside a marked article all texts are the article's, however often they recur.
+    A template holds at most a page's tokens a few times over, so a layout's row is
+    bounded. Texts stay where they make up much of the main slot: the pages are copies then.
     """
     # A text is part of the template only together with an element of its class.
-    with_elements = classes.filter("not is_text").select("host", "class").distinct()
-    texts = classes.filter("is_text").join(with_elements, ["host", "class"], "left_semi")
+    with_elements = classes.filter("not is_text").select(*TEMPLATE, "class").distinct()
+    texts = classes.filter(F.col("is_text") & ((F.col("rank") == 0) | (F.col("pages") >= LEAST_ARTICLES)))
+    texts = texts.join(with_elements, [*TEMPLATE, "class"], "left_semi")
     bodies = classes.filter("not is_text and each = 1")
-    wide = bodies.groupBy("host").agg(F.max("chars").alias("most"))
-    eligible = bodies.join(wide, "host").filter((F.col("rank") > 0) | (F.col("chars") >= MAIN_SHARE * F.col("most")))
+    wide = bodies.groupBy(*TEMPLATE).agg(F.max("chars").alias("most"))
+    eligible = bodies.join(wide, TEMPLATE).filter((F.col("rank") > 0) | (F.col("chars") >= MAIN_SHARE * F.col("most")))
     order = F.struct((-F.col("rank")).alias("a"), F.when(F.col("rank") > 0, -F.col("chars")).otherwise(0).alias("b"), (-F.col("depth")).alias("c"), "token")
-    mains = eligible.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["token"]).alias("mains"), F.max("most").alias("most"), F.max("rank").alias("marked"))
-    left_out = texts.groupBy("host").agg(F.collect_list("token").alias("texts"), F.sum("chars").alias("fixed"))
-    met = mains.join(left_out, "host", "left")
-    return met.select("host", "mains", F.when((F.col("marked") == 0) & (F.col("fixed") <= TEMPLATE_SHARE * F.col("most")), F.col("texts")).alias("texts"))
+    mains = eligible.groupBy(*TEMPLATE).agg(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["token"]).alias("mains"), F.max("most").alias("most"))
+    left_out = texts.groupBy(*TEMPLATE).agg(F.collect_list("token").alias("texts"), F.sum("chars").alias("fixed"))
+    met = mains.join(left_out, TEMPLATE, "left")
+    return met.select(*TEMPLATE, "mains", F.when(F.col("fixed") <= TEMPLATE_SHARE * F.col("most"), F.col("texts")).alias("texts"))
+
+
+def _layout_batches(batches: Iterator[pa.RecordBatch], source: int, name: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, sources in byte_slices(batch, source, 4 << 20):
+            part = batch.slice(first, len(sources))
+            found = [Page((plain or b"").decode()).layout() for plain in sources]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.int64())], names=[*part.schema.names, name])
 
 
 def _text_batches(batches: Iterator[pa.RecordBatch], columns: list[int]) -> Iterator[pa.RecordBatch]:
@@ -344,10 +382,14 @@ def main_text(pages: DataFrame, url_column: str = "url", html_column: str = "htm
     pages = pages.drop(*[name for name in pages.columns if name.lower() == "main_text"])
     found = cut_lineage(templates(cut_lineage(equivalence_classes(page_tokens(pages, url_column, html_column)))))
     size = found.agg(F.coalesce(F.sum(F.size("mains") + F.coalesce(F.size("texts"), F.lit(0))), F.lit(0))).first()[0]
-    found = found.select(F.col("host").alias("host of"), F.col("mains").alias("main tokens"), F.col("texts").alias("fixed texts"))
+    layout, host, own, mains, texts = (free_name(pages, name) for name in ("layout", "template_host", "template_layout", "main_tokens", "fixed_texts"))
+    found = found.select(F.col("host").alias(host), F.col("layout").alias(own), F.col("mains").alias(mains), F.col("texts").alias(texts))
     side = F.broadcast(found) if size <= broadcast_rows else found
-    met = pages.join(side, host_of(F.col(url_column)) == F.col("host of"), "left").drop("host of")
-    columns = [met.columns.index(name) for name in (html_column, "main tokens", "fixed texts")]
+    laid = pages.withColumn(html_column, F.col(html_column).cast("string"))
+    step = partial(_layout_batches, source=laid.columns.index(html_column), name=layout)
+    laid = laid.mapInArrow(step, with_fields(laid, f"{layout} long"))
+    met = laid.join(side, (host_of(F.col(url_column)) == F.col(host)) & (F.col(layout) == F.col(own)), "left").drop(layout, host, own)
+    columns = [met.columns.index(name) for name in (html_column, mains, texts)]
     kept = [field for n, field in enumerate(met.schema.fields) if n not in columns]
     schema = StructType(kept).add("main_text", "string")
     return met.mapInArrow(partial(_text_batches, columns=columns), schema)

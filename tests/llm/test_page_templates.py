@@ -11,7 +11,7 @@ TEXT = "Title {n} First & bold {n} line Unclosed {n} <tag> one {n} two"
 
 
 def texts(spark, rows, **options):
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("main_text", F.lit("old"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"main_text": F.lit("old"), "Layout": F.lit(1), "host": F.lit("x"), "main_tokens": F.lit("y")})
     return {r["page_id"]: r["main_text"] for r in page_templates.main_text(pages, **options).collect()}
 
 
@@ -39,6 +39,35 @@ def test_classes_hold_equal_vectors(spark):
     assert sum(r["parent"] in known for r in elements) == 5  # all but the outermost nest in another
 
 
+def test_layouts_of_a_host_have_templates_of_their_own(spark):
+    news = '<body class="page-{w}"><div id="top">Welcome all readers</div><div id="content"><p>{body}</p><p>end {n}</p></div><div class="low">Imprint and legal</div></body>'
+    wiki = '<body><table id="frame"><tr><td>Random page</td></tr></table><div class="text"><p>{body}</p></div><div class="last">Edit this</div></body>'
+    words = ["red", "blue", "green", "grey", "pink", "teal", "gold"]
+    body = lambda n: " ".join(f"{words[(n + k) % 7]} story {n}" for k in range(30))
+    rows = [(n, f"http://two.org/{n}", (news if n % 2 else wiki).format(n=n, w=words[n % 7], body=body(n))) for n in range(40)]
+    assert texts(spark, rows) == {n: body(n) + (f" end {n}" if n % 2 else "") for n in range(40)}
+
+
+def test_notices_repeated_inside_articles(spark):
+    page = '<body><article class="post c{w}"><p>{body}</p><p>Join our mailing list today.</p><p>end {n}</p></article></body>'
+    body = lambda n: " ".join(f"line {n} {k}" for k in range(40))
+    for pages, notice in ((12, ""), (6, " Join our mailing list today.")):  # few articles may share a line by chance
+        rows = [(n, f"http://m.org/{n}", page.format(n=n, w=n, body=body(n))) for n in range(pages)]
+        assert texts(spark, rows) == {n: f"{body(n)}{notice} end {n}" for n in range(pages)}
+
+
+def test_names_of_other_attributes_and_subjects(spark):
+    kept = [
+        '<div data-id="menu"><p>Real story</p></div>', '<div data-class="ad" class="story">Real story</div>', '<div title=" class=ad">Real story</div>',
+        '<article class="post tag-advertising">Real story</article>', '<article class="comment-is-free">Real story</article>',
+        '<div id="content" class="share-price-story">Real story</div>',
+    ]
+    gone = ['<p hidden>no</p>', '<div class="responses">no</div>', '<article class="comment-body">no</article>', '<div id=share-buttons>no</div>']
+    rows = [(n, f"http://h{n}.org", f"<body>{x}</body>") for n, x in enumerate(kept)]
+    rows += [(10 + n, f"http://g{n}.org", f"<body><article><p>Real story</p>{x}</article></body>") for n, x in enumerate(gone)]
+    assert set(texts(spark, rows).values()) == {"Real story"}
+
+
 def test_copies_keep_their_texts(spark):
     rows = [(n, f"http://copy.org/{n}", PAGE.format(n=1)) for n in range(6)]
     assert texts(spark, rows) == {n: TEXT.format(n=1) for n in range(6)}
