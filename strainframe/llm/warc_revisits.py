@@ -4,8 +4,8 @@ A revisit (status 304, no payload) belongs to the latest earlier full response o
 its canonical URL. The as-of join runs on keys and validators alone: time is cut
 into blocks of about equal size, so even one URL with a third of all captures is
 spread over many groups; the last response of every (URL, block) is carried into
-the later blocks. Payloads are fetched by record id at the end, once the pairs are
-known.
+the later blocks. Payloads are fetched at the end, once the pairs are known. Rows are
+told apart by a hash of all their columns, so record ids may be null or repeated.
 """
 
 from __future__ import annotations
@@ -108,23 +108,34 @@ def latest_responses(records: DataFrame, blocks: int) -> DataFrame:
     return seen.join(carries, ["key", "block"]).select("revisit", F.coalesce("seen", "carry").alias("response"))
 
 
+def row_hash(*columns: Column) -> Column:
+    """128 bits over the columns as hex digits."""
+    return F.concat(F.hex(F.xxhash64(*columns)), F.lit(" "), F.hex(F.xxhash64(F.lit("second"), *columns)))
+
+
 def resolve_revisits(records: DataFrame, blocks: int | None = None) -> DataFrame:
     """One row a revisit: record_id, url, ts, response_id, outcome, status, headers, payload.
 
-    ``records`` has the columns of RECORDS; record ids are unique, other columns are
-    ignored. Status 304 is a revisit, 200 a full response, all other records are
-    passed over. Outcomes: ``resolved`` (validators agree), ``unverified`` (none in
-    common; merged as well), ``mismatch`` and ``no_response`` (status, headers and
-    payload null). A null URL or time matches nothing; null headers count as none.
+    ``records`` has the columns of RECORDS; other columns are ignored. Status 304 is a
+    revisit, 200 a full response, all other records are passed over. Outcomes:
+    ``resolved`` (validators agree), ``unverified`` (none in common; merged as well),
+    ``mismatch`` and ``no_response`` (status, headers and payload null). A null URL or
+    time matches nothing; null headers count as none. Repeated revisits give a row
+    each, repeated responses count as one, and a response with a null record id
+    resolves its revisits like any other.
     """
-    known = records.select("record_id", "url", "ts", "status", lower_names(F.coalesce("headers", F.from_json(F.lit("{}"), "map<string,string>"))).alias("headers"), "payload")
-    timed = records.filter(F.col("status").isin(200, 304) & F.col("url").isNotNull() & F.col("ts").isNotNull())
-    light = timed.select(canonical_url(F.col("url")).alias("key"), "ts", "record_id", (F.col("status") == 200).alias("full"))
+    headers = lower_names(F.coalesce("headers", F.from_json(F.lit("{}"), "map<string,string>")))
+    known = records.filter(F.col("status").isin(200, 304)).select("record_id", "url", "ts", "status", headers.alias("headers"), "payload")
+    known = known.withColumn("row", row_hash(F.col("record_id"), F.col("url"), F.col("ts"), F.col("status"), F.array_sort(F.map_entries("headers")), F.col("payload")))
+    timed = known.filter(F.col("url").isNotNull() & F.col("ts").isNotNull())
+    light = timed.select(canonical_url(F.col("url")).alias("key"), "ts", F.struct("record_id", "row").alias("record_id"), (F.col("status") == 200).alias("full"))
     pairs = latest_responses(light, blocks or scan_width(records))
-    revisits = known.filter("status = 304").select("record_id", "url", "ts", F.col("headers").alias("asked"))
-    revisits = revisits.join(pairs.withColumnRenamed("revisit", "record_id"), "record_id", "left")
-    stored = known.filter("status = 200").select(F.col("record_id").alias("response"), F.col("status").alias("stored status"), F.col("headers").alias("stored"), "payload")
-    met = revisits.join(stored, "response", "left")
+    # Equal revisits have the same response before them.
+    pairs = pairs.select(F.col("revisit.row").alias("row"), F.col("response.row").alias("response"), F.col("response.record_id").alias("response_id"))
+    revisits = known.filter("status = 304").select("record_id", "url", "ts", F.col("headers").alias("asked"), "row")
+    revisits = revisits.join(pairs.dropDuplicates(["row"]), "row", "left")
+    stored = known.filter("status = 200").select(F.col("row").alias("response"), F.col("headers").alias("stored"), "payload")
+    met = revisits.join(stored.dropDuplicates(["response"]), "response", "left")
     outcome = F.when(F.col("response").isNull(), "no_response").otherwise(verdict(F.col("asked"), F.col("stored")))
     met = met.withColumn("outcome", outcome)
     good = F.col("outcome").isin("resolved", "unverified")
@@ -132,9 +143,9 @@ def resolve_revisits(records: DataFrame, blocks: int | None = None) -> DataFrame
         "record_id",
         "url",
         "ts",
-        F.col("response").alias("response_id"),
+        "response_id",
         "outcome",
-        F.when(good, F.col("stored status")).alias("status"),
+        F.when(good, F.lit(200)).alias("status"),
         F.when(good, merged_headers(F.col("stored"), F.col("asked"))).alias("headers"),
         F.when(good, F.col("payload")).alias("payload"),
     )

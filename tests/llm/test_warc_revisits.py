@@ -50,6 +50,20 @@ def test_outcomes_and_headers(spark):
     assert warc.resolve_revisits(frame.limit(0)).count() == 0
 
 
+def test_repeated_rows_and_null_ids(spark):
+    response, revisit = record(1, "http://a.org", 10, 200, "p", ETag="1"), record(2, "http://a.org", 20, 304, None, ETag="1")
+    unnamed = [record(None, "http://b.org", 10, 200, "q"), record(None, "http://b.org", 20, 304), record(None, "http://b.org", 30, 304)]
+    twice = [record(5, "http://c.org", 10, 200, "old"), record(5, "http://c.org", 15, 200, "new"), record(6, "http://c.org", 12, 304), record(6, "http://c.org", 16, 304)]
+    frame = spark.createDataFrame([response, revisit] * 2 + unnamed + twice, warc.RECORDS)
+    for blocks in (1, 5):
+        found = sorted((r["url"], r["ts"], r["response_id"] or 0, r["outcome"], r["status"], r["payload"]) for r in warc.resolve_revisits(frame, blocks).collect())
+        assert found == [
+            ("http://a.org", 20, 1, "resolved", 200, "p"), ("http://a.org", 20, 1, "resolved", 200, "p"),
+            ("http://b.org", 20, 0, "unverified", 200, "q"), ("http://b.org", 30, 0, "unverified", 200, "q"),
+            ("http://c.org", 12, 5, "unverified", 200, "old"), ("http://c.org", 16, 5, "unverified", 200, "new"),
+        ]
+
+
 @pytest.mark.parametrize("blocks", [1, 7])
 def test_as_of_equals_brute_force(spark, blocks):
     dice = random.Random(6)
