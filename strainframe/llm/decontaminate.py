@@ -5,8 +5,9 @@ words of an item (all of a shorter one) is a window. A document position can onl
 start a window if all its words occur in the benchmark, which leaves few
 candidates; those are looked up in the hash set and compared word by word.
 
-The set is broadcast in blocks of a fixed size, each scanned against all rows in
-turn, so a benchmark of any size works and none is cut.
+The set is broadcast in blocks of a fixed size, so a benchmark of any size works and
+none is cut. With several blocks one is alive at a time: its hits are written by
+text before the next is gathered, and at the end all hits of a text are merged.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from strainframe.llm.common import byte_slices, with_fields
-from strainframe.session import cut_lineage
+from strainframe.llm.common import byte_slices, free_name, with_fields
+from strainframe.session import cut_lineage, scratch_path
 
 WINDOW_WORDS = 13
 #: A document is contaminated if at least one in so many of its words is hit.
@@ -98,23 +100,71 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
     return flat
 
 
-def _mark_batches(batches: Iterator[pa.RecordBatch], block: WindowSet, text: int, marked: bool) -> Iterator[pa.RecordBatch]:
+def _marked(part: pa.RecordBatch, columns: list, sizes: list, spans: list, items: list) -> pa.RecordBatch:
+    added = [pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays([*columns, *added], names=[*part.schema.names[: len(columns)], *HIT_COLUMNS])
+
+
+def _mark_batches(batches: Iterator[pa.RecordBatch], block: WindowSet, text: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, texts in byte_slices(batch, text):
-            part = batch.slice(first, len(texts))
-            columns = part.columns[:-3] if marked else part.columns
-            before = [column.to_pylist() for column in part.columns[-2:]] if marked else [[None] * len(texts)] * 2
             sizes, spans, items = [], [], []
-            for text_, old_spans, old_items in zip(texts, *before, strict=True):
+            for text_ in texts:
                 words = words_of(text_)
                 new, found = block.hits(words)
-                pairs = list(zip(old_spans[::2], old_spans[1::2], strict=True)) if old_spans else []
                 sizes.append(len(words))
-                spans.append(merged(pairs + new))
-                items.append(sorted((found - {None}) | set(old_items or ())))
-            added = [pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            names = batch.schema.names[: len(columns)]
-            yield pa.RecordBatch.from_arrays([*columns, *added], names=[*names, *HIT_COLUMNS])
+                spans.append(merged(new))
+                items.append(sorted(found - {None}))
+            part = batch.slice(first, len(texts))
+            yield _marked(part, part.columns, sizes, spans, items)
+
+
+def _hit_batches(batches: Iterator[pa.RecordBatch], block: WindowSet) -> Iterator[pa.RecordBatch]:
+    """(key, spans, items) of the texts that the block hits."""
+    for batch in batches:
+        for first, texts in byte_slices(batch, 1):
+            at, spans, items = [], [], []
+            for place, text in enumerate(texts):
+                new, found = block.hits(words_of(text))
+                if new:
+                    at.append(first + place)
+                    spans.append(merged(new))
+                    items.append(sorted(found - {None}))
+            keys = batch.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [keys, pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["key", "spans", "items"]
+            )
+
+
+def _merge_batches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The spans and items of all blocks, the last two columns, made one."""
+    for batch in batches:
+        for first, texts in byte_slices(batch, text):
+            part = batch.slice(first, len(texts))
+            sizes, spans, items = [], [], []
+            for text_, flat, found in zip(texts, *[column.to_pylist() for column in part.columns[-2:]], strict=True):
+                sizes.append(len(words_of(text_)))
+                spans.append(merged(list(zip(flat[::2], flat[1::2], strict=True))) if flat else [])
+                items.append(sorted(set(found or ())))
+            yield _marked(part, part.columns[:-2], sizes, spans, items)
+
+
+def _mark_by_blocks(docs: DataFrame, windows: DataFrame, blocks: int, place: int, schema: StructType) -> DataFrame:
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession)
+    text = F.col(docs.columns[place])
+    key = F.concat(F.hex(F.xxhash64(text)), F.lit(" "), F.hex(F.xxhash64(F.lit("second"), text)))
+    keyed = docs.select(key.alias("key"), text.cast("string").alias("text"))
+    layout = "key string, spans array<int>, items array<string>"
+    for number in range(blocks):
+        block = WindowSet(windows.filter(F.pmod(F.xxhash64("item", "window"), F.lit(blocks)) == number).collect())
+        keyed.mapInArrow(partial(_hit_batches, block=block), layout).write.mode("append").parquet(path)
+    # Equal texts have equal hits; a text has at most one row a block then.
+    hits = spark.read.schema(layout).parquet(path).distinct()
+    hits = hits.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    own, spans, items = (free_name(docs, name) for name in ("hit_key", "spans", "items"))
+    hits = hits.select(F.col("key").alias(own), F.col("spans").alias(spans), F.col("items").alias(items))
+    met = docs.join(hits, key == F.col(own), "left").select(*[F.col(f"`{name}`") for name in (*docs.columns, spans, items)])
+    return met.mapInArrow(partial(_merge_batches, text=place), schema)
 
 
 def mark_hits(
@@ -138,12 +188,9 @@ def mark_hits(
     blocks = max(1, math.ceil(total[0] / block_rows), math.ceil(total[1] / BLOCK_BYTES))
     schema = with_fields(docs, "hit_words long, hit_spans array<int>, hit_items array<string>")
     place = docs.columns.index(text_column)
-    marked = docs
-    for number in range(blocks):
-        rows = windows.filter(F.pmod(F.xxhash64("item", "window"), F.lit(blocks)) == number).collect()
-        step = partial(_mark_batches, block=WindowSet(rows), text=place, marked=number > 0)
-        marked = marked.mapInArrow(step, schema)
-    return marked
+    if blocks > 1:
+        return _mark_by_blocks(docs, windows, blocks, place, schema)
+    return docs.mapInArrow(partial(_mark_batches, block=WindowSet(windows.collect()), text=place), schema)
 
 
 def hit_count() -> Column:

@@ -38,12 +38,14 @@ def sample(seed):
 def test_hits_equal_brute_force(spark):
     items, docs = sample(1)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("hit_spans", F.lit("mine")).withColumn("extra", F.lit(1))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("hit_spans", F.lit("mine")).withColumns({"extra": F.lit(1), "key": F.lit(2), "Spans": F.lit(3)})
     for block_rows in (10, decontaminate.BLOCK_ROWS):
         marked = decontaminate.mark_hits(frame, benchmark, size=5, block_rows=block_rows).withColumn("n", decontaminate.hit_count())
         found = sorted((repr(r["doc_id"]), r["hit_words"], r["n"], r["hit_items"]) for r in marked.collect())
         assert found == sorted((repr(doc), *brute_force(text, items, 5)) for doc, text in docs)
-        assert marked.columns.count("hit_spans") == 1 and "extra" in marked.columns
+        assert marked.columns.count("hit_spans") == 1 and {"extra", "key", "Spans"} <= set(marked.columns)
+        # Each block is gone before the next: the plan holds one step however many blocks there are.
+        assert marked._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
 
 
 def test_documents_and_spans_go(spark):
