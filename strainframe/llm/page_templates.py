@@ -94,6 +94,7 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _READ = frozenset(["class", "id", "role", "itemprop", "hidden"])
 _NAME_WORD = re.compile(r"[a-z]+")
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in sorted(RAW_TAGS)}
 
 
 #: What a template belongs to.
@@ -106,12 +107,12 @@ class Element:
     def __init__(self, tag: str, parent: Element | None, names: dict[str, str]):
         self.tag, self.parent, self.chars = tag, parent, 0
         whole = tag in ("html", "body")
-        tokens = re.sub(r"\d+", "", f"{names.get('class', '')} {names.get('id', '')}").lower().split()
+        tokens = re.sub(r"\d+", "", f"{names.get('class', '')} {names.get('id', '')}").lower().split() if names else []
         # The names of the whole page tell about this page, not about its place in the layout.
         named = "" if whole else " ".join(sorted(tokens))
         self.token = xxhash.xxh64_intdigest(f"{parent.token if parent else 0} {tag} {named}") >> 1
         self.depth = parent.depth + 1 if parent else 0
-        words, role = set(_NAME_WORD.findall(named)), names.get("role", "").lower()
+        words, role = set(_NAME_WORD.findall(named)) if named else set(), names.get("role", "").lower()
         main = tag in ("article", "main") or role in ("main", "article") or names.get("itemprop", "").lower() == "articlebody"
         self.landmark = (2 if tag == "article" or main and tag != "main" and role != "main" else 1) if main else 0
         #: Whether it is a landmark or inside one, and the same for articles.
@@ -133,10 +134,20 @@ class Element:
         return self.other or self.soft
 
 
+class Deep:
+    """An element below the layout, of which only the place on the stack counts."""
+
+    __slots__ = ("depth", "tag")
+
+    def __init__(self, tag: str, depth: int):
+        self.tag, self.depth = tag, depth
+
+
 class Page:
-    """Elements and text blocks of a page, read leniently as browsers do."""
+    """Elements and text blocks of a page, read leniently as browsers do; an ``outline`` has the elements of its layout only."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, outline: bool = False):
+        self._outline = outline
         self.elements: list[Element] = []
         self.blocks: list[tuple[Element, str]] = []
         self._run: list[str] = []
@@ -164,6 +175,9 @@ class Page:
             self._end_implied(stack, tag)
             if tag in VOID_TAGS:
                 continue
+            if outline and stack[-1].depth >= LAYOUT_DEPTH:
+                at = self._enter(stack, Deep(tag, stack[-1].depth + 1), source, at, rest)
+                continue
             names = {}
             for key, *values in _ATTRIBUTE.findall(rest) if rest else ():
                 if key.lower() in _READ:
@@ -176,18 +190,23 @@ class Page:
                 self._flush(stack[-1])
             if not inline:
                 self.elements.append(element)
-            if tag in RAW_TAGS:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
-                at = end.end() if end else size
-                continue
-            if not rest.rstrip().endswith("/") or tag not in ("path", "use"):
-                stack.append(element)
+            at = self._enter(stack, element, source, at, rest)
         self._flush(stack[-1])
         for element, text in self.blocks:
             while element is not None:
                 element.chars += len(text)
                 element = element.parent
 
+    def _enter(self, stack: list, element: Element | Deep, source: str, at: int, rest: str) -> int:
+        """Put the element on the stack, or pass over the raw text that it holds; the place to read on from."""
+        tag = element.tag
+        if tag in RAW_TAGS:
+            end = _RAW_ENDS[tag].search(source, at)
+            return end.end() if end else len(source)
+        if not rest.rstrip().endswith("/") or tag not in ("path", "use"):
+            stack.append(element)
+        return at
+
     def _open(self, tag, parent, names) -> Element:
         element = Element(tag, parent, names)
         self.elements.append(element)
@@ -211,13 +230,13 @@ class Page:
                     break
 
     def _text(self, element: Element, text: str) -> None:
-        if text:
+        if text and not self._outline:
             self._run.append(html.unescape(text) if "&" in text else text)
             if element.apart and element.tag in INLINE_TAGS:
                 self._flush(element)
 
     def _flush_inline(self, element: Element) -> None:
-        if element.apart and element.tag in INLINE_TAGS:
+        if not self._outline and element.apart and element.tag in INLINE_TAGS:
             self._flush(element)
 
     def _flush(self, element: Element) -> None:
@@ -351,7 +370,7 @@ def _layout_batches(batches: Iterator[pa.RecordBatch], source: int, name: str) -
     for batch in batches:
         for first, sources in byte_slices(batch, source, 4 << 20):
             part = batch.slice(first, len(sources))
-            found = [Page((plain or b"").decode()).layout() for plain in sources]
+            found = [Page((plain or b"").decode(), outline=True).layout() for plain in sources]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.int64())], names=[*part.schema.names, name])
 
 

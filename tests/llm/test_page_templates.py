@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from strainframe.llm import page_templates
@@ -48,6 +50,14 @@ def test_layouts_of_a_host_have_templates_of_their_own(spark):
     assert texts(spark, rows) == {n: body(n) + (f" end {n}" if n % 2 else "") for n in range(40)}
 
 
+def test_outlines_have_the_layout_of_the_page():
+    dice = random.Random(3)
+    parts = ["<div class=a>", "</div>", "<p>", "</p>", "text", "<b>", "</b>", "<nav>", "</nav>", "<article id=x>", "</article>", "<script>a</script>", "<br>", "<li>", "<ul>", "</ul>", "<body>", "<svg><path/></svg>", "<h1 hidden>"]
+    for _ in range(500):
+        source = "".join(dice.choice(parts) for _ in range(dice.randint(0, 40)))
+        assert page_templates.Page(source, outline=True).layout() == page_templates.Page(source).layout()
+
+
 def test_notices_repeated_inside_articles(spark):
     page = '<body><article class="post c{w}"><p>{body}</p><p>Join our mailing list today.</p><p>end {n}</p></article></body>'
     body = lambda n: " ".join(f"line {n} {k}" for k in range(40))
