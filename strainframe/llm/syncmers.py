@@ -3,9 +3,14 @@
 A run of K bytes is a closed syncmer if the smallest (by hash) of its inner runs
 of S bytes is the first or the last of them. Whether it is one depends on its own
 bytes alone, so a passage has the same anchors in every text that holds it, at
-shifted places. The anchors' hashes are dealt to BINS bins by their upper bits and
-each bin keeps its smallest; two fingerprints are as alike as the share of bins
-on which they agree, which estimates the share of common anchors.
+shifted places.
+
+Two texts are compared by position: equal anchors are matched in the order of
+their places, a match counts if the match before or after it is shifted by as many
+bytes, and the likeness is the share of such matches in all anchors of both. A
+fingerprint's digest is a sketch: the anchors' hashes are dealt to BINS bins by
+their upper bits and each bin keeps its smallest; the share of bins on which two
+digests agree estimates the share of common anchors without the texts.
 """
 
 from __future__ import annotations
@@ -77,6 +82,50 @@ def hexadecimal(bins: np.ndarray) -> str:
     return bins.astype(">u2").tobytes().hex()
 
 
+def occurrences(hashes: np.ndarray) -> np.ndarray:
+    """How many equal hashes come before each one."""
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(ranked) else np.empty(0, np.int64)
+    out = np.empty(len(hashes), np.int64)
+    out[order] = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.append(starts, len(hashes))))
+    return out
+
+
+def matches(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places in both texts of equal anchors, by the place in the first; the n-th of equal ones meets the n-th."""
+
+    def keys(hashes):
+        mixed = (hashes ^ occurrences(hashes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        return mixed ^ (mixed >> np.uint64(31))
+
+    _, left, right = np.intersect1d(keys(a[1]), keys(b[1]), return_indices=True)
+    order = np.argsort(left)
+    return a[0][left[order]], b[0][right[order]]
+
+
+def aligned(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which matches share their shift with the one before or after them."""
+    same = np.diff(a - b) == 0
+    out = np.zeros(len(a), bool)
+    out[1:] |= same
+    out[:-1] |= same
+    return out
+
+
+def positional_likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], same: bool) -> float:
+    """Matches at consistent shifts as a share of all anchors of two texts, given as (places, hashes); ``same`` texts are alike.
+
+    Where a text has just one anchor, its match has no neighbour and counts alone.
+    """
+    if same:
+        return 1.0
+    left, right = matches(a, b)
+    found = len(left) if min(len(a[0]), len(b[0])) == 1 else int(aligned(left, right).sum())
+    every = len(a[0]) + len(b[0]) - found
+    return found / every if every else 0.0
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Share of the bins used by either on which both agree; two empty fingerprints are alike."""
     used = int(((a != EMPTY) | (b != EMPTY)).sum())
@@ -123,21 +172,23 @@ class _Read:
 
     def __init__(self, id_, text: bytes):
         self.id, self.text, self.chars = id_, text, text.decode()
-        self.places, self.hashes = syncmers(text)
-        self.bins = sketch(self.hashes, text)
+        self.anchors = syncmers(text)
+        self.bins = sketch(self.anchors[1], text)
 
 
-def edited(doc: _Read, follower: _Read) -> tuple[bytes, np.ndarray]:
-    """The text with its last third replaced by the beginning of the next one, and its fingerprint.
+def edited(doc: _Read, follower: _Read) -> tuple[bytes, tuple[np.ndarray, np.ndarray]]:
+    """The text with its last third replaced by the beginning of the next one, and its anchors.
 
     Anchors in front of the cut are kept; only the new end is read.
     """
     count = len(doc.chars) // 3
     head = doc.chars[: len(doc.chars) - count].encode()
     text = head + follower.chars[:count].encode()
-    rest = text[max(0, len(head) - K + 1) :]
-    hashes = np.concatenate((doc.hashes[doc.places + K <= len(head)], syncmers(rest)[1]))
-    return text, sketch(hashes, text)
+    at = max(0, len(head) - K + 1)
+    places, hashes = doc.anchors
+    kept = places + K <= len(head)
+    new_places, new_hashes = syncmers(text[at:])
+    return text, (np.concatenate((places[kept], new_places + at)), np.concatenate((hashes[kept], new_hashes)))
 
 
 RESULT = "doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -157,10 +208,11 @@ def _pair_batches(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Itera
                     continue  # further rows with the id of the guard
                 read = _Read(id_, text or b"")
                 if held is not None:
-                    new, bins = edited(held, read)
+                    new, new_anchors = edited(held, read)
                     rows.append((
-                        held.id, len(held.chars), hashlib.sha256(new).hexdigest(), hexadecimal(held.bins), hexadecimal(bins),
-                        likeness(held.bins, bins), likeness(held.bins, read.bins),
+                        held.id, len(held.chars), hashlib.sha256(new).hexdigest(), hexadecimal(held.bins), hexadecimal(sketch(new_anchors[1], new)),
+                        positional_likeness(held.anchors, new_anchors, held.text == new),
+                        positional_likeness(held.anchors, read.anchors, held.text == read.text),
                     ))
                 held = None if guard else read
         columns = list(zip(*rows, strict=True)) if rows else [()] * 7
@@ -170,7 +222,7 @@ def _pair_batches(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Itera
 
 
 def compare_with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Every document's fingerprint against its edited text's and the next document's, by descending id.
+    """Every document's anchors against its edited text's and the next document's, by descending id.
 
     After the last document comes the first. A null text counts as empty, null ids
     come last, rows that repeat an id follow each other by text; one row alone is its

@@ -49,6 +49,56 @@ def test_likeness_estimates_the_common_share():
     assert syncmers.likeness(empty, empty) == 1 and syncmers.likeness(empty, short) == 0 and syncmers.likeness(short, short) == 1
 
 
+def anchored(text: bytes) -> list[int]:
+    return closed(text) if len(text) < 5000 else syncmers.syncmers(text)[0].tolist()
+
+
+def plain_likeness(a: str, b: str) -> float:
+    """Anchors matched and aligned one by one."""
+    a, b = a.encode(), b.encode()
+    if a == b:
+        return 1.0
+    x, y = anchored(a), anchored(b)
+    met, seen, found = [], {}, {}
+    for p in y:
+        found.setdefault(b[p : p + syncmers.K], []).append(p)
+    for at in x:
+        run = a[at : at + syncmers.K]
+        seen[run] = seen.get(run, 0) + 1
+        there = found.get(run, [])
+        if len(there) >= seen[run]:
+            met.append(at - there[seen[run] - 1])
+    good = sum(met[n] in (met[n - 1] if n else None, met[n + 1] if n + 1 < len(met) else None) for n in range(len(met)))
+    if min(len(x), len(y)) == 1:
+        good = len(met)
+    every = len(x) + len(y) - good
+    return good / every if every else 0.0
+
+
+def test_positional_likeness_equals_brute_force():
+    dice = random.Random(9)
+    words = ["".join(dice.choices("abcdefg", k=dice.randint(2, 9))) for _ in range(40)]
+    for n in range(60):
+        a = " ".join(dice.choices(words, k=dice.randint(0, 60)))
+        pieces = [a[dice.randint(0, len(a)) :] for _ in range(2)] + [" ".join(dice.choices(words, k=dice.randint(0, 30)))]
+        dice.shuffle(pieces)
+        b = a if n % 10 == 0 else "".join(pieces)
+        found = syncmers.positional_likeness(syncmers.syncmers(a.encode()), syncmers.syncmers(b.encode()), a == b)
+        assert abs(found - plain_likeness(a, b)) < 1e-12
+
+
+def test_matches_need_a_common_shift():
+    dice = random.Random(10)
+    passages = ["".join(dice.choices("abcdefghijkl ", k=60)) for _ in range(2000)]
+    a, b = "".join(passages), "".join(["".join(dice.choices("mnopqr ", k=70))] + passages[:30]).encode()
+    a = a.encode()
+    inside = syncmers.positional_likeness(syncmers.syncmers(a), syncmers.syncmers(b), False)
+    assert 0.01 < inside < 0.03  # a small part of a long text is seen, at its shift
+    runs = sorted({a[p : p + syncmers.K] for p in syncmers.syncmers(a)[0].tolist()[:400]}, key=lambda run: run[::-1])
+    scattered = b"".join(run + bytes([48 + n % 10]) * (n % 23 + 5) for n, run in enumerate(runs))
+    assert syncmers.positional_likeness(syncmers.syncmers(a), syncmers.syncmers(scattered), False) < 0.003  # common runs out of order
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_pairs_equal_brute_force(spark, awkward, parts):
     rows = [(r["doc_id"], r["text"] or "") for r in awkward.collect()]
@@ -59,9 +109,10 @@ def test_pairs_equal_brute_force(spark, awkward, parts):
         following = rows[(n + 1) % len(rows)][1]
         count = len(text) // 3
         new = text[: len(text) - count] + following[:count]
-        a, b, c = (syncmers.fingerprint(t.encode()) for t in (text, new, following))
+        a, b = (syncmers.fingerprint(t.encode()) for t in (text, new))
         sha = hashlib.sha256(new.encode()).hexdigest()
-        expected.append((doc, len(text), sha, syncmers.hexadecimal(a), syncmers.hexadecimal(b), syncmers.likeness(a, b), syncmers.likeness(a, c)))
+        near = plain_likeness(text, new), plain_likeness(text, following)
+        expected.append((doc, len(text), sha, syncmers.hexadecimal(a), syncmers.hexadecimal(b), *near))
     assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, expected))
 
 
