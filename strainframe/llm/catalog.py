@@ -213,7 +213,7 @@ def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH turns AS (
-    SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations),
+    SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM conversations WHERE conv_id IS NOT NULL),
 answers AS (SELECT conv_id, max(n) AS at, max_by(text, n) AS text FROM turns WHERE role = 'assistant' GROUP BY conv_id),
 other AS (
     SELECT t.conv_id, t.n, t.role, CASE WHEN t.n = a.at THEN b.text ELSE t.text END AS text
@@ -237,6 +237,12 @@ SELECT conv_id, CAST(count(*) FILTER (shared AND side = 'c') AS INTEGER) AS prom
        coalesce(string_agg(body, '' ORDER BY n) FILTER (NOT shared AND trained AND side = 'c'), '') AS chosen_trained,
        coalesce(string_agg(body, '' ORDER BY n) FILTER (NOT shared AND trained AND side = 'r'), '') AS rejected_trained
 FROM pieces GROUP BY conv_id
+UNION ALL
+SELECT conv_id, CASE WHEN role = 'assistant' THEN 0 ELSE 1 END,
+       CASE WHEN role = 'assistant' THEN '' ELSE '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) END,
+       CASE WHEN role = 'assistant' THEN '<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) ELSE '' END, '',
+       CASE WHEN role = 'assistant' THEN coalesce(text, '') || '<|im_end|>' || chr(10) ELSE '' END, ''
+FROM conversations WHERE conv_id IS NULL
 """
 
 

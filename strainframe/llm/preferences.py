@@ -96,9 +96,16 @@ def with_swapped_answer(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
 
     Neighbours are the conversations 2k and 2k + 1, gathered together. Without a
     neighbour that answers, the rejected side ends before the last answer; a
-    conversation without an answer has equal sides.
+    conversation without an answer has equal sides. A turn without a conversation id
+    is a conversation of its own and needs no shuffle, however many there are.
     """
-    keyed = turns.select(F.col(conv).alias("conv"), "turn", "role", "text").withColumn("couple", F.shiftright("conv", 1))
+    alone = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    kind = turns.schema[conv].dataType
+    lost = turns.filter(F.col(conv).isNull()).select(F.lit(None).cast(kind).alias(conv), F.array(alone).alias("chosen"))
+    silent = F.slice("chosen", 1, F.when(F.col("chosen")[0]["role"].eqNullSafe(TRAINED_ROLE), 0).otherwise(1))
+    lost = lost.withColumn("rejected", silent)
+    keyed = turns.filter(F.col(conv).isNotNull()).select(F.col(conv).alias("conv"), "turn", "role", "text")
+    keyed = keyed.withColumn("couple", F.shiftright("conv", 1))
     both = gathered(keyed, ["couple"], conv=F.col("conv"))
     convs = F.array_distinct(F.transform("turns", lambda t: t["conv"]))
     each = both.select(F.explode(convs).alias("conv"), "turns")
@@ -116,4 +123,5 @@ def with_swapped_answer(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
         ),
     )
     rejected = F.when(F.col("at") == 0, F.col("own")).when(F.col("answer").isNull(), F.slice("own", 1, (last - 1).cast("int"))).otherwise(swapped)
-    return each.select(F.col("conv").alias(conv), F.col("own").alias("chosen"), rejected.alias("rejected"))
+    plain = lambda side: F.transform(side, lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), t["text"].alias("text")))
+    return each.select(F.col("conv").alias(conv), plain("own").alias("chosen"), plain(rejected).alias("rejected")).unionByName(lost)

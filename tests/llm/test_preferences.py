@@ -50,3 +50,12 @@ def test_long_conversation(spark):
     turns = spark.range(5000).select(F.lit(0).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text"))
     row = preferences.format_preferences(preferences.with_swapped_answer(turns)).first()
     assert row["prompt_turns"] == 4999 and len(row["chosen_completion"]) == 2 and row["rejected_completion"] == []
+
+
+def test_turns_without_conversation_stay_apart(spark):
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", "a"), (None, 1, "assistant", "a"), (None, None, None, None), (0, 0, "user", "q"), (0, 1, "assistant", "b")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = preferences.format_preferences(preferences.with_swapped_answer(turns)).collect()
+    assert len(found) == 5
+    alone = sorted((r["prompt"], len(r["chosen_completion"]), len(r["rejected_completion"])) for r in found if r["conv_id"] is None)
+    assert alone == [("", 2, 0), ("", 2, 0), (f"<|im_start|>\n{E}", 0, 0), (f"{U}q{E}", 0, 0)]
