@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strainframe.catalog.forest_views import forest_views, rows_view
@@ -129,6 +132,14 @@ GRID_SQL = """
          (SELECT unnest([1, 2, 4]) AS leaf) l, (SELECT unnest(['sqrt', '0.5']) AS feat) m"""
 
 
+def fold_sizes(charts):
+    """(fold, val_size, train_size) of grouped charts."""
+    rows = charts.select("beatmap_id", "split_group")
+    sizes = splits.cross_validation_folds(rows, folds=FOLDS, seed=42).groupBy("fold").agg(F.count(F.lit(1)).alias("val_size"))
+    total = sizes.agg(F.sum("val_size").alias("total"))
+    return sizes.crossJoin(F.broadcast(total)).withColumn("train_size", F.col("total") - F.col("val_size")).drop("total")
+
+
 @query(
     "q_param_grid",
     """SELECT candidate_id, feature_set, CAST(forest_trees AS BIGINT) AS forest_trees, CAST(forest_min_samples_leaf AS BIGINT) AS forest_min_samples_leaf,
@@ -141,11 +152,56 @@ def q_param_grid(spark, folder):
     grid = sweeps.forest_grid(
         spark, trees=[100, 200], min_samples_leaf=[1, 2, 4], max_features=["sqrt", 0.5], feature_sets=["core", "burst"]
     )
-    rows = grouped_charts(spark, folder).select("beatmap_id", "split_group")
-    sizes = splits.cross_validation_folds(rows, folds=5, seed=42).groupBy("fold").agg(F.count(F.lit(1)).alias("val_size"))
-    total = sizes.agg(F.sum("val_size").alias("total"))
-    sizes = sizes.crossJoin(F.broadcast(total)).withColumn("train_size", F.col("total") - F.col("val_size")).drop("total")
-    return sizes.crossJoin(F.broadcast(grid))  # folds x candidates, both a handful
+    return fold_sizes(grouped_charts(spark, folder)).crossJoin(F.broadcast(grid))  # folds x candidates, both a handful
+
+
+SHARED_OPTIONS = {"lr": [0.001, 0.0003], "weight_decay": [0.0001, 0.00001], "batch_size": [32], "huber_delta": [1.0, 0.5]}
+NEURAL_OPTIONS = {
+    "summary": {"summary_hidden_dim": [96, 128, 192], "summary_dropout": [0.1, 0.2, 0.35]},
+    "lstm": {
+        "lstm_embed_dim": [32, 64], "lstm_hidden_dim": [64, 128], "lstm_layers": [1, 2], "lstm_dropout": [0.1, 0.2], "lstm_head_dropout": [0.2, 0.3],
+    },
+    "transformer": {
+        "transformer_embed_dim": [32, 64], "transformer_heads": [4], "transformer_layers": [1, 2], "transformer_ff_dim": [128, 256],
+        "transformer_dropout": [0.1], "transformer_head_dropout": [0.2],
+    },
+}
+
+NEURAL_GRID_SQL = """
+    WITH shared AS (
+        SELECT lr, weight_decay, 32::BIGINT AS batch_size, huber_delta,
+               '_lr' || CASE lr WHEN 0.001 THEN '0p001' ELSE '0p0003' END || '_wd' || CASE weight_decay WHEN 0.0001 THEN '0p0001' ELSE '1em05' END || '_bs32_hd'
+               || CASE huber_delta WHEN 1 THEN '1p0' ELSE '0p5' END AS suffix
+        FROM (SELECT unnest([0.001, 0.0003]::DOUBLE[]) AS lr), (SELECT unnest([0.0001, 0.00001]::DOUBLE[]) AS weight_decay), (SELECT unnest([1.0, 0.5]::DOUBLE[]) AS huber_delta)),
+    own AS (
+        SELECT 'summary' AS model, 'summary_h' || h || '_do' || d AS prefix, h + h // 2 AS score
+        FROM (SELECT unnest([96, 128, 192]) AS h), (SELECT unnest(['0p1', '0p2', '0p35']) AS d)
+        UNION ALL
+        SELECT 'lstm', 'lstm_e' || e || '_h' || h || '_l' || l || '_do' || d || '_head' || o, e * h * l
+        FROM (SELECT unnest([32, 64]) AS e), (SELECT unnest([64, 128]) AS h), (SELECT unnest([1, 2]) AS l), (SELECT unnest(['0p1', '0p2']) AS d), (SELECT unnest(['0p2', '0p3']) AS o)
+        UNION ALL
+        SELECT 'transformer', 'transformer_e' || e || '_h4_l' || l || '_ff' || f || '_do0p1_head0p2', (e + f) * l
+        FROM (SELECT unnest([32, 64]) AS e), (SELECT unnest([1, 2]) AS l), (SELECT unnest([128, 256]) AS f))
+    SELECT prefix || suffix AS candidate_id, model, lr, weight_decay, batch_size, huber_delta, CAST(score AS BIGINT) AS model_size_score FROM own CROSS JOIN shared"""
+
+
+@query(
+    "q_neural_grid",
+    """SELECT g.*, fold, train_size, val_size, train_size * model_size_score AS train_load,
+              row_number() OVER (PARTITION BY fold, model ORDER BY model_size_score, candidate_id) AS size_place
+       FROM neural_grid g CROSS JOIN (SELECT fold, (SELECT count(*) FROM folds) - count(*) AS train_size, count(*) AS val_size FROM folds GROUP BY fold)""",
+    extra={**CV_VIEWS, "neural_grid": NEURAL_GRID_SQL},
+)
+def q_neural_grid(spark, folder):
+    """Every neural candidate on every fold of the labelled charts, with its size score, load and place among those of its kind."""
+    columns = ["candidate_id", "model", "lr", "weight_decay", "batch_size", "huber_delta", "model_size_score"]
+    grids = [sweeps.neural_grid(spark, model, own, SHARED_OPTIONS).select(*columns) for model, own in NEURAL_OPTIONS.items()]
+    grid = reduce(DataFrame.unionByName, grids).withColumn("model_size_score", F.col("model_size_score").cast("long"))
+    sizes = fold_sizes(grouped_charts(spark, folder))
+    by_size = Window.partitionBy("fold", "model").orderBy("model_size_score", "candidate_id")  # a few hundred candidates
+    return sizes.crossJoin(F.broadcast(grid)).withColumns(
+        {"train_load": F.col("train_size") * F.col("model_size_score"), "size_place": F.row_number().over(by_size).cast("long")}
+    )
 
 
 CANDIDATES = {"difficulty_rating": [1.0, 0.5], "bpm": [1.0, 0.5]}

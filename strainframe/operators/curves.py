@@ -76,6 +76,10 @@ def flagged_notes(raw: DataFrame, labels: DataFrame, parsed_keys: int = 4) -> Da
     ).rows()
 
 
+#: Windows of a chart that are listed in one array.
+GRID_BLOCK = 8192
+
+
 def window_count(duration: Column, window_sec: float, step_sec: float) -> Column:
     """Number of windows starting at 0, step, 2 * step, ... over the duration."""
     full = F.ceil((duration - F.lit(window_sec) + F.lit(step_sec)) / F.lit(step_sec))
@@ -83,9 +87,15 @@ def window_count(duration: Column, window_sec: float, step_sec: float) -> Column
 
 
 def window_grid(durations: DataFrame, window_sec: float, step_sec: float) -> DataFrame:
-    """One row per chart and window, empty windows included."""
+    """One row per chart and window, empty windows included.
+
+    Windows are listed a block at a time, so a chart with an absurd length needs no long array.
+    """
     last = window_count(F.col("duration_sec"), window_sec, step_sec) - 1
-    grid = durations.withColumn("window_index", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    block, size = F.col("_block"), F.lit(GRID_BLOCK).cast("long")
+    grid = durations.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / size))))
+    indexes = F.sequence(block * size, F.least(last, (block + 1) * size - 1))
+    grid = grid.withColumn("window_index", F.explode(indexes)).drop("_block")
     start = F.col("window_index") * F.lit(float(step_sec))
     return grid.withColumns({"start_sec": start, "end_sec": start + F.lit(float(window_sec))})
 

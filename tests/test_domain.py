@@ -33,6 +33,15 @@ def test_curve_and_summary(spark):
     assert summary["peak_strain"] > summary["mean_strain"] > 0
 
 
+def test_window_grid_of_absurd_lengths(spark):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(1, 500_000.0), (2, 0.5 * curves.GRID_BLOCK + 1.5), (3, 0.5 * curves.GRID_BLOCK + 2.0)], "beatmap_id long, duration_sec double")
+    rows = curves.window_grid(frame, 2.0, 0.5).groupBy("beatmap_id").agg(F.count("*"), F.countDistinct("window_index"), F.max("window_index")).collect()
+    expected = {1: 999_997, 2: curves.GRID_BLOCK, 3: curves.GRID_BLOCK + 1}
+    assert {r[0]: (r[1], r[2], r[3] + 1) for r in rows} == {n: (count,) * 3 for n, count in expected.items()}
+
+
 def test_window_grid_matches_arange(spark):
     durations = [1.0, 2.0, 2.2, 2.5, 4.0, 7.3, 29.95]
     frame = spark.createDataFrame(list(enumerate(durations)), "beatmap_id long, duration_sec double")
