@@ -255,3 +255,15 @@ def test_spread_of_nearly_equal_accuracies(spark):
     values = [0.9999999 + i * 1e-13 for i in range(50)]
     frame = spark.createDataFrame([(1, v) for v in values], "beatmap_id long, accuracy double")
     assert labels.accuracy_labels(frame).head()["acc_std"] == pytest.approx(float(np.std(values)), rel=1e-3)
+
+
+def test_joins_of_charts_and_groups_are_no_broadcasts(spark):
+    """Small files of many rows fill the driver when they are broadcast (q_cv_oof, q_cv_fold_metrics)."""
+    dealt = splits.cross_validation_folds(_groups(spark), folds=3, seed=1)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [split_group" in plan
+    maps = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "beatmap_id long, title string")
+    scores = spark.createDataFrame([(1, 0.9), (1, 0.8), (2, 0.7)], "beatmap_id long, accuracy double")
+    labelled = labels.score_labels(scores, maps)
+    assert "SortMergeJoin [beatmap_id" in labelled._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["title"] for r in labelled.collect()) == ["a", "b", "c"]
