@@ -1,5 +1,7 @@
 import random
+from hashlib import md5
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,39 @@ def test_one_row_and_constant_targets(spark):
     model = models.fit_forest(rows, NAMES, ["t", "u"], ForestOptions(3))
     assert [tuple(r) for r in model.predict(rows).select("pred_t", "pred_u").collect()] == [(2.0, 3.0)]
     assert {row["importance"] for row in model.importances(spark).collect()} == {0.0}
+
+
+def test_models_in_blocks_split_nodes_and_levels_agree(spark, monkeypatch):
+    """Trees of a small model are grown and walked in blocks: shuffled rows no longer grow with the trees (q_forest_regression)."""
+    rows = sample_rows(spark, 60)
+    given = trees.sample(rows, NAMES, ["t", "u"], "weight", keep=["beatmap_id"]).withColumn("model", F.lit("m"))
+    options = ForestOptions(12, 1, 0.5)
+    whole = trees.grow(given, trees.plan_rows(spark, [("m", options, 4)]), 4, 2)
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 5 * 60)
+    monkeypatch.setattr(trees, "ROWS_AT_ONCE", 7)
+    blocks = trees._blocked(spark.createDataFrame([("m", 12, 60)], "model string, trees int, n long")).first()
+    assert (blocks["per"], blocks["blocks"]) == (5, 3)
+    parted = trees.grow(given, trees.plan_rows(spark, [("m", options, 4)]), 4, 2)
+    for name in ("splits", "leaves"):
+        assert sorted(map(tuple, getattr(whole, name).collect())) == sorted(map(tuple, getattr(parted, name).collect()))
+    count = spark.createDataFrame([("m", 12)], "model string, trees int")
+    asked = given.select("model", "beatmap_id", "x")
+    results = []
+    for nodes, largest in ((1 << 20, 1 << 20), (300, 1 << 20), (300, 0)):  # one block, several blocks, joins
+        monkeypatch.setattr(trees, "BLOCK_NODES", nodes)
+        monkeypatch.setattr(trees, "TREE_NODES", largest)
+        found = whole.values(asked, ["beatmap_id"], count, 2, [3, 12])
+        results.append(sorted((r["beatmap_id"], r["trees"], *[round(v, 9) for v in r["values"]]) for r in found.collect()))
+    assert results[0] == results[1] == results[2] and len(results[0]) == 120
+
+
+def test_hashes_of_long_paths():
+    """Draws are md5 of (seed, tree, node, feature), also where the path needs more than one block."""
+    dice = random.Random(3)
+    for depth in (0, 1, 40, 47, 48, 70, 130):
+        path = "".join(dice.choice("LR") for _ in range(depth)).encode()
+        order, place = trees._hashes([b"42|7|", b"42|150|"], np.array([0, 1]), np.tile(np.frombuffer(path, np.uint8), (2, 1)), 12)
+        for n, head in enumerate((b"42|7|", b"42|150|")):
+            for f in range(12):
+                text = md5(head + path + f"|{f}".encode()).hexdigest()
+                assert int(order[n, f]) == int(text[:16], 16) and place[n, f] == int(text[16:24], 16) / 2**32
