@@ -116,3 +116,14 @@ def test_jack_needs_a_positive_gap(spark):
     raw = _raw(spark, [(1, 0, 0, 0, 0), (1, 0, 0, 0, 0), (1, 220, 0, 0, 0), (1, 441, 0, 0, 0), (1, 441, 1, 0, 0)])
     rows = sequences.jack_notes(sequences.sorted_notes(raw), 220, F.col("time_ms")).rows().orderBy("note_index")
     assert [r["is_jack"] for r in rows.collect()] == [False, False, True, False, False]
+
+
+def test_chart_files_are_written_by_many_tasks(spark, tmp_path):
+    """Few bytes in one partition are still many files (q_chart_files)."""
+    path = str(tmp_path / "charts")
+    charts = spark.range(40).selectExpr("id AS beatmap_id", "concat('[General]\nMode: ', id) AS content").coalesce(1)
+    chart_text.write_charts(charts, path)
+    files = list((tmp_path / "charts").glob("beatmap_id=*/part-*"))
+    assert len(files) == 40 and len({name.name[:10] for name in files}) > 1
+    read = {row["beatmap_id"]: row["text"].strip() for row in chart_text.read_charts(spark, path).collect()}
+    assert read == {n: f"[General]\nMode: {n}" for n in range(40)}
