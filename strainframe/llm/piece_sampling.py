@@ -23,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strainframe.llm.common import byte_slices, with_fields
+from strainframe.llm.common import byte_slices, give_back, with_fields
 
 #: Text bytes whose lattices are in memory at a time (a longer text is a slice of its own).
 SLICE = 3 << 20
 #: Bytes of distinct words whose lattices are built at a time.
 LATTICE_BYTES = 200_000
+#: Pieces that are decoded at a time.
+DECODED = 1 << 18
 #: Exponent on path weights: 0 draws uniformly over paths, large values approach the best path.
 ALPHA = 1.0
 SEED = 17
@@ -238,6 +240,7 @@ def sample_slice(pieces: Pieces, texts: list[bytes], keys: np.ndarray) -> tuple[
 
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], pieces: Pieces, id_: int, text: int, seed: int) -> Iterator[pa.RecordBatch]:
+    give_back()  # what earlier stages left in this worker
     for batch in batches:
         for first, texts in byte_slices(batch, text, SLICE):
             part = batch.slice(first, len(texts))
@@ -246,6 +249,7 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], pieces: Pieces, id_: int,
             missing = pa.array([x is None for x in texts])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(chosen, pa.int32()), mask=missing)
             yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "pieces"])
+    give_back()
 
 
 def encode(
@@ -276,8 +280,8 @@ def _decode_batches(batches: Iterator[pa.RecordBatch], blob, offset, length, col
         lists = batch.column(column)
         first = 0
         while first < batch.num_rows:
-            # Rows of about a million pieces at a time.
-            limit = lists.offsets[first].as_py() + (1 << 20)
+            # Rows of about that many pieces at a time.
+            limit = lists.offsets[first].as_py() + DECODED
             last = int(np.searchsorted(lists.offsets.to_numpy(), limit, side="right")) - 1
             last = min(max(last, first + 1), batch.num_rows)
             part = batch.slice(first, last - first)
@@ -289,6 +293,7 @@ def _decode_batches(batches: Iterator[pa.RecordBatch], blob, offset, length, col
             texts = [None if gone else plain[a + 1 : b] for a, b, gone in zip(ends, ends[1:], some.is_null().to_pylist(), strict=False)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*part.schema.names, name])
             first = last
+    give_back()
 
 
 def decode(encoded: DataFrame, model_path: str, pieces_column: str = "pieces", name: str = "decoded") -> DataFrame:

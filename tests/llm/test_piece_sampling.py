@@ -2,6 +2,7 @@ import collections
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -68,3 +69,17 @@ def test_lossless_and_reproducible(spark, awkward):
 
 def test_no_rows(spark, awkward):
     assert piece_sampling.decode(piece_sampling.encode(awkward.limit(0), MODEL), MODEL).count() == 0
+
+
+def test_few_pieces_are_decoded_at_a_time(monkeypatch):
+    """A task holds the bytes of few rows' pieces, and gives memory back when it ends (pipeline: piece sampling)."""
+    pieces = piece_sampling.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["one two three", None, "", "four five six seven", "x"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(5)), "text": pa.array(texts)})
+    encoded = list(piece_sampling._encode_batches(iter([batch]), pieces, 0, 1, 3))
+    calls = []
+    monkeypatch.setattr(piece_sampling, "DECODED", 2)
+    monkeypatch.setattr(piece_sampling, "give_back", lambda: calls.append(1))
+    decoded = list(piece_sampling._decode_batches(iter(encoded), pieces.blob, pieces.offset, pieces.length, 2, "decoded"))
+    assert [x for part in decoded for x in part.column("decoded").to_pylist()] == texts
+    assert len(decoded) > len(encoded) and len(calls) == 1
