@@ -208,9 +208,10 @@ RUN_VALUES = {
 RUN_TEXTS = {name: f"CAST({value.replace('{n}', 'n')} AS VARCHAR)" for name, value in RUN_VALUES.items()}
 
 
-def run_documents(spark, folder):
+def run_documents(spark, folder, rows=None):
     """metrics JSON per run and evaluation, built from the report."""
-    report = metrics.regression_report(run_predictions(spark, folder), RUN_KEYS, ["baseline", "difficulty_rating_baseline"])
+    rows = run_predictions(spark, folder) if rows is None else rows
+    report = metrics.regression_report(rows, RUN_KEYS, ["baseline", "difficulty_rating_baseline"])
     report = report.select(*RUN_KEYS, *REPORT)
     body = F.struct(*[F.col(n) for n in REPORT])
     n = _number()
@@ -232,8 +233,8 @@ def run_documents(spark, folder):
     )
 
 
-def run_metrics(spark, folder):
-    return landed_json.run_metric_rows(run_documents(spark, folder))
+def run_metrics(spark, folder, rows=None):
+    return landed_json.run_metric_rows(run_documents(spark, folder, rows))
 
 
 METRIC_VIEWS = {
@@ -353,8 +354,9 @@ CALIBRATION = [
 CALIBRATION_TEXT = ["calibration_worst_bias_target", "calibration_worst_p90_target", "calibration_low_spread_target", "calibration_warning"]
 
 
-def calibration(spark, folder):
-    return run_analytics.calibration(metrics.prediction_summary(run_predictions(spark, folder), RUN_KEYS))
+def calibration(spark, folder, rows=None):
+    rows = run_predictions(spark, folder) if rows is None else rows
+    return run_analytics.calibration(metrics.prediction_summary(rows, RUN_KEYS))
 
 
 @query(
@@ -367,16 +369,17 @@ def q_calibration(spark, folder):
 
 
 def decisions(spark, folder):
-    rows = history(spark, folder)
+    # Health and speed read the history, the report and the calibration the predictions: both are written once.
+    rows, predicted = cut_lineage(history(spark, folder)), cut_lineage(run_predictions(spark, folder))
     scores = judgments.judgment_scores(
         judged_pairs(spark, folder).withColumn("run", F.concat(F.lit("Brand#"), (F.col("run") + 1).cast("string"))),
         ["run", "evaluation"],
     )
     return run_analytics.run_decisions(
-        cut_lineage(run_metrics(spark, folder)),
+        cut_lineage(run_metrics(spark, folder, predicted)),
         run_analytics.training_health(rows),
         run_analytics.training_performance(rows),
-        calibration(spark, folder),
+        calibration(spark, folder, predicted),
         scores,
     )
 
