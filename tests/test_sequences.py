@@ -127,3 +127,22 @@ def test_chart_files_are_written_by_many_tasks(spark, tmp_path):
     assert len(files) == 40 and len({name.name[:10] for name in files}) > 1
     read = {row["beatmap_id"]: row["text"].strip() for row in chart_text.read_charts(spark, path).collect()}
     assert read == {n: f"[General]\nMode: {n}" for n in range(40)}
+
+
+def test_chart_files_are_written_without_a_process_a_file(spark, tmp_path):
+    """A task makes one file a chart and nothing beside it, in the same layout as Spark's writer (q_chart_files)."""
+    own, spark_own = tmp_path / "the charts", tmp_path / "by spark"
+    charts = spark.createDataFrame(
+        [(1, bytearray(b"a\xff")), (2, bytearray(b"b")), (1, bytearray(b"a\xff")), (None, bytearray(b"c")), (3, None)], "beatmap_id long, content binary"
+    )
+    charts.select("beatmap_id", F.col("content").cast("string")).write.partitionBy("beatmap_id").text(str(spark_own))
+    for _ in range(2):  # the second run replaces the first
+        chart_text.write_charts(charts, str(own))
+    read = [sorted(map(tuple, chart_text.read_charts(spark, str(path)).collect()), key=str) for path in (own, spark_own)]
+    text = {row[0]: row[1] for row in read[0]}
+    assert text == {1: "a�\na�\n", 2: "b\n", None: "c\n", 3: "\n"} and len(read[0]) == 4
+    assert {row[0] for row in read[1]} == set(text)
+    folders = {folder.name for folder in own.iterdir()}
+    assert folders == {folder.name for folder in spark_own.iterdir() if folder.is_dir()}
+    assert all(len(list(folder.iterdir())) == 1 for folder in own.iterdir())
+    assert spark.conf.get(chart_text.LISTING) == "10000"
