@@ -117,3 +117,47 @@ def test_hashes_of_long_paths():
             for f in range(12):
                 text = md5(head + path + f"|{f}".encode()).hexdigest()
                 assert int(order[n, f]) == int(text[:16], 16) and place[n, f] == int(text[16:24], 16) / 2**32
+
+
+def candidate_rows(spark, monkeypatch, local_rows, rows):
+    monkeypatch.setattr(trees, "LOCAL_ROWS", local_rows)
+    sets = {"two": NAMES[:2], "all": NAMES}
+    candidates = [(name, ForestOptions(count, 2)) for name in sets for count in (2, 5)]
+    found = models.forest_candidates(rows, sets, ["t", "u"], candidates, folds=2, weight="weight")
+    columns = ["feature_set", "forest_trees", "beatmap_id", "fold", "target"]
+    return sorted((*[r[name] for name in columns], round(r["pred"], 9), round(r["baseline"], 9)) for r in found.collect())
+
+
+def test_held_out_rows_are_scored_where_trees_grow(spark, monkeypatch):
+    """Trees of candidates are neither stored nor sent, and give the values that tables of trees give (q_sweep_forest, q_cv_oof_forest, q_cv_fold_metrics_forest)."""
+    rows = sample_rows(spark, 24).withColumn("fold", F.col("beatmap_id") % 2 + 1)
+    rows = rows.unionByName(rows.filter("beatmap_id < 3"))  # rows may come twice
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 2 * 13)
+    by_tables = candidate_rows(spark, monkeypatch, 10, rows)
+    monkeypatch.setattr(trees, "grow", lambda *_, **__: pytest.fail("trees are stored"))
+    assert candidate_rows(spark, monkeypatch, 1 << 20, rows) == by_tables and len(by_tables) == 24 * 2 * 4
+
+
+def test_blocks_do_not_grow_with_the_rows(spark):
+    """Every block of trees is sent all rows of its model, so large models have few blocks (q_feature_importance)."""
+    plans = spark.createDataFrame([("m", 200, 540_000), ("s", 200, 100)], "model string, trees int, n long")
+    blocks = {row["model"]: (row["per"], row["blocks"]) for row in trees._blocked(plans, 40, 8).collect()}
+    assert blocks == {"m": (5, 40), "s": (25, 8)}
+
+
+def test_packed_rows_come_back(spark):
+    """Chunks hold the rows as they were; NULL is kept, and a feature that has one in a node is not drawn there."""
+    rows = spark.createDataFrame(
+        [("a", [1, -(1 << 40)], 7), ("b", [3, None], 8), ("a", [5, 6], 9)], "model string, x array<long>, w long"
+    )
+    chunks = trees._packed(rows, [("x", 2), ("w", 1)], model=True).collect()
+    found = {name: trees._unpacked([(r["n"], bytes(r["data"])) for r in chunks if r["model"] == name], 3) for name in "ab"}
+    assert sorted(map(tuple, found["a"].T.tolist())) == [(1, -(1 << 40), 7), (5, 6, 9)]
+    assert found["b"].T.tolist() == [[3, trees.NOTHING, 8]]
+    assert trees._features(found["a"][:2]).dtype == np.int64 and trees._features(found["a"][2:]).dtype == np.int32
+    x = trees._features(np.array([[1, 2, 3, 4], [trees.NOTHING, 1, 2, 3]]))
+    y, w = np.array([[1], [2], [3], [4]]), np.full(4, 1000)
+    plan = {"model": "m", "seed": 1, "min_leaf": 1, "width": 2, "drawn": 2, "scale": [1]}
+    assert np.isnan(x[0, 1]) and trees._grown(x, y, w, plan, [1]).slice(0, 1)["f"].to_pylist() == [0]
+    with pytest.raises(ValueError):
+        trees._asked_rows(np.array([[1, trees.NOTHING], [1, 1]]), 1)
